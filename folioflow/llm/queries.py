@@ -8,8 +8,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import bpe, tokenstore
-from folioflow.llm.common import Workspace, read_table
+from folioflow.llm import bpe, curriculum, hostrules, langid, minhash, ordinal, tokenstore, toxicity
+from folioflow.llm.common import Workspace, held_out, read_table
+
+
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of ``documents``: 3-word shingles, similarity of 0.85 or more."""
+    plan = minhash.Plan(width=3, percent=85)
+    groups = minhash.near_groups(read_table(spark, sf_dir, "documents"), Workspace(spark, "op1"), plan)
+    return groups.withColumnRenamed("id", "doc_id")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of ``documents``, learned from the labels of the ids that aren't held out."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").where(~held_out("doc_id", 3, 1))
+    lexicon = toxicity.learn(docs, labels, Workspace(spark, "op2"))
+    return toxicity.measure(docs, lexicon).select(
+        "doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), "n_words", "n_hits",
+    )
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +37,36 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.read_checks(spark, paths).select("doc_id", "start", "n_tokens", "ids_crc32", "verified")
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of ``documents``, learned from the texts and languages of the ids that aren't held out."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = held_out("doc_id", 5, 0)
+    model = langid.learn(docs.where(~out), Workspace(spark, "op4"))
+    return langid.predict(docs.select("doc_id", "text", out.alias("held_out")), model).drop("text")
+
+
+def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of ``documents``, learned from the ratings of the ids that aren't held out (crc32 modulo 5 is not 0)."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = held_out("doc_id", 5, 0)
+    model = ordinal.learn(docs, read_table(spark, sf_dir, "labels").where(~out), Workspace(spark, "op6"))
+    return ordinal.grade(docs.withColumn("held_out", out), model).drop("text")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all ``documents``: weights 5, 2, 1 in turn, no source above 3 times its size."""
+    mixed = curriculum.curriculum_mix(read_table(spark, sf_dir, "documents"), Workspace(spark, "op8"), keep=["doc_id"])
+    return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules on ``documents``, and verdicts on their sources as hosts."""
+    told = hostrules.host_rules(read_table(spark, sf_dir, "documents"), Workspace(spark, "op9"), F.col("source"), keep=["doc_id"])
+    return told.select(
+        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_docs", "host_failed",
+    )
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of ``documents``, and of what they decode to."""
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -33,8 +81,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash": op1_minhash,
+    "op2_toxicity": op2_toxicity,
     "op3_token_store": op3_token_store,
+    "op4_langid": op4_langid,
+    "op6_ordinal_quality": op6_ordinal_quality,
+    "op8_mixing": op8_mixing,
+    "op9_host_rules": op9_host_rules,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_mixing": curriculum.MIX_SQL, "op9_host_rules": hostrules.RULES_SQL}
