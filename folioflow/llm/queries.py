@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import bpe, curriculum, hostrules, langid, minhash, ordinal, tokenstore, toxicity
+from folioflow.llm import ann, bpe, curriculum, hostrules, langid, minhash, ordinal, tokenstore, toxicity
 from folioflow.llm.common import Workspace, held_out, read_table
 
 
@@ -45,6 +45,11 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", out.alias("held_out")), model).drop("text")
 
 
+def op5_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest found in ``embeddings`` of each row whose id is divisible by 50."""
+    return ann.search(read_table(spark, sf_dir, "embeddings"), Workspace(spark, "op5"))
+
+
 def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of ``documents``, learned from the ratings of the ids that aren't held out (crc32 modulo 5 is not 0)."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_token_store": op3_token_store,
     "op4_langid": op4_langid,
+    "op5_learned_partitions": op5_learned_partitions,
     "op6_ordinal_quality": op6_ordinal_quality,
     "op8_mixing": op8_mixing,
     "op9_host_rules": op9_host_rules,
