@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import ann, bpe, curriculum, hostrules, langid, minhash, ordinal, tokenstore, toxicity
+from folioflow.llm import ann, bpe, curriculum, hmm, hostrules, langid, minhash, ordinal, tokenstore, toxicity
 from folioflow.llm.common import Workspace, held_out, read_table
 
 
@@ -58,6 +58,17 @@ def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.grade(docs.withColumn("held_out", out), model).drop("text")
 
 
+def op7_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likelihood of ``documents``, from the texts whose crc32 modulo 7 is not 2."""
+    ws = Workspace(spark, "op7")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out("doc_id", 7, 2))
+    texts = docs.where("not held_out").select("doc_id", "text")
+    counts = hmm.count_words(texts.select("text"), ws)
+    drawn = texts.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").select("text")
+    model = hmm.train(texts.select("text"), drawn, counts)
+    return hmm.score(docs, counts, model, ws, ["doc_id", "held_out"])
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all ``documents``: weights 5, 2, 1 in turn, no source above 3 times its size."""
     mixed = curriculum.curriculum_mix(read_table(spark, sf_dir, "documents"), Workspace(spark, "op8"), keep=["doc_id"])
@@ -92,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_langid": op4_langid,
     "op5_learned_partitions": op5_learned_partitions,
     "op6_ordinal_quality": op6_ordinal_quality,
+    "op7_hidden_markov": op7_hidden_markov,
     "op8_mixing": op8_mixing,
     "op9_host_rules": op9_host_rules,
     "op10_byte_bpe": op10_byte_bpe,
