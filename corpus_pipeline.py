@@ -1,13 +1,76 @@
-"""The corpus pipeline: its stages in order, and a run of all of them over ``documents``."""
+"""The corpus pipeline: documents of low quality go, toxic ones go, one of each group of near
+duplicates stays, sources are mixed to their weights, and what is left becomes token ids.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it works on all that the stage
+before kept. Every stage but the last returns the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from folioflow.llm import bpe, curriculum, minhash, ordinal, toxicity
+from folioflow.llm.common import Workspace, read_table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose chance of the top grade is under one half."""
+    model = ordinal.learn(docs, read_table(spark, sf_dir, "labels"), Workspace(spark, "quality"))
+    return ordinal.grade(docs, model).where("selected").select(*docs.columns)
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents with a toxicity score of 0.7 or more."""
+    lexicon = toxicity.learn(docs, read_table(spark, sf_dir, "labels"), Workspace(spark, "toxic"))
+    return toxicity.measure(docs, lexicon).where(F.col("score") < 0.7).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group (five-word shingles, similarity 0.8).
+
+    Of rows that repeat a kept id one stays. Rows without an id can't be told
+    apart by one, and all stay but for repeats of a text.
+    """
+    groups = minhash.near_groups(docs, Workspace(spark, "near"), minhash.Plan(width=5, percent=80))
+    keep = groups.where("kept and id is not null").select(F.col("id").alias("doc_id")).distinct()
+    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    named = docs.join(keep, "doc_id", "left_semi").withColumn("_at", F.row_number().over(one)).where("_at = 1").drop("_at")
+    nameless = docs.where("doc_id is null").dropDuplicates(["text"])
+    return named.unionByName(nameless.select(*named.columns)).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Weights 5, 2 and 1 in turn, at most 3 times a source: whole documents, repeated as due, in training order."""
+    mixed = curriculum.curriculum_mix(docs, Workspace(spark, "mixing"), whole_documents=True)
+    return curriculum.training_order(mixed).select("row.*").select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and whether they decode to its very bytes."""
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    told = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
+    exact = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
+    return told.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", exact.alias("exact"))
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("toxicity", toxic),
+    ("minhash near-dedup", near_duplicates),
+    ("mixing sources to target weights", mixing),
+    ("byte-level BPE encoding and decoding", tokens),
+]
+
+#: Learned models and sketches have no SQL form; the tests compare with brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again."""
+    ws = Workspace(spark, "pipeline")
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = ws.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
