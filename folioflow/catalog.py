@@ -2,5 +2,612 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from folioflow.functions import scalars as S
+from folioflow.operators import grids, links, match, traversal, validate
+from folioflow.plans import adapters as A
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a query, with the shared tables it names as common table expressions of its SQL."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = with_tables(sql)
+        return f
+
+    return add
+
+
+SHARED = {
+    "tree_nodes": A.NODES, "new_nodes": A.NEW_NODES, "tree_edges": A.EDGES, "tree_marks": A.MARKS, "bib": A.BIBLIOGRAPHY, "new_bib": A.NEW_BIBLIOGRAPHY,
+    "notes": A.FOOTNOTES, "docs": A.DOCUMENTS, "cells": A.CELLS, "items": A.ITEMS, "turns": A.TURNS,
+}
+CLAIMS = """
+SELECT doc_key, 0 AS rank, scope, o1, o2, node_id AS id, label, type AS owner_type, 'node' AS domain FROM tree_nodes
+UNION ALL SELECT doc_key, 1, 0, pool_index, -1, id, label, 'bibliography entry', 'bibliography' FROM bib
+UNION ALL SELECT doc_key, 2, 0, pool_index, -1, id, label, 'footnote', 'footnote' FROM notes
+"""
+INDEX = "SELECT doc_key, label, arg_min({'id': id, 't': owner_type, 'd': domain}, rank * 1000000000000 + scope * 100000000000 + CAST(o1 AS BIGINT) * 100000 + o2 + 1) AS t FROM claims WHERE label IS NOT NULL GROUP BY 1, 2"
+INDEXED = "SELECT doc_key, label, t.id AS target_id, t.t AS target_type, t.d AS target_domain FROM idx0"
+
+
+def with_tables(sql: str) -> str:
+    used = dict(SHARED) | {"claims": CLAIMS, "idx0": INDEX, "idx": INDEXED}
+    need: list[str] = []
+
+    def visit(text: str) -> None:
+        for name in used:
+            if name not in need and re.search(rf"\b(?:FROM|JOIN) {name}\b", text):
+                visit(used[name])
+                if name not in need:
+                    need.append(name)
+
+    visit(sql)
+    ctes = ", ".join(f"{n} AS ({used[n]})" for n in need)
+    body = sql.strip()
+    if not ctes:
+        return body
+    return f"WITH {ctes}, {body[5:]}" if body.startswith("WITH ") else f"WITH {ctes} {body}"
+
+
+def T(spark, d, sql):
+    return A.frame(spark, d, sql)
+
+
+# --- sources and the flagship ------------------------------------------------
+
+
+@query("min_slice", """
+SELECT doc_key, o1 + 1 AS doc_index, count(*) OVER (PARTITION BY doc_key) AS doc_count, concat('nodes/', o1) AS path,
+       concat('sha256:', sha256(concat('{"text":{"value":', CAST(to_json(nfc_normalize(value)) AS VARCHAR), '},"type":"paragraph"}'))) AS node_hash FROM turns""")
+def min_slice(spark, d):
+    t = T(spark, d, A.TURNS)
+    placed = traversal.positions(t.select("doc_key", F.lit(0).alias("scope"), F.array("o1").alias("ord"), F.lit(None).cast("array<int>").alias("parent_ord"), F.lit("nodes").alias("slot"), F.lit(None).cast("int").alias("slot_index"), F.lit(None).cast("int").alias("page"), "value", "o1"))
+    return placed.select("doc_key", "doc_index", "doc_count", F.concat(F.lit("nodes/"), F.col("o1").cast("string")).alias("path"), S.paragraph_hash(F.col("value")).alias("node_hash"))
+
+
+@query("src_bad_record", "SELECT event_id, CASE WHEN try_cast(substr(props, 1, length(props) - event_id % 3) AS JSON) IS NULL THEN false ELSE true END AS readable FROM events")
+def src_bad_record(spark, d):
+    cut = F.expr("substr(props, 1, length(props) - cast(event_id % 3 as int))")
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.try_parse_json(cut).isNotNull().alias("readable"))
+
+
+@query("src_version_gate", "SELECT doc_key, version <> '0.5.0' AS refused FROM docs")
+def src_version_gate(spark, d):
+    return T(spark, d, A.DOCUMENTS).select("doc_key", (F.col("version") != "0.5.0").alias("refused"))
+
+
+@query("sink_report_json", "SELECT concat('{\"doc_key\":', doc_key, ',\"rule\":\"version\",\"where\":\"', title, '\"}') AS line FROM docs WHERE version <> '0.5.0'")
+def sink_report_json(spark, d):
+    bad = T(spark, d, A.DOCUMENTS).where("version <> '0.5.0'")
+    return bad.select(F.to_json(F.struct("doc_key", F.lit("version").alias("rule"), F.col("title").alias("where"))).alias("line"))
+
+
+# --- traversal ---------------------------------------------------------------
+
+WALK = "row_number() OVER (PARTITION BY doc_key ORDER BY scope, o1, o2)"
+
+
+@query("walk_body", f"SELECT doc_key, node_id, {WALK} AS walk_order, path, depth FROM tree_nodes WHERE scope = 0")
+def walk_body(spark, d):
+    return traversal.walk_body(A.nodes(spark, d)).select("doc_key", "node_id", "walk_order", "path", "depth")
+
+
+QUERIES["walk_default"], ORACLE_SQL["walk_default"] = QUERIES["walk_body"], ORACLE_SQL["walk_body"]
+
+
+@query("walk_full", f"SELECT doc_key, scope, node_id, {WALK} AS walk_order, path FROM tree_nodes")
+def walk_full(spark, d):
+    return traversal.walk_full(A.nodes(spark, d)).select("doc_key", "scope", "node_id", "walk_order", "path")
+
+
+@query("walk_subtree", "SELECT doc_key, o1 AS root, node_id, row_number() OVER (PARTITION BY doc_key, o1 ORDER BY o2) AS walk_order FROM tree_nodes WHERE scope = 0 AND depth = 1 AND o1 < 5")
+def walk_subtree(spark, d):
+    n = A.nodes(spark, d)
+    return traversal.walk_subtree(n, n.where("scope = 0 and depth = 0 and o1 < 5")).select("doc_key", F.get("root_ord", 0).alias("root"), "node_id", "walk_order")
+
+
+@query("slots", "SELECT doc_key, path, CASE WHEN depth = 0 THEN 'children' END AS field, count(*) - 1 AS n_children FROM (SELECT doc_key, scope, o1, path, depth FROM tree_nodes WHERE depth = 0 UNION ALL SELECT c.doc_key, c.scope, c.o1, p.path, 0 FROM tree_nodes c JOIN tree_nodes p ON c.doc_key = p.doc_key AND c.scope = p.scope AND c.o1 = p.o1 AND p.depth = 0 WHERE c.depth = 1) u GROUP BY 1, 2, 3")
+def slots(spark, d):
+    n = A.nodes(spark, d)
+    held = n.where("depth = 1").groupBy("doc_key", "scope", F.col("parent_ord").alias("ord")).agg(F.count("*").alias("n"))
+    return n.where("depth = 0").join(held, ["doc_key", "scope", "ord"], "left").select("doc_key", "path", F.lit("children").alias("field"), F.coalesce("n", F.lit(0)).alias("n_children"))
+
+
+@query("path_depth_parent", "SELECT c.doc_key, c.node_id, c.path, c.depth, p.node_id AS parent_id FROM tree_nodes c LEFT JOIN tree_nodes p ON c.depth = 1 AND p.depth = 0 AND c.doc_key = p.doc_key AND c.scope = p.scope AND c.o1 = p.o1")
+def path_depth_parent(spark, d):
+    n = A.nodes(spark, d)
+    up = n.select("doc_key", "scope", F.col("ord").alias("parent_ord"), F.col("node_id").alias("parent_id"))
+    return n.join(up, ["doc_key", "scope", "parent_ord"], "left").select("doc_key", "node_id", "path", "depth", "parent_id")
+
+
+@query("ctx_heading_path", "SELECT c.doc_key, c.node_id, CASE WHEN p.type = 'heading' AND p.scope >= 0 THEN p.value ELSE '' END AS heading_path FROM tree_nodes c LEFT JOIN tree_nodes p ON c.depth = 1 AND p.depth = 0 AND c.doc_key = p.doc_key AND c.scope = p.scope AND c.o1 = p.o1")
+def ctx_heading_path(spark, d):
+    n = A.nodes(spark, d)
+    up = n.where("type = 'heading'").select("doc_key", "scope", F.col("ord").alias("parent_ord"), F.array("value").alias("above"))
+    return n.join(up, ["doc_key", "scope", "parent_ord"], "left").select("doc_key", "node_id", F.coalesce(F.array_join("above", "/"), F.lit("")).alias("heading_path"))
+
+
+POSITIONS = """SELECT doc_key, node_id, depth, row_number() OVER (PARTITION BY doc_key, scope ORDER BY o1, o2) AS doc_index, count(*) OVER (PARTITION BY doc_key, scope) AS doc_count,
+ row_number() OVER (PARTITION BY doc_key, scope, depth, CASE WHEN depth = 1 THEN o1 END ORDER BY o1, o2) AS sibling_index, count(*) OVER (PARTITION BY doc_key, scope, depth, CASE WHEN depth = 1 THEN o1 END) AS sibling_count,
+ CASE WHEN page IS NOT NULL THEN row_number() OVER (PARTITION BY doc_key, scope, page ORDER BY o1, o2) END AS page_index, CASE WHEN page IS NOT NULL THEN count(*) OVER (PARTITION BY doc_key, scope, page) END AS page_count
+ FROM tree_nodes"""
+for _name, _cols in {"pos_doc": ["doc_index", "doc_count"], "pos_sibling": ["sibling_index", "sibling_count"], "pos_page": ["page_index", "page_count"]}.items():
+    query(_name, f"SELECT doc_key, node_id, {', '.join(_cols)} FROM ({POSITIONS}) p")(lambda spark, d, cols=_cols: traversal.positions(A.nodes(spark, d)).select("doc_key", "node_id", *cols))
+
+
+@query("prune_depth", f"SELECT doc_key, node_id, doc_index, doc_count FROM ({POSITIONS}) p WHERE depth <= 0")
+def prune_depth(spark, d):
+    return traversal.prune_depth(traversal.positions(A.nodes(spark, d)), 0).select("doc_key", "node_id", "doc_index", "doc_count")
+
+
+@query("prune_pred", f"SELECT p.doc_key, p.node_id, p.doc_index FROM ({POSITIONS}) p JOIN tree_nodes c ON c.doc_key = p.doc_key AND c.node_id = p.node_id LEFT JOIN tree_nodes u ON c.depth = 1 AND u.depth = 0 AND u.doc_key = c.doc_key AND u.scope = c.scope AND u.o1 = c.o1 WHERE coalesce(u.type, '') <> 'quote'")
+def prune_pred(spark, d):
+    return traversal.prune_below(traversal.positions(A.nodes(spark, d)), F.col("type") == "quote").select("doc_key", "node_id", "doc_index")
+
+
+@query("paginated", "SELECT d.doc_key, coalesce(p.f, false) AS paginated FROM docs d LEFT JOIN (SELECT doc_key, arg_min(page IS NOT NULL, scope * 100000000000 + CAST(o1 AS BIGINT) * 100000 + o2 + 1) AS f FROM tree_nodes GROUP BY 1) p ON d.doc_key = p.doc_key")
+def paginated(spark, d):
+    return traversal.paginated(A.nodes(spark, d), T(spark, d, A.DOCUMENTS))
+
+
+@query("position_totals", "SELECT doc_key, scope, page, count(*) AS n FROM tree_nodes WHERE page IS NOT NULL GROUP BY 1, 2, 3 UNION ALL SELECT doc_key, scope, NULL, count(*) FROM tree_nodes GROUP BY 1, 2")
+def position_totals(spark, d):
+    return traversal.position_totals(A.nodes(spark, d)).select("doc_key", "scope", "page", "n")
+
+
+# --- projections and filters -------------------------------------------------
+
+HAS_TEXT = "type IN ('heading', 'paragraph', 'quote', 'figure')"
+
+
+@query("texts_of", f"SELECT doc_key, node_id AS owner, 0 AS text_index, value FROM tree_nodes WHERE {HAS_TEXT}")
+def texts_of(spark, d):
+    return A.corpus(spark, d).texts.where("scope is not null").select("doc_key", "owner", "text_index", "value")
+
+
+@query("edges_of", "SELECT doc_key, owner, family, coalesce(label, href) AS target, s0, s1 FROM tree_edges")
+def edges_of(spark, d):
+    return A.edges(spark, d).select("doc_key", "owner", "family", F.coalesce("label", "href").alias("target"), F.get("span", 0).alias("s0"), F.get("span", 1).alias("s1"))
+
+
+@query("filter_type", "SELECT doc_key, node_id FROM tree_nodes WHERE type = 'figure'")
+def filter_type(spark, d):
+    return A.nodes(spark, d).where("type = 'figure'").select("doc_key", "node_id")
+
+
+@query("blocks_plain", f"WITH own AS (SELECT doc_key, scope, o1, o2, CASE WHEN {HAS_TEXT} OR type IN ('math', 'code') THEN value ELSE '' END AS v FROM tree_nodes) SELECT p.doc_key, p.node_id, coalesce(string_agg(CASE WHEN o.v <> '' THEN o.v END, ' ' ORDER BY o.o2), '') AS plain FROM tree_nodes p JOIN own o ON o.doc_key = p.doc_key AND o.scope = p.scope AND o.o1 = p.o1 WHERE p.depth = 0 GROUP BY 1, 2")
+def blocks_plain(spark, d):
+    c = A.corpus(spark, d)
+    n = c.nodes.withColumn("plain", F.when(F.col("type").isin("math", "code"), F.col("value"))).withColumn("alt", F.lit(None).cast("string"))
+    return traversal.blocks_plain(n, c.texts).join(n.where("depth = 0").select("doc_key", "scope", "ord", "node_id"), ["doc_key", "scope", "ord"]).select("doc_key", "node_id", "plain")
+
+
+@query("expand_headings", "SELECT c.doc_key, c.node_id FROM tree_nodes c LEFT JOIN tree_nodes u ON c.depth = 1 AND u.depth = 0 AND u.doc_key = c.doc_key AND u.scope = c.scope AND u.o1 = c.o1 WHERE coalesce(u.type, '') <> 'quote' AND c.scope = 0")
+def expand_headings(spark, d):
+    return traversal.expand_headings(A.nodes(spark, d).where("scope = 0")).select("doc_key", "node_id")
+
+
+QUERIES["iter_body"], ORACLE_SQL["iter_body"] = QUERIES["expand_headings"], ORACLE_SQL["expand_headings"]
+
+
+@query("is_inline_cell", "SELECT doc_key, entry, n_children = 0 OR n_children = 1 AND entry % 2 = 0 AS inline FROM cells")
+def is_inline_cell(spark, d):
+    first = F.when(F.col("entry") % 2 == 0, "paragraph").otherwise("list")
+    return T(spark, d, A.CELLS).select("doc_key", "entry", grids.is_inline_cell(F.col("n_children"), first).alias("inline"))
+
+
+@query("wants_inline_table", "SELECT p_partkey, coalesce(p_size % 2 = 0, false) AS auto_inline FROM part")
+def wants_inline_table(spark, d):
+    kind = F.when(F.col("p_size") % 2 == 0, "content").when(F.col("p_size") % 3 == 0, "data")
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", grids.wants_inline(kind, "auto").alias("auto_inline"))
+
+
+@query("holds_several", "SELECT doc_key, scope, o1, count(*) FILTER (WHERE t <> 'list') > 1 OR bool_or(t = 'list' AND o2 < m) AS several FROM (SELECT *, CASE WHEN k % 5 = 2 THEN 'list' ELSE type END AS t, max(o2) OVER (PARTITION BY doc_key, scope, o1) AS m FROM tree_nodes WHERE depth = 1) x GROUP BY 1, 2, 3")
+def holds_several(spark, d):
+    n = A.nodes(spark, d).where("depth = 1").withColumn("type", F.when(F.col("k") % 5 == 2, "list").otherwise(F.col("type"))).withColumn("seq", F.col("o2"))
+    return grids.holds_several(n, ["doc_key", "scope", "o1"])
+
+
+@query("infer_fig_kind", "SELECT p_partkey, coalesce(nullif(CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN p_brand END, ''), CASE WHEN p_size % 2 = 0 THEN 'image' END, 'figure') AS kind FROM part")
+def infer_fig_kind(spark, d):
+    given = F.when(F.col("p_size") % 3 == 0, "").when(F.col("p_size") % 3 == 1, F.col("p_brand"))
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", grids.figure_kind(given, F.when(F.col("p_size") % 2 == 0, "image")).alias("kind"))
+
+
+# --- lookups -----------------------------------------------------------------
+
+
+def index_of(c):
+    return links.label_index(links.claims(c.nodes, c.bibliography, c.footnotes))
+
+
+@query("resolve", "SELECT e.doc_key, e.owner, e.label, i.target_id, i.target_domain FROM tree_edges e LEFT JOIN idx i ON e.doc_key = i.doc_key AND e.label = i.label")
+def resolve(spark, d):
+    c = A.corpus(spark, d)
+    return links.resolve(c.edges, index_of(c)).select("doc_key", "owner", "label", "target_id", "target_domain")
+
+
+@query("incoming", "SELECT e.doc_key, e.label, e.owner, row_number() OVER (PARTITION BY e.doc_key, e.label ORDER BY e.scope, e.o1, e.o2) AS seen FROM tree_edges e JOIN idx i ON e.doc_key = i.doc_key AND e.label = i.label WHERE family <> 'links'")
+def incoming(spark, d):
+    c = A.corpus(spark, d)
+    return links.incoming(c.edges, index_of(c))
+
+
+@query("unresolved", "SELECT e.doc_key, e.owner, e.label FROM tree_edges e LEFT JOIN idx i ON e.doc_key = i.doc_key AND e.label = i.label WHERE family <> 'links' AND i.label IS NULL")
+def unresolved(spark, d):
+    c = A.corpus(spark, d)
+    return links.unresolved(c.edges, index_of(c)).select("doc_key", "owner", "label")
+
+
+@query("wrong_domain", "SELECT e.doc_key, e.owner, e.label, i.target_type FROM tree_edges e JOIN idx i ON e.doc_key = i.doc_key AND e.label = i.label WHERE target_domain <> CASE family WHEN 'refs' THEN 'node' WHEN 'cites' THEN 'bibliography' ELSE 'footnote' END")
+def wrong_domain(spark, d):
+    c = A.corpus(spark, d)
+    return links.wrong_domain(c.edges, index_of(c)).select("doc_key", "owner", "label", "target_type")
+
+
+@query("resolve_markers", "SELECT e.doc_key, e.owner, row_number() OVER (PARTITION BY e.doc_key, e.scope, e.o1 ORDER BY e.o2, s0) AS marker_index, i.target_id, family <> 'links' AND (i.target_id IS NULL OR target_domain <> CASE family WHEN 'refs' THEN 'node' WHEN 'cites' THEN 'bibliography' ELSE 'footnote' END) AS warned FROM tree_edges e LEFT JOIN idx i ON e.doc_key = i.doc_key AND e.label = i.label")
+def resolve_markers(spark, d):
+    c = A.corpus(spark, d)
+    return links.resolve_markers(c.edges, index_of(c), ["doc_key", "scope", "o1"]).select("doc_key", "owner", "marker_index", "target_id", "warned")
+
+
+@query("cited_by", "SELECT i.doc_key, i.label, count(DISTINCT e.owner) AS n_sources FROM idx i LEFT JOIN tree_edges e ON e.doc_key = i.doc_key AND e.label = i.label AND family <> 'links' WHERE target_domain <> 'node' GROUP BY 1, 2")
+def cited_by(spark, d):
+    c = A.corpus(spark, d)
+    return links.cited_by(index_of(c), c.edges)
+
+
+# --- validation --------------------------------------------------------------
+
+ONE_RULE = {
+    "v_version": ("cnd-version-unsupported", "SELECT doc_key, concat('cnd_version ', version) AS location FROM docs WHERE version <> '0.5.0'", lambda c: validate.version(c)),
+    "v_id": ("id-not-unique", "SELECT doc_key, concat(owner_type, ' ', id) AS location FROM (SELECT *, row_number() OVER (PARTITION BY doc_key, id ORDER BY rank, scope, o1, o2) AS n FROM claims) x WHERE n > 1", lambda c: validate.unique(c, "id")),
+    "v_label": ("label-not-unique", "SELECT doc_key, concat('@', label, ' on ', owner_type, ' ', id) AS location FROM (SELECT *, row_number() OVER (PARTITION BY doc_key, label ORDER BY rank, scope, o1, o2) AS n FROM claims WHERE label IS NOT NULL) x WHERE n > 1", lambda c: validate.unique(c, "label")),
+    "v_unresolved": ("link-unresolved", "SELECT e.doc_key, concat('@', e.label, ' on ', e.owner_type, ' ', e.owner) AS location FROM tree_edges e LEFT JOIN idx i ON e.doc_key = i.doc_key AND e.label = i.label WHERE family <> 'links' AND i.label IS NULL", lambda c: validate.edge_rules(c)),
+    "v_domain": ("link-wrong-domain", "SELECT e.doc_key, concat('@', e.label, ' on ', e.owner_type, ' ', e.owner) AS location FROM tree_edges e JOIN idx i ON e.doc_key = i.doc_key AND e.label = i.label WHERE target_domain <> CASE family WHEN 'refs' THEN 'node' WHEN 'cites' THEN 'bibliography' ELSE 'footnote' END", lambda c: validate.edge_rules(c)),
+    "v_span": ("text-span-out-of-bounds", "SELECT e.doc_key, concat('@', coalesce(e.label, e.href), ' on ', e.owner_type, ' ', e.owner) AS location FROM tree_edges e WHERE NOT (0 <= s0 AND s0 <= s1 AND s1 <= length)", lambda c: validate.edge_rules(c)),
+    "v_mark_bounds": ("mark-out-of-bounds", "SELECT doc_key, concat(owner_type, ' ', owner) AS location FROM tree_marks WHERE NOT (0 <= s AND s < e AND e <= length)", lambda c: validate.mark_rules(c)),
+    "v_mark_order": ("mark-not-canonical", "SELECT a.doc_key, concat(a.owner_type, ' ', a.owner) AS location FROM tree_marks a JOIN tree_marks b ON a.doc_key = b.doc_key AND a.owner = b.owner AND a.mark_index = 0 AND b.mark_index = 1 WHERE (a.s, a.e, a.kind) > (b.s, b.e, b.kind)", lambda c: validate.mark_rules(c)),
+    "v_mark_merge": ("mark-same-kind-overlap", "SELECT a.doc_key, concat(a.owner_type, ' ', a.owner) AS location FROM tree_marks a JOIN tree_marks b ON a.doc_key = b.doc_key AND a.owner = b.owner AND a.mark_index = 0 AND b.mark_index = 1 AND a.kind = b.kind WHERE CASE WHEN (a.s, a.e) <= (b.s, b.e) THEN b.s <= a.e ELSE a.s <= b.e END", lambda c: validate.mark_rules(c)),
+    "v_mark_atomic": ("mark-atomic-crossed", "SELECT a.doc_key, concat(a.owner_type, ' ', a.owner) AS location FROM tree_marks a JOIN (SELECT doc_key, owner, mark_index, s, e FROM tree_marks UNION ALL SELECT doc_key, owner, -1, s0, s1 FROM tree_edges) o ON a.doc_key = o.doc_key AND a.owner = o.owner AND a.mark_index <> o.mark_index WHERE a.kind IN ('code', 'math') AND NOT (o.e <= a.s OR o.s >= a.e) AND NOT (o.s <= a.s AND o.e >= a.e)", lambda c: validate.mark_rules(c)),
+    "v_pages": ("pagination-partial", "SELECT doc_key, concat(type, ' ', node_id) AS location FROM (SELECT *, count(page) OVER (PARTITION BY doc_key) AS w, count(*) OVER (PARTITION BY doc_key) - count(page) OVER (PARTITION BY doc_key) AS o FROM tree_nodes) x WHERE w > 0 AND o > 0 AND CASE WHEN o <= w THEN page IS NULL ELSE page IS NOT NULL END", lambda c: validate.pagination(c)),
+    "v_bib": ("bib-entry-empty", "SELECT doc_key, concat('@', label, ' (bibliography entry ', id, ')') AS location FROM bib WHERE NOT has_fields AND NOT has_formatted", lambda c: validate.empty_entries(c)),
+    "v_extra": ("doc-extra-shadows-field", "SELECT doc_key, 'doc.extra[''lang'']' AS location FROM docs WHERE doc_key % 4 = 0", lambda c: validate.extra_keys(c)),
+}
+for _name, (_rule, _sql, _run) in ONE_RULE.items():
+    query(_name, f"SELECT doc_key, '{_rule}' AS rule, location FROM ({_sql}) v")(
+        lambda spark, d, rule=_rule, run=_run: run(A.corpus(spark, d)).where(F.col("rule") == rule).select("doc_key", "rule", "location")
+    )
+ALL_RULES = " UNION ALL ".join(f"SELECT doc_key, '{r}' AS rule, location FROM ({s}) v" for r, s, _ in ONE_RULE.values())
+
+
+@query("validate", f"SELECT doc_key, rule, count(*) AS n FROM ({ALL_RULES}) a GROUP BY 1, 2")
+def validate_all(spark, d):
+    return validate.validate(A.corpus(spark, d)).groupBy("doc_key", "rule").agg(F.count("*").alias("n"))
+
+
+@query("result_ok", f"SELECT d.doc_key, count(a.rule) AS n_violations, count(a.rule) = 0 AS ok FROM docs d LEFT JOIN ({ALL_RULES}) a ON d.doc_key = a.doc_key GROUP BY 1")
+def result_ok(spark, d):
+    c = A.corpus(spark, d)
+    return validate.results(c.documents, validate.validate(c))
+
+
+QUERIES["atomic_crossed"], ORACLE_SQL["atomic_crossed"] = QUERIES["v_mark_atomic"], ORACLE_SQL["v_mark_atomic"]
+QUERIES["same_kind_touch"], ORACLE_SQL["same_kind_touch"] = QUERIES["v_mark_merge"], ORACLE_SQL["v_mark_merge"]
+QUERIES["canonical_order"], ORACLE_SQL["canonical_order"] = QUERIES["v_mark_order"], ORACLE_SQL["v_mark_order"]
+
+
+@query("dup_rank", "SELECT doc_key, id, label, nth, first_id FROM (SELECT *, row_number() OVER w AS nth, first_value(id) OVER w AS first_id FROM claims WHERE label IS NOT NULL WINDOW w AS (PARTITION BY doc_key, label ORDER BY rank, scope, o1, o2)) x WHERE nth > 1")
+def dup_rank(spark, d):
+    c = A.corpus(spark, d)
+    return validate.duplicates(links.claims(c.nodes, c.bibliography, c.footnotes), "label").select("doc_key", "id", "label", "nth", "first_id")
+
+
+# --- statistics --------------------------------------------------------------
+
+
+@query("count_types", "SELECT type, count(*) AS n, CAST(round(count(*) * 10000.0 / sum(count(*)) OVER ()) AS BIGINT) AS share_bp FROM tree_nodes GROUP BY 1")
+def count_types(spark, d):
+    n = A.nodes(spark, d).groupBy("type").agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy())  # a row a type
+    return n.select("type", "n", F.round(F.col("n") * 10000.0 / total).cast("long").alias("share_bp"))
+
+
+@query("summary_stats", "SELECT n.doc_key, n.n_nodes, n.n_types, n.max_depth, coalesce(e.n_refs, 0) AS n_refs FROM (SELECT doc_key, count(*) AS n_nodes, count(DISTINCT type) AS n_types, max(depth) AS max_depth FROM tree_nodes GROUP BY 1) n LEFT JOIN (SELECT doc_key, count(*) AS n_refs FROM tree_edges WHERE family <> 'links' GROUP BY 1) e ON n.doc_key = e.doc_key")
+def summary_stats(spark, d):
+    n = A.nodes(spark, d).groupBy("doc_key").agg(F.count("*").alias("n_nodes"), F.countDistinct("type").alias("n_types"), F.max("depth").alias("max_depth"))
+    e = A.edges(spark, d).where("family <> 'links'").groupBy("doc_key").agg(F.count("*").alias("n_refs"))
+    return n.join(e, "doc_key", "left").withColumn("n_refs", F.coalesce("n_refs", F.lit(0)))
+
+
+@query("mark_kinds", "SELECT a.doc_key, a.owner, CASE WHEN a.kind = b.kind THEN a.kind ELSE concat(a.kind, ',', b.kind) END AS kinds FROM tree_marks a JOIN tree_marks b ON a.doc_key = b.doc_key AND a.owner = b.owner AND a.mark_index = 0 AND b.mark_index = 1")
+def mark_kinds(spark, d):
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("text_index", "mark_index", "kind"))), lambda x: x["kind"])
+    return A.corpus(spark, d).marks.groupBy("doc_key", "owner").agg(F.array_join(F.array_distinct(listed), ",").alias("kinds"))
+
+
+@query("checked_ratio", "SELECT doc_key, count(*) FILTER (WHERE checked) AS n_checked, count(*) AS n_items FROM items GROUP BY 1 HAVING bool_or(checked IS NOT NULL)")
+def checked_ratio(spark, d):
+    return grids.checked_ratio(T(spark, d, A.ITEMS).withColumn("ord", F.array(F.lit(0)))).select("doc_key", "n_checked", "n_items")
+
+
+def cells_of(spark, d):
+    return T(spark, d, A.CELLS).withColumn("ord", F.array(F.lit(0)))
+
+
+SHAPE = 'SELECT doc_key, CAST(max("row" + rowspan) AS INT) AS n_rows, CAST(max("col" + colspan) AS INT) AS n_cols FROM cells GROUP BY 1'
+HEADERS = 'SELECT doc_key, "row" FROM cells GROUP BY 1, 2 HAVING bool_and(is_header) UNION ALL SELECT doc_key, 0 FROM cells GROUP BY 1 HAVING NOT bool_or(is_header)'
+
+
+@query("table_shape", SHAPE)
+def table_shape(spark, d):
+    return grids.table_shape(cells_of(spark, d)).select("doc_key", "n_rows", "n_cols")
+
+
+@query("header_rows", f'SELECT doc_key, "row" FROM ({HEADERS}) h')
+def header_rows(spark, d):
+    return grids.header_rows(cells_of(spark, d)).select("doc_key", "row")
+
+
+@query("header_row_text", "SELECT doc_key, string_agg(CASE WHEN plain <> '' AND \"row\" = t THEN plain END, ' | ' ORDER BY \"col\") AS header FROM (SELECT *, coalesce(min(CASE WHEN is_header THEN \"row\" END) OVER (PARTITION BY doc_key), 0) AS t FROM cells) x GROUP BY 1")
+def header_row_text(spark, d):
+    return grids.header_row_text(cells_of(spark, d)).select("doc_key", "header")
+
+
+@query("row_labels", f"""WITH h AS ({HEADERS}), l AS (SELECT c.doc_key, c.plain, row_number() OVER (PARTITION BY c.doc_key ORDER BY c."row") AS n, count(*) OVER (PARTITION BY c.doc_key) AS m FROM cells c LEFT JOIN h ON c.doc_key = h.doc_key AND c."row" = h."row" WHERE h.doc_key IS NULL AND "col" = 0 AND plain <> '')
+SELECT s.doc_key, CASE WHEN s.n_cols >= 2 THEN g.t END AS labels FROM ({SHAPE}) s LEFT JOIN (SELECT doc_key, concat(string_agg(CASE WHEN n <= 20 THEN plain END, ' | ' ORDER BY n), CASE WHEN max(m) > 20 THEN concat(' | … (+', max(m) - 20, ')') ELSE '' END) AS t FROM l GROUP BY 1) g ON s.doc_key = g.doc_key""")
+def row_labels(spark, d):
+    return grids.row_labels(cells_of(spark, d)).select("doc_key", "labels")
+
+
+@query("md_table", """WITH g AS (SELECT doc_key, max("row" + rowspan - 1) AS r, max("col" + colspan - 1) AS c, coalesce(min(CASE WHEN is_header THEN "row" END), 0) AS h FROM cells GROUP BY 1),
+p AS (SELECT doc_key, h, c, i, unnest(range(0, c + 1)) AS j FROM (SELECT doc_key, h, c, unnest(range(0, r + 1)) AS i FROM g) x),
+l AS (SELECT p.doc_key, p.h, p.c, p.i, concat('| ', string_agg(coalesce(replace(k.plain, '|', chr(92) || '|'), ''), ' | ' ORDER BY p.j), ' |') AS t FROM p LEFT JOIN cells k ON k.doc_key = p.doc_key AND k."row" = p.i AND k."col" = p.j GROUP BY 1, 2, 3, 4)
+SELECT doc_key, string_agg(CASE WHEN i = h THEN concat(t, chr(10), '| ', array_to_string(list_transform(range(0, c + 1), lambda x: '---'), ' | '), ' |') ELSE t END, chr(10) ORDER BY i) AS grid FROM l GROUP BY 1""")
+def md_table(spark, d):
+    return grids.grid_markdown(cells_of(spark, d)).select("doc_key", "grid")
+
+
+@query("cell_plain", "SELECT doc_key, entry, plain FROM cells WHERE plain <> ''")
+def cell_plain(spark, d):
+    return T(spark, d, A.CELLS).where("plain <> ''").select("doc_key", "entry", "plain")
+
+
+# --- counters ----------------------------------------------------------------
+
+
+@query("list_ordinals", "WITH x AS (SELECT *, row_number() OVER w AS n, last_value(number IGNORE NULLS) OVER w AS b, last_value(CASE WHEN number IS NOT NULL THEN entry + 1 END IGNORE NULLS) OVER w AS a FROM items WINDOW w AS (PARTITION BY doc_key ORDER BY entry)) SELECT doc_key, entry, CASE WHEN ordered THEN CAST(coalesce(b + n - a, n) AS BIGINT) END AS ordinal FROM x")
+def list_ordinals(spark, d):
+    return grids.list_ordinals(T(spark, d, A.ITEMS), ["doc_key"], "entry", "number", "ordered").select("doc_key", "entry", F.col("ordinal").cast("long").alias("ordinal"))
+
+
+@query("ctr_heading", """WITH h AS (SELECT doc_key, node_id, level, scope, o1, count(*) FILTER (WHERE level < 1) OVER w AS g1, count(*) FILTER (WHERE level < 2) OVER w AS g2, count(*) FILTER (WHERE level < 3) OVER w AS g3 FROM tree_nodes WHERE type = 'heading' WINDOW w AS (PARTITION BY doc_key ORDER BY scope, o1)),
+c AS (SELECT *, count(*) FILTER (WHERE level = 1) OVER (PARTITION BY doc_key, g1 ORDER BY scope, o1) AS c1, count(*) FILTER (WHERE level = 2) OVER (PARTITION BY doc_key, g2 ORDER BY scope, o1) AS c2, count(*) FILTER (WHERE level = 3) OVER (PARTITION BY doc_key, g3 ORDER BY scope, o1) AS c3 FROM h)
+SELECT doc_key, node_id, CASE level WHEN 1 THEN CAST(c1 AS VARCHAR) WHEN 2 THEN concat(c1, '.', c2) ELSE concat(c1, '.', c2, '.', c3) END AS number FROM c""")
+def ctr_heading(spark, d):
+    return grids.heading_numbers(A.nodes(spark, d).where("type = 'heading'"), ["scope", "ord"], 3).select("doc_key", "node_id", "number")
+
+
+@query("ctr_figure", "SELECT doc_key, node_id, CAST(row_number() OVER (PARTITION BY doc_key, k % 3 ORDER BY scope, o1, o2) AS VARCHAR) AS number FROM tree_nodes WHERE type = 'figure'")
+def ctr_figure(spark, d):
+    return grids.running_number(A.nodes(spark, d).where("type = 'figure'").withColumn("kind", F.col("k") % 3), ["doc_key", "kind"], ["scope", "ord"]).select("doc_key", "node_id", "number")
+
+
+@query("ctr_math", "SELECT doc_key, node_id, concat('(', row_number() OVER (PARTITION BY doc_key ORDER BY scope, o1, o2), ')') AS number FROM tree_nodes WHERE type = 'math'")
+def ctr_math(spark, d):
+    return grids.running_number(A.nodes(spark, d).where("type = 'math'"), ["doc_key"], ["scope", "ord"], "(%d)").select("doc_key", "node_id", "number")
+
+
+# --- text functions ----------------------------------------------------------
+
+
+def lines(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+
+
+def pages(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url", "html")
+
+
+SCALARS = {
+    "html_escape": ("pages", "html", S.html_escape, "replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"),
+    "gfm_cell": ("pages", "html", S.gfm_cell, "replace(replace(regexp_replace(html, '\\r\\n|\\r', chr(10), 'g'), '|', '\\|'), chr(10), '<br>')"),
+    "one_line": ("documents", "text", S.one_line, "regexp_replace(text, '\\r\\n|\\r|\\n', ' ', 'g')"),
+    "unix_nl": ("documents", "text", S.unix_newlines, "regexp_replace(text, '\\r\\n|\\r', chr(10), 'g')"),
+    "sha256": ("documents", "text", S.sha256, "concat('sha256:', sha256(text))"),
+    "preview": ("documents", "text", S.preview, "CASE WHEN length(text) > 80 THEN concat(substr(text, 1, 77), '...') ELSE text END"),
+    "css_token": ("documents", "text", lambda c: S.css_token(F.substring(c, 1, 60)), "replace(replace(replace(replace(replace(regexp_replace(regexp_replace(substr(text, 1, 60), '^\\s+|\\s+$', '', 'g'), '\\s+', '-', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"),
+    "attr_value": ("pages", "html", S.attr_value, "regexp_replace(regexp_replace(replace(replace(html, '\\', '\\\\'), '\"', '\\\"'), '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')"),
+    "escape_dest": ("pages", "url", lambda c: S.escape_destination(F.concat(c, F.lit("?a=1&b=(2)"))), "concat('<', replace(replace(replace(replace(concat(url, '?a=1&b=(2)'), '\\', '\\\\'), '&', '\\&'), '<', '%3C'), '>', '%3E'), '>')"),
+    "url_scheme": ("pages", "url", lambda c: S.url_scheme(F.concat(F.lit(" \t"), F.upper(c))), "lower(regexp_extract(upper(url), '^([A-Za-z][A-Za-z0-9+.\\-]*):', 1))"),
+    "is_safe_url": ("pages", "url", lambda c: S.is_safe_url(F.replace(c, F.lit("https:"), F.lit("java\nscript:"))), "regexp_extract(replace(url, 'https:', 'javascript:'), '^([A-Za-z][A-Za-z0-9+.\\-]*):', 1) IN ('', 'http', 'https', 'mailto')"),
+    "is_safe_image": ("pages", "url", lambda c: S.is_safe_image(F.concat(F.lit("data:image/png,"), c)), "url IS NOT NULL"),
+    "fence": ("documents", "text", lambda c: S.fence(F.replace(c, F.lit(" the "), F.lit(" ```` "))), "repeat('`', CASE WHEN contains(text, ' the ') THEN 5 ELSE 3 END)"),
+    "code_span": ("documents", "text", lambda c: S.code_span(F.substring(c, 1, 40)), "concat('`', regexp_replace(substr(text, 1, 40), '\\r\\n|\\r|\\n', ' ', 'g'), '`')"),
+    "escape_alt": ("pages", "html", S.escape_alt, "regexp_replace(html, '[\\[\\]`<]', '\\\\\\0', 'g')"),
+    "yaml_scalar": ("documents", "text", S.yaml_scalar, "concat('\"', replace(replace(replace(text, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n'), '\"')"),
+    "prefix_lines": ("documents", "text", S.prefixed, "array_to_string(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN x <> '' THEN concat('> ', x) ELSE '>' END), chr(10))"),
+    "indent_lines": ("documents", "text", lambda c: S.indented(c, F.lit("- "), F.lit("  ")), "array_to_string(list_prepend(rtrim(concat('- ', string_split(text, chr(10))[1]), ' '), list_transform(string_split(text, chr(10))[2:], lambda x: CASE WHEN x <> '' THEN concat('  ', x) ELSE x END)), chr(10))"),
+    "jcs_string": ("documents", "text", S.json_string, "CAST(to_json(text) AS VARCHAR)"),
+    "node_hash": ("documents", "text", S.paragraph_hash, "concat('sha256:', sha256(concat('{\"text\":{\"value\":', CAST(to_json(nfc_normalize(text)) AS VARCHAR), '},\"type\":\"paragraph\"}')))"),
+    "md_heading": ("documents", "text", lambda c: F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), S.one_line(F.substring(c, 1, 50))), None),
+}
+for _name, (_table, _col, _fn, _sql) in SCALARS.items():
+    _key = "page_id" if _table == "pages" else "doc_id"
+    if _name == "md_heading":
+        continue
+    query(_name, f"SELECT {_key}, {_sql} AS out FROM {_table}")(
+        lambda spark, d, t=_table, c=_col, k=_key, fn=_fn: spark.read.parquet(f"{d}/{t}.parquet").select(k, fn(F.col(c)).alias("out"))
+    )
+
+
+@query("escape_inline")
+def escape_inline(spark, d):
+    return pages(spark, d).select("page_id", S.escape_inline(F.col("html")).alias("out"))
+
+
+@query("escape_block")
+def escape_block(spark, d):
+    return pages(spark, d).select("page_id", S.escape_block(F.col("html")).alias("out"))
+
+
+@query("fmt_date", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y') WHEN 1 THEN strftime(o_orderdate, '%Y-%m') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS shown FROM orders")
+def fmt_date(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    k = F.col("o_orderkey") % 3
+    return o.select("o_orderkey", S.format_date(F.year("o_orderdate"), F.when(k > 0, F.month("o_orderdate")), F.when(k != 1, F.dayofmonth("o_orderdate"))).alias("shown"))
+
+
+@query("fmt_bib", "SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN p_name ELSE concat_ws('. ', nullif(CASE WHEN p_size % 3 = 0 THEN '' ELSE p_brand END, ''), concat('(', 1900 + p_size, ')'), p_type) END AS shown FROM part")
+def fmt_bib(spark, d):
+    size, none = F.col("p_size"), F.lit(None).cast("string")
+    shown = S.format_bib(F.when(size % 4 == 0, F.col("p_name")), F.when(size % 3 == 0, "").otherwise(F.col("p_brand")), 1900 + size, F.col("p_type"), none, none, none, F.col("p_name"))
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", shown.alias("shown"))
+
+
+@query("placeholder", "SELECT p_partkey, concat('[[figure:', p_partkey, ' kind=\"table\"', CASE WHEN p_size % 2 = 0 THEN concat(' caption=\"', p_name, '\"') ELSE '' END, ' rows=\"', p_size, '\"]]') AS shown FROM part")
+def placeholder(spark, d):
+    attrs = [("kind", F.lit("table")), ("caption", F.when(F.col("p_size") % 2 == 0, F.col("p_name"))), ("rows", F.col("p_size").cast("string"))]
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", S.placeholder(F.col("p_partkey").cast("string"), attrs).alias("shown"))
+
+
+# --- hashing, matching, diff -------------------------------------------------
+
+DIGESTS = "SELECT p.doc_key, p.scope, p.o1, sha256(concat('[', coalesce(concat('|', string_agg(concat(c.node_hash, '|', CASE WHEN c.slots > 0 THEN sha256('[|]') ELSE '' END), '|' ORDER BY c.o2)), ''), '|]')) AS subtree FROM {t} p LEFT JOIN {t} c ON c.depth = 1 AND c.doc_key = p.doc_key AND c.scope = p.scope AND c.o1 = p.o1 WHERE p.depth = 0 GROUP BY 1, 2, 3"
+ENTRIES = """SELECT n.doc_key, n.node_id, n.label, n.type, n.node_hash AS hash, row_number() OVER (PARTITION BY n.doc_key ORDER BY n.scope, n.o1, n.o2) AS walk_order,
+CASE WHEN n.scope = 0 THEN n.path ELSE concat('footnotes/', f.label, substr(n.path, 12)) END AS path, CASE WHEN n.type = 'quote' THEN g.subtree ELSE '' END AS subtree
+FROM {t} n LEFT JOIN notes f ON f.doc_key = n.doc_key AND f.pool_index = n.scope - 1 LEFT JOIN (""" + DIGESTS + """) g ON n.depth = 0 AND g.doc_key = n.doc_key AND g.scope = n.scope AND g.o1 = n.o1"""
+KEYS = {"label": "label", "hash+path": "concat(hash, '~', subtree, '~', path)", "hash": "concat(hash, '~', subtree)", "path+type": "concat(path, '~', type)", "container-hash": "CASE WHEN subtree <> '' THEN hash END"}
+
+
+def passes_sql(final: str, until: int = 5) -> str:
+    ctes = [f"o0 AS ({ENTRIES.format(t='tree_nodes')})", f"n0 AS ({ENTRIES.format(t='new_nodes')})"]
+    for i, (name, key) in enumerate(list(KEYS.items())[:until]):
+        for s in "on":
+            ctes.append(f"{s}k{i} AS (SELECT *, row_number() OVER (PARTITION BY doc_key, k ORDER BY walk_order) AS rn FROM (SELECT *, {key} AS k FROM {s}{i}) q WHERE k IS NOT NULL)")
+        ctes.append(f"m{i} AS (SELECT o.doc_key, o.walk_order AS oo, n.walk_order AS nn, o.node_id AS old_id, n.node_id AS new_id, o.hash AS oh, n.hash AS nh, o.path AS op, n.path AS np, '{name}' AS matched_by FROM ok{i} o JOIN nk{i} n ON o.doc_key = n.doc_key AND o.k = n.k AND o.rn = n.rn)")
+        for s, c in (("o", "oo"), ("n", "nn")):
+            ctes.append(f"{s}{i + 1} AS (SELECT x.* FROM {s}{i} x LEFT JOIN m{i} m ON x.doc_key = m.doc_key AND x.walk_order = m.{c} WHERE m.doc_key IS NULL)")
+    ctes.append("pairs AS (" + " UNION ALL ".join(f"SELECT * FROM m{i}" for i in range(until)) + ")")
+    ctes.append(f"""changes AS (SELECT doc_key, CASE WHEN oh <> nh THEN 'changed' WHEN op <> np THEN 'moved' ELSE 'unchanged' END AS status, matched_by, old_id, new_id, oo, nn FROM pairs
+      UNION ALL SELECT doc_key, 'added', NULL, NULL, node_id, NULL, walk_order FROM n{until} UNION ALL SELECT doc_key, 'removed', NULL, node_id, NULL, walk_order, NULL FROM o{until})""")
+    return f"WITH {', '.join(ctes)} {final}"
+
+
+def builds(spark, d):
+    c = A.corpus(spark, d)
+    return match.entries(c.nodes, c.footnotes), match.entries(A.nodes(spark, d, new=True), c.footnotes)
+
+
+@query("subtree_digest", DIGESTS.format(t="tree_nodes"))
+def subtree_digest(spark, d):
+    n = A.nodes(spark, d)
+    return match.subtree_digests(n).where("size(ord) = 1").select("doc_key", "scope", F.get("ord", 0).alias("o1"), "subtree")
+
+
+@query("match_path", "SELECT n.doc_key, n.node_id, CASE WHEN n.scope = 0 THEN n.path ELSE concat('footnotes/', f.label, substr(n.path, 12)) END AS match_path FROM tree_nodes n LEFT JOIN notes f ON f.doc_key = n.doc_key AND f.pool_index = n.scope - 1")
+def match_path(spark, d):
+    c = A.corpus(spark, d)
+    return match.match_path(c.nodes, c.footnotes).select("doc_key", "node_id", "match_path")
+
+
+@query("entries", f"SELECT doc_key, node_id, path, hash, walk_order, subtree FROM ({ENTRIES.format(t='tree_nodes')}) e")
+def entries(spark, d):
+    return builds(spark, d)[0].select("doc_key", "node_id", "path", "hash", "walk_order", "subtree")
+
+
+for _i, (_id, _name) in enumerate({"m1_label": "label", "m2_hash_path": "hash+path", "m3_hash": "hash", "m4_path_type": "path+type", "m5_container": "container-hash"}.items()):
+    query(_id, passes_sql(f"SELECT doc_key, old_id, new_id FROM m{_i}"))(
+        lambda spark, d, name=_name: match.match_entries(*builds(spark, d), until=name)[0].where(F.col("matched_by") == name).select("doc_key", F.col("old_node_id").alias("old_id"), F.col("new_node_id").alias("new_id"))
+    )
+
+
+@query("match_entries", passes_sql("SELECT doc_key, matched_by, old_id, new_id FROM pairs"))
+def match_entries(spark, d):
+    return match.match_entries(*builds(spark, d))[0].select("doc_key", "matched_by", F.col("old_node_id").alias("old_id"), F.col("new_node_id").alias("new_id"))
+
+
+QUERIES["match_tiebreak"], ORACLE_SQL["match_tiebreak"] = QUERIES["match_entries"], ORACLE_SQL["match_entries"]
+
+
+@query("diff", passes_sql("SELECT doc_key, status, matched_by, old_id, new_id, row_number() OVER (PARTITION BY doc_key ORDER BY nn NULLS LAST, oo) AS seq FROM changes"))
+def diff(spark, d):
+    return match.diff(*builds(spark, d)).select("doc_key", "status", "matched_by", "old_id", "new_id", "seq")
+
+
+@query("diff_counts", passes_sql("SELECT doc_key, status, count(*) AS n FROM changes GROUP BY 1, 2"))
+def diff_counts(spark, d):
+    return match.diff_counts(match.diff(*builds(spark, d)))
+
+
+@query("status_views", passes_sql("SELECT doc_key, bool_and(status = 'unchanged') AS is_empty FROM changes GROUP BY 1"))
+def status_views(spark, d):
+    return match.unchanged_docs(match.diff(*builds(spark, d)))
+
+
+POOL = """SELECT n.doc_key, CASE WHEN o.id IS NULL THEN 'added' WHEN o.hash = n.hash THEN 'unchanged' ELSE 'changed' END AS status, n.label, o.id AS old_id, n.id AS new_id
+FROM new_bib n LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_key, label ORDER BY pool_index DESC) AS r FROM bib) x WHERE r = 1) o ON o.doc_key = n.doc_key AND o.label = n.label
+UNION ALL SELECT o.doc_key, 'removed', o.label, o.id, NULL FROM bib o WHERE NOT EXISTS (SELECT 1 FROM new_bib n WHERE n.doc_key = o.doc_key AND n.label = o.label)"""
+
+
+@query("match_pool", f"SELECT doc_key, label, old_id, new_id FROM ({POOL}) p WHERE old_id IS NOT NULL AND new_id IS NOT NULL")
+def match_pool(spark, d):
+    return match.match_pool(T(spark, d, A.BIBLIOGRAPHY), T(spark, d, A.NEW_BIBLIOGRAPHY)).where("old_id is not null and new_id is not null").select("doc_key", "label", "old_id", "new_id")
+
+
+@query("pool_diff", POOL)
+def pool_diff(spark, d):
+    return match.match_pool(T(spark, d, A.BIBLIOGRAPHY), T(spark, d, A.NEW_BIBLIOGRAPHY))
+
+
+def mapping(spark, d, only_exact=False):
+    return match.remap(match.diff(*builds(spark, d)), only_exact=only_exact)
+
+
+@query("reconcile", passes_sql("SELECT doc_key, new_id, coalesce(old_id, new_id) AS id FROM changes WHERE new_id IS NOT NULL"))
+def reconcile(spark, d):
+    return mapping(spark, d)
+
+
+@query("reconcile_exact", passes_sql("SELECT doc_key, new_id, CASE WHEN matched_by = 'label' THEN old_id ELSE new_id END AS id FROM changes WHERE new_id IS NOT NULL"))
+def reconcile_exact(spark, d):
+    return mapping(spark, d, only_exact=True)
+
+
+@query("reconcile_counts", passes_sql("SELECT doc_key, count(old_id) AS inherited, count(*) - count(old_id) AS minted FROM changes WHERE new_id IS NOT NULL GROUP BY 1"))
+def reconcile_counts(spark, d):
+    return match.reconcile_counts(mapping(spark, d))
+
+
+@query("remap_guards", "SELECT doc_key, new_id AS id, 'none' AS problem FROM (SELECT 1 AS doc_key, 'x' AS new_id) x WHERE false")
+def remap_guards(spark, d):
+    return match.remap_conflicts(mapping(spark, d)).select(F.col("doc_key").cast("int").alias("doc_key"), "id", "problem")
+
+
+@query("remap_apply", passes_sql("SELECT n.doc_key, coalesce(c.old_id, n.node_id) AS node_id, n.value FROM new_nodes n LEFT JOIN changes c ON n.doc_key = c.doc_key AND n.node_id = c.new_id"))
+def remap_apply(spark, d):
+    return match.remap_apply(A.nodes(spark, d, new=True), mapping(spark, d)).select("doc_key", "node_id", "value")
+
+
+@query("content_hash", "WITH h AS (SELECT doc_key, o1, concat('sha256:', sha256(concat('{\"text\":{\"value\":', CAST(to_json(value) AS VARCHAR), '},\"type\":\"paragraph\"}'))) AS nh FROM turns) SELECT doc_key, concat('sha256:', sha256(concat('{\"bibliography\":[],\"doc\":{\"title\":\"', doc_key, '\"},\"footnotes\":[],\"nodes\":[', string_agg(concat('[\"nodes/', o1, '\",\"', nh, '\"]'), ',' ORDER BY o1), ']}'))) AS content_hash FROM h GROUP BY 1")
+def content_hash(spark, d):
+    t = T(spark, d, A.TURNS).select("doc_key", "o1", S.paragraph_hash(F.col("value")).alias("nh"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o1", "nh"))), lambda x: F.concat(F.lit('["nodes/'), x["o1"].cast("string"), F.lit('","'), x["nh"], F.lit('"]'))), ",")
+    g = t.groupBy("doc_key").agg(listed.alias("n"))
+    return g.select("doc_key", S.sha256(F.concat(F.lit('{"bibliography":[],"doc":{"title":"'), F.col("doc_key").cast("string"), F.lit('"},"footnotes":[],"nodes":['), F.col("n"), F.lit("]}"))).alias("content_hash"))
+
+
+@query("pool_hash", "SELECT doc_key, label, concat('sha256:', sha256(concat('{\"label\":', CAST(to_json(label) AS VARCHAR), '}'))) AS hash FROM notes")
+def pool_hash(spark, d):
+    return T(spark, d, A.FOOTNOTES).select("doc_key", "label", S.sha256(F.concat(F.lit('{"label":'), S.json_string(F.col("label")), F.lit("}"))).alias("hash"))
