@@ -611,3 +611,51 @@ def content_hash(spark, d):
 @query("pool_hash", "SELECT doc_key, label, concat('sha256:', sha256(concat('{\"label\":', CAST(to_json(label) AS VARCHAR), '}'))) AS hash FROM notes")
 def pool_hash(spark, d):
     return T(spark, d, A.FOOTNOTES).select("doc_key", "label", S.sha256(F.concat(F.lit('{"label":'), S.json_string(F.col("label")), F.lit("}"))).alias("hash"))
+
+
+# --- declarations and whole documents ----------------------------------------
+
+
+def declared(spark, d):
+    """Conversations as declarations: a heading for each, a paragraph for each turn."""
+    from folioflow.sources import declarations  # noqa: F401  (the compiler runs on the executors)
+
+    turns = T(spark, d, A.TURNS)
+    para = F.to_json(F.struct(F.lit("paragraph").alias("type"), "label", F.col("value").alias("text")))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o1", para.alias("p")))), lambda x: x["p"]), ",")
+    raw = F.concat(
+        F.lit('{"declaration_version":"0.2.0","doc":{"title":"Conversation '), F.col("doc_key").cast("string"),
+        F.lit('"},"nodes":[{"type":"heading","level":1,"text":"Turns","children":['), F.col("ps"), F.lit("]}]}"),
+    )
+    return turns.groupBy("doc_key").agg(listed.alias("ps")).select(F.col("doc_key").cast("string").alias("doc_key"), raw.alias("raw"))
+
+
+@query("build_numbered", "SELECT CAST(doc_key AS VARCHAR) AS doc_key, 1 + count(*) AS n_nodes, '1 Turns' AS heading_path, min(CASE WHEN o1 = 0 THEN value END) AS first_text FROM turns GROUP BY 1")
+def build_numbered(spark, d):
+    from folioflow.plans.stage import cut
+    from folioflow.sources import declarations, documents
+
+    c = documents.corpus(cut(documents.parse(cut(declarations.compile_all(declared(spark, d), numbering=True)).select("doc_key", "raw"))))
+    n = c.nodes.groupBy("doc_key").agg(F.count("*").alias("n_nodes"), F.max(F.when(F.col("type") == "heading", F.array_join("heading_path", "/"))).alias("heading_path"))
+    first = c.texts.where("size(ord) = 2 and ord[1] = 0").select("doc_key", F.col("value").alias("first_text"))
+    return n.join(first, "doc_key")
+
+
+@query("build_hashes", "SELECT CAST(doc_key AS VARCHAR) AS doc_key, concat('nodes/0/children/', o1) AS path, concat('sha256:', sha256(concat('{\"label\":', CAST(to_json(label) AS VARCHAR), ',\"text\":{\"value\":', CAST(to_json(nfc_normalize(value)) AS VARCHAR), '},\"type\":\"paragraph\"}'))) AS node_hash FROM turns")
+def build_hashes(spark, d):
+    from folioflow.plans.stage import cut
+    from folioflow.sources import declarations, documents
+
+    c = documents.corpus(documents.parse(cut(declarations.compile_all(declared(spark, d))).select("doc_key", "raw")))
+    return c.nodes.where("type = 'paragraph'").select("doc_key", "path", "node_hash")
+
+
+@query("conv_md")
+def conv_md(spark, d):
+    from folioflow.operators import convert
+    from folioflow.sources import declarations
+
+    built = declarations.compile_all(declared(spark, d), numbering=True)
+    told = convert.to_markdown(built.select("doc_key", "raw"))
+    body = F.regexp_replace("text", "(?m)^built_at: .*$", "built_at:")
+    return told.select("doc_key", body.alias("text"), F.size("warnings").alias("n_warnings"))
