@@ -659,3 +659,12 @@ def conv_md(spark, d):
     told = convert.to_markdown(built.select("doc_key", "raw"))
     body = F.regexp_replace("text", "(?m)^built_at: .*$", "built_at:")
     return told.select("doc_key", body.alias("text"), F.size("warnings").alias("n_warnings"))
+
+
+@query("conv_html")
+def conv_html(spark, d):
+    from folioflow.operators import convert
+    from folioflow.sources import declarations
+
+    told = convert.to_html(declarations.compile_all(declared(spark, d), numbering=True).select("doc_key", "raw"))
+    return told.select("doc_key", F.regexp_replace("text", 'data-built-at="[^"]*"', "").alias("text"), F.size("warnings").alias("n_warnings"))

@@ -282,7 +282,13 @@ class MarkdownBlocks:
         cells = n.get("cells") or []
         if not cells or not (self.tables == "inline" or self.tables == "auto" and n.get("kind") == "content"):
             return self.placed("figure", n, [("kind", "table"), ("table_kind", n.get("kind")), *table_facts(n)])
-        return self.grid(cells) if all(map(cell_fits, cells)) else self.linear(n)
+        if all(map(cell_fits, cells)):
+            return self.grid(cells)
+        if self.text_only:
+            return self.linear(n)
+        from folioflow.functions.html import HtmlBlocks
+
+        return HtmlBlocks(links=False).block(n).replace("\n", "&#10;")  # one HTML block, which no blank line ends
 
     def grid(self, cells: list[dict]) -> str:
         width = 1 + max(c["col"] + c.get("colspan", 1) - 1 for c in cells)

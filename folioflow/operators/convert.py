@@ -8,10 +8,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from folioflow.functions.blocks import MarkdownDocument
+from folioflow.functions.html import HtmlDocument
 from folioflow.sources.documents import flatten, load, without_defaults, _DOC_DEFAULTS
 
 
 def to_markdown(documents: DataFrame, text_only: bool = False) -> DataFrame:
+    """Documents as Markdown files."""
+    return _converted(documents, lambda doc: MarkdownDocument(doc, text_only).convert())
+
+
+def to_html(documents: DataFrame) -> DataFrame:
+    """Documents as standalone HTML pages."""
+    return _converted(documents, lambda doc: HtmlDocument(doc).convert())
+
+
+def _converted(documents: DataFrame, convert) -> DataFrame:
     """From (doc_key, raw): (doc_key, text, warnings, reason). What can't be read has a reason and no text."""
 
     def run(batches):
@@ -21,7 +32,7 @@ def to_markdown(documents: DataFrame, text_only: bool = False) -> DataFrame:
                 try:
                     doc = load(raw)
                     flatten(doc)  # the whole shape is checked before any of it is rendered
-                    text, warnings = MarkdownDocument(doc, text_only).convert()
+                    text, warnings = convert(doc)
                     out.append((key, text, warnings, None))
                 except (ValueError, TypeError, KeyError, AttributeError) as e:
                     out.append((key, None, [], str(e) or type(e).__name__))
