@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import Workspace
+from folioflow.llm.common import Workspace, bounded_sample
 
 #: Vectors the partition is learned from, at most; neighbours in its graph; parts, at most.
 MAX_SAMPLE, GRAPH_DEGREE, MAX_PARTS = 8000, 10, 32
@@ -206,7 +206,7 @@ def search(
     sizes = source.where("vec is not null").groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
     length = sizes.n if sizes else 1
     valid = source.where(usable(F.col("vec"), length))
-    sample = valid.select(F.xxhash64("id").alias("h"), "id", "vec").orderBy("h", "id").limit(MAX_SAMPLE).select("vec").collect()
+    sample = bounded_sample(valid, ["id"], MAX_SAMPLE).select("vec").collect()
     router = fit(np.array([r.vec for r in sample], dtype=float), recall, k)
     shared = spark.sparkContext.broadcast(router)  # bounded by the layer sizes
 

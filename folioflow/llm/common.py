@@ -52,6 +52,15 @@ class Workspace:
     def read(self, path: str, schema) -> DataFrame:
         return self.spark.read.schema(schema).parquet(path)
 
+    def _files(self, path: str):
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(conf), p
+
+    def exists(self, path: str) -> bool:
+        files, p = self._files(path)
+        return files.exists(p)
+
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Writes ``df`` and returns it as read from the files."""
         path = self.path(name)
@@ -64,9 +73,8 @@ class Workspace:
         """Removes a saved table that no later step reads."""
         path = getattr(df, "_folio_path", None)
         if path:
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            files, p = self._files(path)
+            files.delete(p, True)
 
 
 def crc_of_id(col: Column | str) -> Column:
@@ -85,9 +93,28 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def bounded_sample(df: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """At most ``most`` rows: those with the smallest hash of ``keys``, the same on every run.
+
+    Rows are first thinned by their hash to little more than ``most`` in all, so
+    that the sort's end doesn't take ``most`` rows from every task.
+    """
+    n = df.count()
+    drawn = df.withColumn("_h", F.pmod(F.xxhash64(*keys), F.lit(1 << 30)))
+    if n > most:
+        drawn = drawn.where(F.col("_h") < int((1.1 * most + 100) / n * (1 << 30)))
+    return drawn.orderBy("_h", *keys).limit(most).drop("_h")
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def each_text(column, rows: int = 256):
+    """A column's values in turn, few of them as Python objects at a time."""
+    for a in range(0, len(column), rows):
+        yield from column.slice(a, rows).to_pylist()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import Workspace
+from folioflow.llm.common import Workspace, bounded_sample, each_text
 
 #: Words that are symbols themselves; classes of the others; hidden states.
 SYMBOLS, CLASSES, STATES = 8000, 64, 8
@@ -61,21 +61,29 @@ class Counts:
 
 
 def count_words(texts: DataFrame, ws: Workspace) -> Counts:
-    """Counts over all of ``texts`` (one column). A row a batch and word moves; the table is written."""
+    """Counts over all of ``texts`` (one column). A task sends its counts whenever it holds 400,000; the table is written."""
+
+    def told(counts):
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
 
     def run(batches):
+        counts: Counter = Counter()
         for batch in batches:
-            counts: Counter = Counter()
-            for text in batch.column(0).to_pylist():
+            for text in each_text(batch.column(0)):
                 counts.update(words_of(text))
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
+                if len(counts) > 400_000:
+                    yield told(counts)
+                    counts = Counter()
+        yield told(counts)
 
     ends = texts.count()
     table = ws.save(texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "counts")
     group = F.crc32(F.expr("substring(word, -2, 2)")) % CLASSES
     classes = {int(r.g): (int(r.n), int(r.c)) for r in table.groupBy(group.alias("g")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).collect()}
-    top = table.where(F.octet_length("word") <= COMMON_BYTES).orderBy(F.desc("c"), "word").limit(COMMON).toPandas()
-    common = dict(zip(map(bytes, top["word"]), map(int, top["c"])))
+    short = table.where(F.octet_length("word") <= COMMON_BYTES)
+    top = short.where(F.col("c") >= least_common(short)).toPandas()
+    top = sorted(zip(map(bytes, top["word"]), map(int, top["c"])), key=lambda x: (-x[1], x[0]))
+    common = dict(top)
     symbols = {w: i + 1 for i, w in enumerate(list(common)[:SYMBOLS])}
     words, total = np.zeros(CLASSES), np.zeros(CLASSES)
     for g, (n, c) in classes.items():
@@ -89,6 +97,23 @@ def count_words(texts: DataFrame, ws: Workspace) -> Counts:
     return Counts(tokens, distinct, ends, common, symbols, counts, np.log10(total + words + 1), table)
 
 
+def least_common(table: DataFrame) -> int:
+    """The smallest count that at most COMMON words reach.
+
+    Counts are told to three digits (a few thousand rows at most come to the
+    driver), so that words of like count are in or out together.
+    """
+    step = F.pow(F.lit(10.0), F.greatest(F.floor(F.log10("c")) - 2, F.lit(0)))
+    rows = table.groupBy((F.floor(F.col("c") / step) * step).cast("long").alias("least")).count().collect()
+    words, least = 0, None
+    for row in sorted(rows, key=lambda r: -r.least):
+        words += row["count"]
+        if words > COMMON:
+            break
+        least = row.least
+    return 1 << 62 if least is None else least
+
+
 def symbol_lists(texts: list[str | None], counts: Counts) -> list[np.ndarray]:
     """Each text's symbols, the end last."""
     known, first_class = counts.symbols, 1 + len(counts.symbols)
@@ -205,13 +230,13 @@ def seeded(rows: list[np.ndarray], counts: Counts) -> Model:
 
 
 def train(texts: DataFrame, drawn: DataFrame, counts: Counts) -> Model:
-    """Baum-Welch: a bounded seed, then PASSES passes whose expected counts come from every text.
+    """Baum-Welch: a bounded seed drawn from ``drawn`` (id, text), then PASSES passes whose expected counts come from every text.
 
     A task sums its texts and sends one row of numbers a state; STATES + 1 tasks
     add these up, and STATES + 1 rows come to the driver.
     """
     spark = texts.sparkSession
-    rows = symbol_lists([r.text for r in drawn.limit(SEED_TEXTS).collect()], _bare(counts))
+    rows = symbol_lists([r.text for r in bounded_sample(drawn, ["id"], SEED_TEXTS).collect()], _bare(counts))
     model = seeded([r[: 4 * PIECE] for r in rows], counts)
     told = spark.sparkContext.broadcast(_bare(counts))
     for _ in range(PASSES):

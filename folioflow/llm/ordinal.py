@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioflow.llm import bpe
-from folioflow.llm.common import Workspace
+from folioflow.llm.common import Workspace, bounded_sample, each_text
 from folioflow.llm.features import word_counts
 
 WORD_BINS = 1 << 16
@@ -123,12 +123,12 @@ def fit(data: list[tuple[np.ndarray, np.ndarray, int]], grades: list[float], rat
 def learn(docs: DataFrame, ratings: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "quality") -> Model:
     """Fits on at most MAX_RATED rated texts, the first by a hash of their id (few ids, broadcast to the scan)."""
     told = ratings.where(F.col(grade_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(F.col(grade_col).cast("double")).alias("grade"))
-    ids = told.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(MAX_RATED)
+    ids = bounded_sample(told, ["id"], MAX_RATED).withColumn("h", F.xxhash64("id"))
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches):
         for batch in batches:
-            found = [features(t) for t in batch.column(0).to_pylist()]
+            found = [features(t) for t in each_text(batch.column(0))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1].astype(np.float32) for f in found], pa.list_(pa.float32())), batch.column(1), batch.column(2)],
                 names=["at", "value", "grade", "h"],
@@ -154,7 +154,7 @@ def grade(docs: DataFrame, model: Model, least: float | None = None, text_col: s
         k = sum(g < want for g in m.grades)
         for batch in batches:
             expected, tail = [], []
-            for text in batch.column(batch.schema.get_field_index(text_col)).to_pylist():
+            for text in each_text(batch.column(batch.schema.get_field_index(text_col))):
                 p = m.tails(text)
                 expected.append(m.expected(p))
                 tail.append(1.0 if k == 0 or len(m.grades) < 2 else float(p[k - 1]) if k <= len(p) else 0.0)

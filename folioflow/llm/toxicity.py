@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioflow.llm import bpe
-from folioflow.llm.common import Workspace
+from folioflow.llm.common import Workspace, bounded_sample, each_text
 
 # Letters of other scripts, and digits and signs, by the letter they look like.
 LOOK_ALIKES = {
@@ -130,15 +130,21 @@ def terms_of(folded: str) -> set[str]:
 
 
 def count_terms(sample: DataFrame, wanted: frozenset | None) -> DataFrame:
-    """(term, n): in how many texts of the sample each term is; one row a batch and term moves."""
+    """(term, n): in how many texts of the sample each term is; a task sends its counts whenever it holds 200,000."""
+
+    def told(counts):
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
 
     def run(batches):
+        counts: Counter = Counter()
         for batch in batches:
-            counts: Counter = Counter()
-            for text in batch.column(0).to_pylist():
+            for text in each_text(batch.column(0)):
                 terms = terms_of(fold(text))
                 counts.update(terms if wanted is None else terms & wanted)
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
+                if len(counts) > 200_000:
+                    yield told(counts)
+                    counts = Counter()
+        yield told(counts)
 
     return sample.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
@@ -151,8 +157,8 @@ def learn(docs: DataFrame, labels: DataFrame, ws: Workspace, id_col: str = "doc_
     Near copies, told by equal beginnings or ends, count once.
     """
     told = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
-    drawn = told.select(F.col(id_col).alias("id"), "y", F.xxhash64(id_col).alias("h"))
-    ids = drawn.where("y = 1").orderBy("h", "id").limit(MAX_TOXIC).union(drawn.where("y = 0").orderBy("h", "id").limit(MAX_CLEAN))
+    told = ws.save(told.select(F.col(id_col).alias("id"), "y"), "labels")
+    ids = bounded_sample(told.where("y = 1"), ["id"], MAX_TOXIC).union(bounded_sample(told.where("y = 0"), ["id"], MAX_CLEAN))
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     sample = ws.save(source.join(F.broadcast(ids.select("id", "y")), "id"), "sample")
     sample = sample.dropDuplicates(["text"]).withColumn("head", F.substring("text", 1, 40)).withColumn("tail", F.substring("text", -40, 40))
@@ -238,7 +244,7 @@ def measure(df: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFram
     def run(batches):
         automaton = lexicon.automaton()
         for batch in batches:
-            told = [lexicon.measure(t, automaton) for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+            told = [lexicon.measure(t, automaton) for t in each_text(batch.column(batch.schema.get_field_index(text_col)))]
             words, hits, density = zip(*told) if told else ((), (), ())
             yield bpe.with_columns(batch, {
                 "n_words": pa.array(words, pa.int64()), "n_hits": pa.array(hits, pa.int64()),
