@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -87,53 +87,20 @@ def chunk_bounds(cuts: list[int], begin: int, end: int) -> Iterator[tuple[int, i
         yield at, end
 
 
-def _apply(matrix: list[int], vector: int) -> int:
-    out, k = 0, 0
-    while vector:
-        if vector & 1:
-            out ^= matrix[k]
-        vector >>= 1
-        k += 1
-    return out
-
-
-_BYTE_POWERS: list[list[int]] = []
-
-
-def _zeros_operator(length: int) -> list[int]:
-    """GF(2) matrix that advances a crc32 register over ``length`` zero bytes."""
-    if not _BYTE_POWERS:
-        bit = [0xEDB88320, *(1 << k for k in range(31))]  # one zero bit: shift right, feed the polynomial
-        for _ in range(3):
-            bit = [_apply(bit, column) for column in bit]
-        _BYTE_POWERS.append(bit)
-    out, k = [1 << i for i in range(32)], 0
-    while length >> k:
-        while len(_BYTE_POWERS) <= k:
-            last = _BYTE_POWERS[-1]
-            _BYTE_POWERS.append([_apply(last, column) for column in last])
-        if length >> k & 1:
-            out = [_apply(_BYTE_POWERS[k], column) for column in out]
-        k += 1
-    return out
+_ZEROS = memoryview(bytes(4 * MAX_IDS))
 
 
-class CrcJoiner:
-    """crc32 of joined byte strings, from the crc32 and length of each."""
+def join_crcs(parts: Iterable[tuple[int, int]]) -> int:
+    """crc32 of joined byte strings, from the crc32 and length (up to that of a chunk) of each.
 
-    def __init__(self):
-        self.known: dict[int, list[int]] = {}
-
-    def join(self, parts: list[tuple[int, int]]) -> int:
-        out = 0
-        for crc, length in parts:
-            matrix = self.known.get(length)
-            if matrix is None:
-                matrix = _zeros_operator(length)
-                if len(self.known) < 5000:
-                    self.known[length] = matrix
-            out = _apply(matrix, out) ^ crc
-        return out
+    The crc32 of B after A differs from that of as many zeros after A by what
+    B's own differs from that of the zeros.
+    """
+    out = 0
+    for crc, length in parts:
+        zeros = _ZEROS[:length]
+        out = zlib.crc32(zeros, out) ^ zlib.crc32(zeros) ^ crc
+    return out
 
 
 def write_store(
@@ -149,7 +116,7 @@ def write_store(
     parts = shuffle_parts(spark)
 
     def cut(batches):
-        enc = bpe.encoder(path)
+        enc = bpe.encoder(path, memo_units=600_000)
         width = 2 if len(enc.table) <= 1 << 16 and end_id < 1 << 16 else 4
         sent: set[bytes] = set()
         for batch in batches:
@@ -201,11 +168,14 @@ def write_store(
         unique.withColumn("kind", F.when(F.col("digest").isNull(), "recipe").otherwise("chunk"))
         .write.partitionBy("kind").option("compression", "zstd").parquet(loose)
     )
+    for kind in ("chunk", "recipe"):
+        if not ws.exists(f"{loose}/kind={kind}"):  # without rows there is no folder
+            unique.limit(0).write.parquet(f"{loose}/kind={kind}")
     both = spark.read.schema(unique.schema.add("kind", "string")).parquet(loose)
     chunks = both.where("kind = 'chunk'").select("digest", "n_ids", "width", "payload")
     recipes = both.where("kind = 'recipe'").select("doc_id", "n_tokens", "digests")
 
-    segments = max(1, min(parts, 64))
+    segments = max(1, parts)
     ordered = ws.save(
         recipes.repartitionByRange(segments, F.col("doc_id").asc_nulls_first(), F.xxhash64("digests"))
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "digests")
@@ -213,7 +183,7 @@ def write_store(
         "ordered",
     )
     sums = ordered.groupBy("segment").agg(F.count("*").alias("n_rows"), F.sum("n_tokens").alias("n_ids"))
-    before = Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)  # one row a segment: at most 64
+    before = Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)  # one row a segment, of which there are as many as shuffle partitions
     sums = sums.select(
         "segment", "n_rows", "n_ids",
         F.coalesce(F.sum("n_rows").over(before), F.lit(0)).alias("first_row"),
@@ -290,28 +260,29 @@ def read_checks(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     )
 
     def fold(batches):
-        joiner = CrcJoiner()
         for batch in batches:
-            crcs, sums, right = [], [], []
-            for parts, root in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()):
-                whole = all(p["crc"] is not None for p in parts)
-                crcs.append(joiner.join([(p["crc"], 4 * p["n_ids"]) for p in parts]) if whole else None)
-                sums.append(sum(p["n_ids"] for p in parts) if whole else None)
-                right.append(whole and all(p["right"] for p in parts) and merkle_root([p["digest"] for p in parts]) == root)
+            lists, roots = batch.column(4), batch.column(5).to_pylist()
+            flat = lists.flatten()
+            names, sizes, crcs, fine = (flat.field(i).to_pylist() for i in range(1, 5))
+            bounds = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
+            out, sums, right = [], [], []
+            for a, b, root in zip(bounds, bounds[1:], roots):
+                whole = None not in crcs[a:b]
+                out.append(join_crcs((c, 4 * n) for c, n in zip(crcs[a:b], sizes[a:b])) if whole else None)
+                sums.append(sum(sizes[a:b]) if whole else None)
+                right.append(whole and all(fine[a:b]) and merkle_root(names[a:b]) == root)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(3)), pa.array(sums, pa.int64()), pa.array(crcs, pa.int64()), pa.array(right, pa.bool_())],
-                names=["row", "doc_id", "start", "n_tokens", "ids_crc32", "verified"],
+                [*(batch.column(i) for i in range(4)), pa.array(sums, pa.int64()), pa.array(out, pa.int64()), pa.array(right, pa.bool_())],
+                names=["row", "doc_id", "start", "segment", "n_tokens", "ids_crc32", "verified"],
             )
 
     joined = recipes.join(told, "row").select("row", "doc_id", "start", "segment", "parts", "root")
-    out = joined.mapInArrow(fold, "row long, doc_id long, start long, n_tokens long, ids_crc32 long, verified boolean")
+    out = joined.mapInArrow(fold, "row long, doc_id long, start long, segment int, n_tokens long, ids_crc32 long, verified boolean")
     again = manifest_of(recipes).select("segment", F.col("root").alias("root_now"))
-    sound = manifest.join(again, "segment", "left").select(
-        "first_row", "n_rows", F.coalesce(F.col("root") == F.col("root_now"), F.lit(False)).alias("sound")
-    )  # at most 64 rows
-    return out.join(
-        F.broadcast(sound), (F.col("row") >= F.col("first_row")) & (F.col("row") < F.col("first_row") + F.col("n_rows")), "left"
-    ).select("row", "doc_id", "start", "n_tokens", "ids_crc32", (F.col("verified") & F.coalesce("sound", F.lit(False))).alias("verified"))
+    sound = manifest.join(again, "segment", "left").select("segment", F.coalesce(F.col("root") == F.col("root_now"), F.lit(False)).alias("sound"))
+    return out.join(sound, "segment", "left").select(
+        "row", "doc_id", "start", "n_tokens", "ids_crc32", (F.col("verified") & F.coalesce("sound", F.lit(False))).alias("verified")
+    )
 
 
 def read_ids(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
