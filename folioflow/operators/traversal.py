@@ -55,19 +55,14 @@ def prune_depth(placed: DataFrame, max_depth: int) -> DataFrame:
 def prune_below(placed: DataFrame, stop: Column) -> DataFrame:
     """Keeps nodes where ``stop`` holds and drops their descendants; positions stay.
 
-    In pre-order a stopped node's descendants follow it at once, so each node only
-    needs the last outermost stop before it: a window, not a join of all with all stops.
+    A node goes if a proper prefix of its ``ord`` is a stop: its prefixes (as many
+    as it is deep) meet the stops in a join on equal keys.
     """
-    before = Window.partitionBy(*DOC).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    marked = placed.withColumn("_stop", F.coalesce(stop, F.lit(False)))
-    stops = F.collect_list(F.when(F.col("_stop"), F.col("ord"))).over(before)
-    outer = F.aggregate(  # the last stop that isn't below an earlier one
-        stops, F.array().cast("array<int>"),
-        lambda last, s: F.when((F.size(last) > 0) & (F.slice(s, 1, F.size(last)) == last), last).otherwise(s),
-    )
-    marked = marked.withColumn("_last", outer)
-    below = (F.size("_last") > 0) & (F.size("ord") > F.size("_last")) & (F.slice("ord", 1, F.greatest(F.size("_last"), F.lit(1))) == F.col("_last"))
-    return marked.where(~below).drop("_stop", "_last")
+    key = [*DOC, "ord"]
+    stops = placed.where(F.coalesce(stop, F.lit(False))).select(*DOC, F.col("ord").alias("prefix"))
+    inner = placed.where(F.size("ord") > 1).select(*key, F.explode(F.transform(F.sequence(F.lit(1), F.size("ord") - 1), lambda n: F.slice("ord", 1, n))).alias("prefix"))
+    below = inner.join(stops, [*DOC, "prefix"], "left_semi").select(*key).distinct()
+    return placed.join(below, key, "left_anti")
 
 
 def paginated(nodes: DataFrame, documents: DataFrame) -> DataFrame:
