@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Texts handled at a time within an Arrow batch, in characters (a longer text is a batch of its own).
-CHUNK_CHARS = 4_000_000
-#: Units whose ids one worker remembers. Only speed depends on it.
-MEMO_UNITS = 800_000
+CHUNK_CHARS = 2_000_000
+#: Units whose ids one worker remembers, at some 200 bytes each. Only speed depends on it.
+MEMO_UNITS = 200_000
 
 
 def byte_alphabet() -> list[str]:
@@ -95,8 +95,8 @@ class Encoder:
     stands before another white space, or at the end, go to the library whole.
     """
 
-    def __init__(self, tokenizer, table: list[bytes]):
-        self.tokenizer, self.table = tokenizer, table
+    def __init__(self, tokenizer, table: list[bytes], memo_units: int = MEMO_UNITS):
+        self.tokenizer, self.table, self.memo_units = tokenizer, table, memo_units
         self.opens = np.array([t[:1] == b" " for t in table])
         self.memo: dict[str, bytes] = {}
 
@@ -146,7 +146,7 @@ class Encoder:
             memo.update((u[1:], ids) for u, ids in self._learn([" " + u for u in new]).items())
         heads = self._whole([t if w else t.split(" ", 1)[0] for t, w in zip(texts.to_pylist(), whole)])
         raw = [memo[u] if w else b"" for u, w in zip(units, wanted)] + heads
-        if len(memo) > MEMO_UNITS:
+        if len(memo) > self.memo_units:
             for u in new:
                 del memo[u]
 
@@ -165,15 +165,25 @@ class Encoder:
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, pattern: str | None = None) -> Encoder:
+def encoder(path: str, pattern: str | None = None, memo_units: int = MEMO_UNITS) -> Encoder:
     """This worker's encoder for a vocabulary: a rank file with its split pattern, or a tokenizer file."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     key = (path, pattern)
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(*(tokenizer_from_ranks(path, pattern) if pattern else tokenizer_from_json(path)))
+        _ENCODERS[key] = Encoder(*(tokenizer_from_ranks(path, pattern) if pattern else tokenizer_from_json(path)), memo_units)
     return _ENCODERS[key]
 
 
+_TABLES: dict[tuple, list[bytes]] = {}
+
+
+def token_table(path: str, pattern: str | None = None) -> list[bytes]:
+    """This worker's token bytes by id, without a tokenizer."""
+    if (path, pattern) not in _TABLES:
+        _TABLES[path, pattern] = read_ranks(path) if pattern else tokenizer_from_json(path)[1]
+    return _TABLES[path, pattern]
+
+
 def text_slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Cuts a batch into runs of at most about CHUNK_CHARS characters, or of one text."""
     begin = chars = 0
@@ -251,10 +261,10 @@ def decode(df: DataFrame, path: str, pattern: str | None = None, ids_col: str =
     schema = schema_with(df, [T.StructField("decoded", T.BinaryType())])
 
     def run(batches):
-        table = encoder(path, pattern).table
+        table = token_table(path, pattern)
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index(ids_col))
-            step = max(1, 2_000_000 // max(1, len(lists.flatten()) // max(1, len(lists))))
+            step = max(1, 500_000 // max(1, len(lists.flatten()) // max(1, len(lists))))
             for a in range(0, len(lists), step):
                 part = lists.slice(a, step)
                 text = [b"".join(map(table.__getitem__, x)) if x else b"" for x in part.to_pylist()]

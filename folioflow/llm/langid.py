@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioflow.llm import bpe
-from folioflow.llm.common import Workspace
+from folioflow.llm.common import Workspace, each_text
 from folioflow.llm.features import has_letter, letters, ngram_counts
 
 ORDERS, BINS = (1, 2, 3), 1 << 15
@@ -58,7 +58,7 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
     def run(batches):
         total, n = np.zeros(BINS, dtype=np.int64), 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in each_text(batch.column(0)):
                 if has_letter(text):
                     total += ngram_counts(letters(text), ORDERS, BINS) > 0
                     n += 1
@@ -168,7 +168,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         m = shared.value
         for batch in batches:
             langs, scores = [], []
-            for text in batch.column(batch.schema.get_field_index(text_col)).to_pylist():
+            for text in each_text(batch.column(batch.schema.get_field_index(text_col))):
                 if not m.languages or not has_letter(text):
                     langs.append(UNKNOWN), scores.append(0.0)
                     continue

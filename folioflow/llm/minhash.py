@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import Workspace
+from folioflow.llm.common import Workspace, each_text
 
 #: Low bits kept of each minimum, and lanes in a 64-bit word of the signature.
 B = 4
@@ -152,7 +152,7 @@ def sign(docs: DataFrame, plan: Plan) -> DataFrame:
         hashes = Hashes(plan)
         for batch in batches:
             n, digests, sigs, bands = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in each_text(batch.column(1)):
                 s = shingles(text, plan.width)
                 n.append(len(s))
                 if not len(s):
