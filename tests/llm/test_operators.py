@@ -147,6 +147,20 @@ def test_toxicity_learns_and_leaves_clean_alone(spark):
     assert got[901] >= 0.7 > got[900] and got[900] == got[1]
 
 
+def test_toxicity_learns_from_texts_with_one_beginning_and_end(spark):
+    rng, frame = random.Random(4), "a line of forty letters that all texts do share"
+    rows = []
+    for i in range(120):
+        body = prose(rng, "en", 40).split()
+        if i % 4 == 0:
+            body[7] = "vilesome"
+        rows.append((i, f"{frame} {' '.join(body)} {frame}", "en", "a", 0))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(120)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.measure(docs, toxicity.learn(docs, labels, Workspace(spark, "t"))).collect()}
+    assert all((got[i] >= 0.7) == (i % 4 == 0) for i in range(120))
+
+
 def test_toxicity_exceptions_and_no_labels(spark, docs):
     lexicon = toxicity.Lexicon({" trash ": 5.0}, [toxicity.fold("trash can")], 2.0, 8.0)
     a = lexicon.automaton()
