@@ -4,8 +4,9 @@ Words are counted over the whole training corpus. The commonest SYMBOLS words
 are symbols of the model; every other word is a symbol by a hash of its ending,
 and within such a class has its share of the class's counts, so that the model
 gives each word its own probability. States are learned by Baum-Welch: expected
-counts of each task's texts are summed across tasks. The scaled forward
-recursion gives a whole text's exact likelihood.
+counts of each task's texts are summed across tasks, pass after pass, until the
+likelihood of the whole corpus settles. The scaled forward recursion gives a
+whole text's exact likelihood.
 
 Cases: a null or empty text is the end token alone; a word never seen in
 training shares its class's one spare place; rows without an id are trained on,
@@ -30,8 +31,10 @@ from folioflow.llm.common import Workspace, bounded_sample, each_text
 SYMBOLS, CLASSES, STATES = 8000, 64, 8
 #: Words whose counts every worker knows (at most so many, of at most so many bytes); the others are joined.
 COMMON, COMMON_BYTES = 150_000, 64
-#: Texts on which the states are told apart before the passes over the whole corpus, and those passes.
-SEED_TEXTS, SEED_ROUNDS, PASSES = 1500, 12, 1
+#: Texts and rounds that the first model comes from, before the passes over the whole corpus.
+SEED_TEXTS, SEED_ROUNDS = 1500, 12
+#: Passes end when one raises the corpus's log likelihood by less than this share of it.
+SETTLED = 1e-4
 #: Training runs over pieces of a text of at most so many tokens; scoring over whole texts.
 PIECE = 512
 #: Weight, in tokens, of the corpus frequencies within each state's emissions.
@@ -158,6 +161,11 @@ class Model:
 
     def expected(self, rows: list[np.ndarray], most: int = 150_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected starts, moves and emissions of the rows (one forward and one backward pass)."""
+        return self.expected_and_likelihood(rows, most)[:3]
+
+    def expected_and_likelihood(self, rows: list[np.ndarray], most: int = 150_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """``expected``, and the sum of the rows' log10 probabilities, which the forward pass has anyway."""
+        likelihood = 0.0
         start, move, emit = np.zeros_like(self.start), np.zeros_like(self.move), np.zeros_like(self.emit)
         for idx, grid, active in batches_by_length(rows, most):
             alphas, scales = [], []
@@ -169,6 +177,7 @@ class Model:
                 a = a / scale[:, None]
                 alphas.append(a)
                 scales.append(scale)
+                likelihood += float(np.log10(scale).sum())
             b = np.ones_like(alphas[-1])
             symbols, weights = [], []
             for t in range(len(grid) - 1, -1, -1):
@@ -184,7 +193,7 @@ class Model:
             s, w = np.concatenate(symbols), np.concatenate(weights)
             for k in range(len(self.start)):
                 emit[:, k] += np.bincount(s, weights=w[:, k], minlength=len(emit))
-        return start, move, emit
+        return start, move, emit, likelihood
 
 
 def batches_by_length(rows: list[np.ndarray], most: int):
@@ -220,7 +229,7 @@ def prior_of(counts: Counts) -> np.ndarray:
 
 
 def seeded(rows: list[np.ndarray], counts: Counts) -> Model:
-    """States told apart on few texts: emissions start as noisy corpus frequencies, with states that last."""
+    """A first model from few whole texts: emissions start as noisy corpus frequencies, with states that last."""
     prior, draw = prior_of(counts), np.random.default_rng(5)
     emit = prior[:, None] * np.exp(draw.normal(0, 0.5, (len(prior), STATES)))
     model = Model(np.full(STATES, 1 / STATES), np.full((STATES, STATES), 0.1 / STATES) + 0.9 * np.eye(STATES), emit / emit.sum(axis=0))
@@ -230,43 +239,69 @@ def seeded(rows: list[np.ndarray], counts: Counts) -> Model:
 
 
 def train(texts: DataFrame, drawn: DataFrame, counts: Counts) -> Model:
-    """Baum-Welch: a bounded seed drawn from ``drawn`` (id, text), then PASSES passes whose expected counts come from every text.
+    """Baum-Welch from a first model of few texts of ``drawn`` (id, text): passes over every text until the likelihood settles.
 
-    A task sums its texts and sends one row of numbers a state; STATES + 1 tasks
-    add these up, and STATES + 1 rows come to the driver.
+    Symbols are written once, two bytes each, for all passes. A task sums its
+    texts and sends one row of numbers a state; STATES + 1 tasks add these up,
+    and STATES + 1 rows come to the driver. The likelihood a pass tells is that of
+    the model it began with; a pass more is made until that gains too little.
     """
     spark = texts.sparkSession
     rows = symbol_lists([r.text for r in bounded_sample(drawn, ["id"], SEED_TEXTS).collect()], _bare(counts))
-    model = seeded([r[: 4 * PIECE] for r in rows], counts)
-    told = spark.sparkContext.broadcast(_bare(counts))
-    for _ in range(PASSES):
-        shared = spark.sparkContext.broadcast(model)
-
-        def run(batches):
-            m, c = shared.value, told.value
-            sums = [np.zeros_like(m.start), np.zeros_like(m.move), np.zeros_like(m.emit)]
-            for batch in batches:
-                for a in range(0, len(batch), 2000):
-                    got = m.expected(pieces(symbol_lists(batch.column(0).slice(a, 2000).to_pylist(), c)))
-                    sums = [x + y for x, y in zip(sums, got)]
-            blobs = [sums[2][:, k].tobytes() for k in range(STATES)] + [np.concatenate([sums[0], sums[1].ravel()]).tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array(range(STATES + 1), pa.int32()), pa.array(blobs, pa.binary())], names=["k", "v"])
-
-        def add(batches):
-            total: dict[int, np.ndarray] = {}
-            for batch in batches:
-                for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    total[k] = total.get(k, 0.0) + np.frombuffer(v)
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["k", "v"])
-
-        parts = texts.mapInArrow(run, "k int, v binary")
-        got = {r.k: np.frombuffer(r.v) for r in parts.repartition(STATES + 1, "k").mapInArrow(add, "k int, v binary").collect()}
-        if STATES in got:
-            emit = np.stack([got[k] for k in range(STATES)], axis=1)
-            model = updated(got[STATES][:STATES], got[STATES][STATES:].reshape(STATES, STATES), emit, prior_of(counts))
+    model = seeded(rows, counts)
+    told, ws = spark.sparkContext.broadcast(_bare(counts)), Workspace(spark, "hmm")
+
+    def encode(batches):
+        for batch in batches:
+            for a in range(0, len(batch), 2000):
+                lists = symbol_lists(batch.column(0).slice(a, 2000).to_pylist(), told.value)
+                yield pa.RecordBatch.from_arrays([pa.array([r.astype(np.uint16).tobytes() for r in lists], pa.binary())], names=["symbols"])
+
+    encoded = ws.save(texts.mapInArrow(encode, "symbols binary"), "symbols")
+    before = None
+    while True:
+        got = summed(encoded, model)
+        if got is None:
+            break
+        *sums, likelihood = got
+        model = updated(*sums, prior_of(counts))
+        if before is not None and likelihood - before < SETTLED * abs(before):
+            break
+        before = likelihood
+    ws.drop(encoded)
     return model
 
 
+def summed(encoded: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float] | None:
+    """Expected starts, moves and emissions of all texts under the model, and their log10 likelihood; None without a text."""
+    shared = encoded.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m = shared.value
+        sums = [np.zeros_like(m.start), np.zeros_like(m.move), np.zeros_like(m.emit), 0.0]
+        for batch in batches:
+            for a in range(0, len(batch), 2000):
+                rows = [np.frombuffer(v, np.uint16) for v in batch.column(0).slice(a, 2000).to_pylist()]
+                sums = [x + y for x, y in zip(sums, m.expected_and_likelihood(pieces(rows)))]
+        blobs = [sums[2][:, k].tobytes() for k in range(STATES)] + [np.concatenate([sums[0], sums[1].ravel(), [sums[3]]]).tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array(range(STATES + 1), pa.int32()), pa.array(blobs, pa.binary())], names=["k", "v"])
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total[k] = total.get(k, 0.0) + np.frombuffer(v)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["k", "v"])
+
+    parts = encoded.mapInArrow(run, "k int, v binary")
+    got = {r.k: np.frombuffer(r.v) for r in parts.repartition(STATES + 1, "k").mapInArrow(add, "k int, v binary").collect()}
+    shared.unpersist()
+    if STATES not in got:
+        return None
+    last = got[STATES]
+    return last[:STATES], last[STATES:-1].reshape(STATES, STATES), np.stack([got[k] for k in range(STATES)], axis=1), float(last[-1])
+
+
 def _bare(counts: Counts) -> Counts:
     return Counts(counts.tokens, counts.distinct, counts.ends, counts.common, counts.symbols, counts.symbol_counts, counts.log_class)
 

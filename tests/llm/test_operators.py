@@ -333,6 +333,17 @@ def test_hidden_markov_counts_and_likelihoods(spark, docs):
     assert len(got) == len(corpus())
 
 
+def test_training_passes_until_the_whole_corpus_settles(spark, docs, monkeypatch):
+    monkeypatch.setattr(hmm, "SEED_TEXTS", 2)
+    texts = docs.where("doc_id <> 5").select("doc_id", "text")
+    counts = hmm.count_words(texts.select("text"), Workspace(spark, "t"))
+    model = hmm.train(texts.select("text"), texts.select(F.col("doc_id").alias("id"), "text"), counts)
+    rows = hmm.pieces(hmm.symbol_lists([r.text for r in texts.collect()], counts))
+    told = model.log_likelihoods(rows).sum()
+    more = hmm.updated(*model.expected(rows), hmm.prior_of(counts)).log_likelihoods(rows).sum()
+    assert more - told < 2e-4 * abs(told)
+
+
 def test_forward_recursion_is_exact():
     rng = np.random.default_rng(2)
     model = hmm.Model(rng.dirichlet([1] * 3), rng.dirichlet([1] * 3, 3), rng.dirichlet([1] * 5, 3).T)
