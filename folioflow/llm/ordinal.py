@@ -38,7 +38,6 @@ SHAPES = {
 BINS = WORD_BINS + sum(len(b) + 1 for b in SHAPES.values())
 #: Rated rows that the model is fitted on, at most.
 MAX_RATED = 12000
-MAX_GRADES = 32
 
 _BYTES = np.zeros(256, dtype=np.int8)
 _BYTES[np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", np.uint8)] = 1
@@ -94,7 +93,8 @@ def fit(data: list[tuple[np.ndarray, np.ndarray, int]], grades: list[float], rat
     """
     k = len(grades) - 1
     y = np.array([d[2] for d in data])
-    share = np.array([(y > j).mean() for j in range(k)]).clip(1e-3, 1 - 1e-3)
+    least = min(1e-3, 0.5 / len(y))  # so that no two thresholds start as one
+    share = np.array([(y > j).mean() for j in range(k)]).clip(least, 1 - least)
     w, gw = np.zeros(BINS), np.full(BINS, 1e-6)
     t, gt = np.sort(-np.log(share / (1 - share))), np.full(k, 1e-6)
     draw = np.random.default_rng(11)
@@ -121,7 +121,7 @@ def fit(data: list[tuple[np.ndarray, np.ndarray, int]], grades: list[float], rat
 
 
 def learn(docs: DataFrame, ratings: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "quality") -> Model:
-    """Fits on at most MAX_RATED rated texts, the first by a hash of their id (few ids, broadcast to the scan)."""
+    """Fits on at most MAX_RATED rated texts, the first by a hash of their id (few ids, broadcast to the scan). Each distinct rating is a grade."""
     told = ratings.where(F.col(grade_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(F.col(grade_col).cast("double")).alias("grade"))
     ids = bounded_sample(told, ["id"], MAX_RATED).withColumn("h", F.xxhash64("id"))
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -136,10 +136,11 @@ def learn(docs: DataFrame, ratings: DataFrame, ws: Workspace, id_col: str = "doc
 
     rows = source.join(F.broadcast(ids), "id").select("text", "grade", "h").mapInArrow(run, "at array<int>, value array<float>, grade double, h long")
     rows = sorted(rows.toLocalIterator(), key=lambda r: (r.h, r.grade, len(r.at), sum(r.value)))[:MAX_RATED]
-    grades = sorted({r.grade for r in rows})[:MAX_GRADES]
+    grades = sorted({r.grade for r in rows})
     if len(grades) < 2:
         return Model(grades or [0.0], np.zeros(BINS), np.zeros(0))
-    return fit([(np.array(r.at), np.array(r.value, dtype=float), grades.index(r.grade)) for r in rows if r.grade in grades], grades)
+    place = {g: i for i, g in enumerate(grades)}
+    return fit([(np.array(r.at), np.array(r.value, dtype=float), place[r.grade]) for r in rows], grades)
 
 
 def grade(docs: DataFrame, model: Model, least: float | None = None, text_col: str = "text", min_tail: float = 0.5) -> DataFrame:

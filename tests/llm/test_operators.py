@@ -267,6 +267,21 @@ def test_ordinal_grades_in_order(spark):
     assert np.mean([got[i].selected == (i % 3 == 0) for i in range(300, 400)]) > 0.9 and len(got) == 401
 
 
+def test_ordinal_learns_from_all_of_many_grades(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(404):
+        g = i % 101
+        words = [w if rng.random() < g / 100 else "!!!" + w.upper() for w in prose(rng, "en", 80).split()]
+        rows.append((i, " ".join(words), None, None, 0))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = ordinal.learn(docs, spark.createDataFrame([(i, i % 101) for i in range(404)], "doc_id long, quality int"), Workspace(spark, "t"))
+    assert model.grades == [float(g) for g in range(101)] and (np.diff(model.thresholds) >= 0).all()
+    got = {r.doc_id: r.expected_grade for r in ordinal.grade(docs, model).collect()}
+    means = [np.mean([got[i] for i in got if low <= i % 101 < low + 25]) for low in (0, 25, 50, 76)]
+    assert all(a + 5 < b for a, b in zip(means, means[1:])) and means[-1] > 60
+
+
 def test_ordinal_without_ratings(spark, docs):
     model = ordinal.learn(docs, spark.createDataFrame([], "doc_id long, quality int"), Workspace(spark, "t"))
     assert ordinal.grade(docs, model).where("not selected").count() == 0
