@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import Workspace, bounded_sample
+from folioflow.llm.common import Workspace, bounded_sample, frugal
 
 #: Vectors the partition is learned from, at most; neighbours in its graph; parts, at most.
 MAX_SAMPLE, GRAPH_DEGREE, MAX_PARTS = 8000, 10, 32
@@ -218,7 +218,7 @@ def search(
             parts = pa.array(ranked.astype(np.int32).tolist(), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), parts], names=["id", "vec", "parts"])
 
-    routed = ws.save(valid.mapInArrow(route, "id long, vec array<double>, parts array<int>"), "routed")
+    routed = ws.save(valid.mapInArrow(frugal(route), "id long, vec array<double>, parts array<int>"), "routed")
     counts = {r.part: r["count"] for r in routed.groupBy(F.element_at("parts", 1).alias("part")).count().collect()}  # a row a part
     blocks = F.element_at(F.create_map(*[F.lit(int(x)) for p in range(router.parts) for x in (p, -(-counts.get(p, 1) // BLOCK_ROWS))]), F.col("part"))
     held = routed.select("id", "vec", F.element_at("parts", 1).alias("part"), F.lit(1).alias("kind")).withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
@@ -248,6 +248,6 @@ def search(
                 [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"]
             )
 
-    near = mixed.repartition("part", "block").sortWithinPartitions("part", "block", "kind").mapInArrow(compare, "query_id long, vec_id long, score double")
+    near = mixed.repartition("part", "block").sortWithinPartitions("part", "block", "kind").mapInArrow(frugal(compare), "query_id long, vec_id long, score double")
     best = near.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id", "score"))), 1, k).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "b.vec_id", "b.score")

@@ -12,19 +12,23 @@ operator's own column that clashes with one of theirs replaces it.
 from __future__ import annotations
 
 import base64
+import itertools
 import os
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Texts handled at a time within an Arrow batch, in characters (a longer text is a batch of its own).
-CHUNK_CHARS = 2_000_000
-#: Units whose ids one worker remembers, at some 200 bytes each. Only speed depends on it.
-MEMO_UNITS = 200_000
+from folioflow.llm.common import frugal, small_batches
+
+#: Texts handled at a time within an Arrow batch, in bytes (a longer text is a batch of its own).
+CHUNK_CHARS = 1_500_000
+#: Units whose ids one worker remembers, at some 40 bytes each. Only speed depends on it.
+MEMO_UNITS = 300_000
 
 
 def byte_alphabet() -> list[str]:
@@ -72,12 +76,11 @@ def tokenizer_from_ranks(path: str, pattern: str):
 def tokenizer_from_json(path: str):
     """A byte-level tokenizers.Tokenizer from its file, and its token bytes by id.
 
-    Strings of special tokens within a text are ordinary text.
+    Strings of special tokens within a text are what the library makes of them.
     """
     from tokenizers import Tokenizer
 
     out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True
     byte_of = {c: b for b, c in enumerate(byte_alphabet())}
     vocab = out.get_vocab()
     table = [b""] * (1 + max(vocab.values()))
@@ -93,31 +96,35 @@ class Encoder:
     stands before a visible character, so such units never share a piece, and
     the ids of a text are those of its units in turn. Texts in which a blank
     stands before another white space, or at the end, go to the library whole.
+
+    What is remembered is one Arrow array of units and, as arrays, where the ids
+    of each lie; a batch's units are looked up all at once.
     """
 
     def __init__(self, tokenizer, table: list[bytes], memo_units: int = MEMO_UNITS):
         self.tokenizer, self.table, self.memo_units = tokenizer, table, memo_units
         self.opens = np.array([t[:1] == b" " for t in table])
-        self.memo: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=np.int32).tobytes() for e in found]
-
-    def _learn(self, units: list[str]) -> dict[str, bytes]:
-        """Ids of units, each of which begins with its only blank."""
-        out: dict[str, bytes] = {}
-        step = 2000
-        groups = [units[i : i + step] for i in range(0, len(units), step)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, dtype=np.int32)
-            cuts = [*np.flatnonzero(self.opens[ids]).tolist(), len(ids)]
-            if len(cuts) == len(group) + 1 and cuts[0] == 0:
-                raw = ids.tobytes()
-                out.update((u, raw[4 * a : 4 * b]) for u, a, b in zip(group, cuts, cuts[1:]))
-            else:
-                out.update(zip(group, self._whole(group)))
-        return out
+        self.spelled = spelling(table)
+        self.known = pa.array([], pa.string())
+        self.ids, self.ends = np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts in turn, and where each text's begin (with the end of the last)."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ends = np.cumsum([0, *map(len, found)])
+        return np.fromiter(itertools.chain.from_iterable(found), np.int32, int(ends[-1])), ends
+
+    def _learn(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Like ``_whole``, for units that each follow a blank: many in one call, cut where an id opens with a blank."""
+        step, ids, sizes = 4000, [], []
+        for i in range(0, len(units), step):
+            group = units.slice(i, step).to_pylist()
+            mine, cuts = self._whole([" " + " ".join(group)])
+            cuts = np.append(np.flatnonzero(self.opens[mine]), len(mine))
+            if len(cuts) != len(group) + 1 or cuts[0]:
+                mine, cuts = self._whole([" " + u for u in group])
+            ids.append(mine), sizes.append(np.diff(cuts))
+        return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in turn, and where each text's ids begin (with the end of the last)."""
@@ -127,39 +134,62 @@ class Encoder:
         bounds = parts.offsets.to_numpy().astype(np.int64)
         bounds -= bounds[0]
         coded = parts.flatten().dictionary_encode()
-        codes = coded.indices.to_numpy().astype(np.int64)
-        units = coded.dictionary.to_pylist()
-
-        doc = np.repeat(np.arange(n), np.diff(bounds))
-        first = np.zeros(len(codes), dtype=bool)
-        first[bounds[:-1][np.diff(bounds) > 0]] = True
-        odd = np.array([not u or u[0].isspace() for u in units], dtype=bool)
+        codes, units = coded.indices.to_numpy(), coded.dictionary
+        doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(bounds))
+        heads = bounds[:-1]  # each text has a first unit, if only an empty one
+        later = np.ones(len(codes), dtype=bool)
+        later[heads] = False
+        odd = pc.or_(pc.equal(pc.binary_length(units), 0), pc.utf8_is_space(pc.utf8_slice_codeunits(units, 0, 1))).to_numpy(zero_copy_only=False)
         whole = np.zeros(n, dtype=bool)
-        if odd.any():
-            whole[doc[odd[codes] & ~first]] = True
+        whole[doc[odd[codes] & later]] = True
+        later &= ~whole[doc]
 
-        memo = self.memo
         wanted = np.zeros(len(units), dtype=bool)
-        wanted[codes[~first & ~whole[doc]]] = True
-        new = [u for u, w in zip(units, wanted) if w and u not in memo]
-        if new:
-            memo.update((u[1:], ids) for u, ids in self._learn([" " + u for u in new]).items())
-        heads = self._whole([t if w else t.split(" ", 1)[0] for t, w in zip(texts.to_pylist(), whole)])
-        raw = [memo[u] if w else b"" for u, w in zip(units, wanted)] + heads
-        if len(memo) > self.memo_units:
-            for u in new:
-                del memo[u]
-
-        size = np.array([len(r) // 4 for r in raw], dtype=np.int64)
-        begin = np.cumsum(size) - size
-        codes[whole[doc]] = len(raw)  # says nothing: its first unit says all
-        size, begin = np.append(size, 0), np.append(begin, 0)
-        codes[first] = len(units) + doc[first]
-        count = size[codes]
-        ends = np.cumsum(count)
-        at = np.repeat(begin[codes] - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
-        flat = np.frombuffer(b"".join(raw), dtype=np.int32)[at]
-        return flat, np.concatenate([[0], np.cumsum(np.bincount(doc, weights=count, minlength=n).astype(np.int64))])
+        wanted[codes[later]] = True
+        at = pc.fill_null(pc.index_in(units, value_set=self.known), -1).to_numpy().astype(np.int64)
+        fresh = wanted & (at < 0)
+        new = units.filter(pa.array(fresh))
+        ids, ends = self.ids, self.ends
+        if len(new):
+            more, more_ends = self._learn(new)
+            at[fresh] = len(ends) - 1 + np.arange(len(new))
+            ids, ends = np.concatenate([ids, more]), np.concatenate([ends, ends[-1] + more_ends[1:]])
+            room = max(0, self.memo_units - len(self.known))
+            if room:
+                self.known = pa.concat_arrays([self.known, new.slice(0, room)])
+                self.ends = ends[: len(self.known) + 1].copy()
+                self.ids = ids[: self.ends[-1]].copy()
+        said = units.take(pa.array(codes[heads])).to_pylist()
+        for i in np.flatnonzero(whole).tolist():
+            said[i] = texts[i].as_py()
+        own, own_ends = self._whole(said)
+
+        place = at[codes]
+        place[~later] = 0
+        begin, count = ends[place], ends[place + 1] - ends[place] if len(ends) > 1 else np.zeros(len(place), dtype=np.int64)
+        count[~later] = 0
+        begin[heads], count[heads] = len(ids) + own_ends[:-1], np.diff(own_ends)
+        upto = np.cumsum(count)
+        total = int(upto[-1]) if n else 0
+        flat = np.concatenate([ids, own])[np.repeat(begin - (upto - count), count) + np.arange(total)]
+        return flat, np.concatenate([[0], upto[bounds[1:] - 1]]) if n else np.zeros(1, dtype=np.int64)
+
+    def decode(self, flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        return decoded_of(self.spelled, flat, bounds)
+
+
+def spelling(table: list[bytes]) -> pa.Array:
+    return pa.array([t or None for t in table], pa.binary())
+
+
+def decoded_of(spelled: pa.Array, flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The bytes of each text's ids, joined; an id that the vocabulary lacks is an error."""
+    told = spelled.take(pa.array(flat))
+    if told.null_count:
+        raise ValueError("an id is not in the vocabulary")
+    _, offsets, data = told.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int32)[bounds] if len(told) else np.zeros(len(bounds), dtype=np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), data])
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -224,32 +254,44 @@ def schema_with(df: DataFrame, added: list[T.StructField]) -> T.StructType:
 
 
 def encode(
-    docs: DataFrame, path: str, pattern: str | None = None, text_col: str = "text", offsets: bool = False
-) -> DataFrame:
-    """Adds ``ids`` (array of int) and, on request, ``byte_starts`` and ``char_starts``.
+    docs: DataFrame, path: str, pattern: str | None = None, text_col: str = "text", offsets: bool = False, decoded: bool = False,
+    exact: bool = False, keep: Sequence[str] | None = None,
+) -> DataFrame:
+    """Adds ``ids`` (array of int) and, on request, ``byte_starts`` and ``char_starts`` (``offsets``),
+    what the ids ``decode`` to (``decoded``), and whether those are the text's very bytes (``exact``).
 
     ``path`` is a tokenizer file, or with ``pattern`` a file of token ranks; the
-    executors must have it at that place. No row moves: one Arrow pass, whose
-    memory is bounded by a slice of the batch and the longest text.
+    executors must have it at that place. Of the columns those in ``keep`` pass
+    (all, if None). No row moves: one Arrow pass, whose memory is bounded by a
+    slice of the batch and the longest text.
     """
     ints = T.ArrayType(T.IntegerType())
-    names = ["ids", *(["byte_starts", "char_starts"] if offsets else [])]
-    schema = schema_with(docs, [T.StructField(n, ints) for n in names])
+    new = [T.StructField(n, ints) for n in ("ids", *(("byte_starts", "char_starts") if offsets else ()))]
+    new += [T.StructField("decoded", T.BinaryType())] if decoded else []
+    new += [T.StructField("exact", T.BooleanType())] if exact else []
+    passed = list(docs.columns if keep is None else keep)
+    small_batches(docs.sparkSession)
+    schema = schema_with(docs.select(*[f"`{c}`" for c in passed]), new)
 
     def run(batches):
         enc = encoder(path, pattern)
         lengths = np.array([len(t) for t in enc.table])
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text_col))
+            column, rest = batch.column(len(passed)), batch.select(list(range(len(passed))))
             for a, b in text_slices(column):
-                flat, bounds = enc.encode(column.slice(a, b - a))
+                texts = column.slice(a, b - a)
+                flat, bounds = enc.encode(texts)
                 added = {"ids": int_lists(flat, bounds)}
                 if offsets:
-                    in_bytes, in_chars = token_offsets(flat, bounds, column.slice(a, b - a), lengths)
+                    in_bytes, in_chars = token_offsets(flat, bounds, texts, lengths)
                     added |= {"byte_starts": int_lists(in_bytes, bounds), "char_starts": int_lists(in_chars, bounds)}
-                yield with_columns(batch.slice(a, b - a), added)
+                if decoded or exact:
+                    said = enc.decode(flat, bounds)
+                    added |= {"decoded": said} if decoded else {}
+                    added |= {"exact": pc.equal(said, pc.fill_null(texts, "").cast(pa.binary()))} if exact else {}
+                yield with_columns(rest.slice(a, b - a), added)
 
-    return docs.mapInArrow(run, schema)
+    return docs.select(*[f"`{c}`" for c in passed], F.col(f"`{text_col}`").cast("string").alias("__text")).mapInArrow(frugal(run), schema)
 
 
 def decode(df: DataFrame, path: str, pattern: str | None = None, ids_col: str = "ids") -> DataFrame:
@@ -261,13 +303,13 @@ def decode(df: DataFrame, path: str, pattern: str | None = None, ids_col: str =
     schema = schema_with(df, [T.StructField("decoded", T.BinaryType())])
 
     def run(batches):
-        table = token_table(path, pattern)
+        spelled = spelling(token_table(path, pattern))
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index(ids_col))
             step = max(1, 500_000 // max(1, len(lists.flatten()) // max(1, len(lists))))
             for a in range(0, len(lists), step):
                 part = lists.slice(a, step)
-                text = [b"".join(map(table.__getitem__, x)) if x else b"" for x in part.to_pylist()]
-                yield with_columns(batch.slice(a, step), {"decoded": pa.array(text, pa.binary())})
+                bounds = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(part), 0).to_numpy().astype(np.int64))])
+                yield with_columns(batch.slice(a, step), {"decoded": decoded_of(spelled, part.flatten().to_numpy(zero_copy_only=False), bounds)})
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(frugal(run), schema)

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import gc
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +37,17 @@ def work_dir(spark: SparkSession) -> str:
     return f"file://{_OWN_DIR}"
 
 
+#: Bytes of one Arrow batch, beyond which no row is added.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches of the session by bytes as well as rows (10,000 long texts are no small batch)."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 class Workspace:
     """Tables written for one run of an operator, in a folder of their own.
 
@@ -41,6 +56,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
@@ -116,5 +132,27 @@ def each_text(column, rows: int = 256):
         yield from column.slice(a, rows).to_pylist()
 
 
+def frugal(run):
+    """For a function over Arrow batches: gives memory back when a task ends.
+
+    Python workers live on for later tasks and stages; what their allocators
+    keep would otherwise add up beside the heap of an executor.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return wrapped
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

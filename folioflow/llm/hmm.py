@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import Workspace, bounded_sample, each_text
+from folioflow.llm.common import Workspace, bounded_sample, each_text, frugal
 
 #: Words that are symbols themselves; classes of the others; hidden states.
 SYMBOLS, CLASSES, STATES = 8000, 64, 8
@@ -80,7 +80,7 @@ def count_words(texts: DataFrame, ws: Workspace) -> Counts:
         yield told(counts)
 
     ends = texts.count()
-    table = ws.save(texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "counts")
+    table = ws.save(texts.mapInArrow(frugal(run), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "counts")
     group = F.crc32(F.expr("substring(word, -2, 2)")) % CLASSES
     classes = {int(r.g): (int(r.n), int(r.c)) for r in table.groupBy(group.alias("g")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).collect()}
     short = table.where(F.octet_length("word") <= COMMON_BYTES)
@@ -257,7 +257,7 @@ def train(texts: DataFrame, drawn: DataFrame, counts: Counts) -> Model:
                 lists = symbol_lists(batch.column(0).slice(a, 2000).to_pylist(), told.value)
                 yield pa.RecordBatch.from_arrays([pa.array([r.astype(np.uint16).tobytes() for r in lists], pa.binary())], names=["symbols"])
 
-    encoded = ws.save(texts.mapInArrow(encode, "symbols binary"), "symbols")
+    encoded = ws.save(texts.mapInArrow(frugal(encode), "symbols binary"), "symbols")
     before = None
     while True:
         got = summed(encoded, model)
@@ -293,7 +293,7 @@ def summed(encoded: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np
                 total[k] = total.get(k, 0.0) + np.frombuffer(v)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["k", "v"])
 
-    parts = encoded.mapInArrow(run, "k int, v binary")
+    parts = encoded.mapInArrow(frugal(run), "k int, v binary")
     got = {r.k: np.frombuffer(r.v) for r in parts.repartition(STATES + 1, "k").mapInArrow(add, "k int, v binary").collect()}
     shared.unpersist()
     if STATES not in got:
@@ -356,7 +356,7 @@ def score(docs: DataFrame, counts: Counts, model: Model, ws: Workspace, keep: li
                     names=[*keep, "row_key", "n_tokens", "known", "base", "own", "chain", "words", "times"],
                 )
 
-    scored = ws.save(docs.select(*keep, F.col(text_col).cast("string")).mapInArrow(run, f"{fields}, {added}"), "scored")
+    scored = ws.save(docs.select(*keep, F.col(text_col).cast("string")).mapInArrow(frugal(run), f"{fields}, {added}"), "scored")
     rare = scored.select("row_key", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row_key", "w.words", "w.times")
     met = rare.join(counts.table, rare.words == counts.table.word)
     sums = met.groupBy("row_key").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more"))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioflow.llm import bpe
-from folioflow.llm.common import Workspace, each_text
+from folioflow.llm.common import Workspace, each_text, frugal
 from folioflow.llm.features import has_letter, letters, ngram_counts
 
 ORDERS, BINS = (1, 2, 3), 1 << 15
@@ -67,7 +67,7 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
 
     df = np.zeros(BINS, dtype=np.int64)
     n = 0
-    for row in texts.mapInArrow(run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():  # BINS + 1 rows at most
+    for row in texts.mapInArrow(frugal(run), "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():  # BINS + 1 rows at most
         if row.bin < 0:
             n = row.n
         else:
@@ -151,7 +151,7 @@ def learn(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str
                 names=["h", "lang", "at", "value"],
             )
 
-    rows = chosen.mapInArrow(run, "h long, lang string, at array<int>, value array<float>").orderBy("h", "lang").limit(2 * MAX_SAMPLE)
+    rows = chosen.mapInArrow(frugal(run), "h long, lang string, at array<int>, value array<float>").orderBy("h", "lang").limit(2 * MAX_SAMPLE)
     data = [(np.array(r.at), np.array(r.value, dtype=float), languages.index(r.lang)) for r in rows.toLocalIterator()]
     apart, rest = data[::5], [d for i, d in enumerate(data) if i % 5]
     weights = ftrl(rest, len(languages), BINS)
@@ -176,4 +176,4 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 langs.append(m.languages[int(p.argmax())]), scores.append(float(p.max()))
             yield bpe.with_columns(batch, {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())})
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)

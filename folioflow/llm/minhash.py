@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import Workspace, each_text
+from folioflow.llm.common import Workspace, each_text, frugal
 
 #: Low bits kept of each minimum, and lanes in a 64-bit word of the signature.
 B = 4
@@ -167,7 +167,7 @@ def sign(docs: DataFrame, plan: Plan) -> DataFrame:
                 names=["id", "n_shingles", "digest", "sig", "bands"],
             )
 
-    return docs.mapInArrow(run, SIGNED)
+    return docs.mapInArrow(frugal(run), SIGNED)
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
@@ -189,7 +189,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
                 keep.append(linked(shingles(of_a[i], plan.width), center, plan.percent))
             yield batch.select(["a", "c"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(run, "a long, c long")
+    return joined.mapInArrow(frugal(run), "a long, c long")
 
 
 def components(ws: Workspace, edges: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioflow.llm import bpe
-from folioflow.llm.common import Workspace, bounded_sample, each_text
+from folioflow.llm.common import Workspace, bounded_sample, each_text, frugal
 from folioflow.llm.features import word_counts
 
 WORD_BINS = 1 << 16
@@ -134,7 +134,7 @@ def learn(docs: DataFrame, ratings: DataFrame, ws: Workspace, id_col: str = "doc
                 names=["at", "value", "grade", "h"],
             )
 
-    rows = source.join(F.broadcast(ids), "id").select("text", "grade", "h").mapInArrow(run, "at array<int>, value array<float>, grade double, h long")
+    rows = source.join(F.broadcast(ids), "id").select("text", "grade", "h").mapInArrow(frugal(run), "at array<int>, value array<float>, grade double, h long")
     rows = sorted(rows.toLocalIterator(), key=lambda r: (r.h, r.grade, len(r.at), sum(r.value)))[:MAX_RATED]
     grades = sorted({r.grade for r in rows})
     if len(grades) < 2:
@@ -164,4 +164,4 @@ def grade(docs: DataFrame, model: Model, least: float | None = None, text_col: s
                 "selected": pa.array([x >= min_tail for x in tail], pa.bool_()),
             })
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)

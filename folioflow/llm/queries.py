@@ -86,7 +86,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of ``documents``, and of what they decode to."""
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    told = bpe.decode(bpe.encode(docs, path, pattern).drop("text"), path, pattern)
+    told = bpe.encode(docs, path, pattern, decoded=True, keep=["doc_id"])
     return told.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

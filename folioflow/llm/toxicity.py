@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioflow.llm import bpe
-from folioflow.llm.common import Workspace, bounded_sample, each_text
+from folioflow.llm.common import Workspace, bounded_sample, each_text, frugal
 
 # Letters of other scripts, and digits and signs, by the letter they look like.
 LOOK_ALIKES = {
@@ -146,7 +146,7 @@ def count_terms(sample: DataFrame, wanted: frozenset | None) -> DataFrame:
                     counts = Counter()
         yield told(counts)
 
-    return sample.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return sample.select("text").mapInArrow(frugal(run), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Lexicon:
@@ -213,7 +213,7 @@ def learn_exceptions(sample: DataFrame, lexicon: Lexicon) -> list[str]:
                 names=["phrase", "y", "n"],
             )
 
-    seen = sample.mapInArrow(run, "phrase string, y int, n long")
+    seen = sample.mapInArrow(frugal(run), "phrase string, y int, n long")
     told = seen.groupBy("phrase").agg(F.sum(F.col("n") * (1 - F.col("y"))).alias("clean"), F.sum(F.col("n") * F.col("y")).alias("toxic"))
     rows = told.where("clean >= 2 and clean > toxic").orderBy(F.desc("clean"), "phrase").limit(MAX_ENTRIES).collect()
     return sorted(r.phrase for r in rows)
@@ -250,4 +250,4 @@ def measure(df: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFram
                 "density": pa.array(density, pa.float64()), "score": pa.array([lexicon.score(d) for d in density], pa.float64()),
             })
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(frugal(run), schema)
