@@ -19,10 +19,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import BLANKS, Workspace
+from folioflow.llm.common import BLANKS, Workspace, shuffle_parts
 
-#: Hash ranges that one source's line is cut into, so that no task holds a whole source.
-LINE_PARTS = 4096
+#: Hash ranges that the sources' lines are cut into at least, and rows of a range at which there are more: no task holds a whole source.
+LINE_PARTS, PART_ROWS = 4096, 1 << 16
 #: Intensities at evenly spaced times for the 1st, 2nd, 3rd, 4th, ... source in turn.
 SCHEDULES: tuple[tuple[float, ...], ...] = ((1.0, 1.0, 1.0), (0.5, 1.0, 1.5), (1.5, 1.0, 0.5))
 
@@ -77,6 +77,15 @@ def due_time(u: Column, intensities: Sequence[float]) -> Column:
     return out.otherwise(F.lit(1.0))
 
 
+def scheduled(u: Column, schedules: Sequence[Sequence[float]]) -> Column:
+    """``due_time`` by the schedule of the row's source (its ``rank``, in turn)."""
+    out = None
+    for k, schedule in enumerate(schedules):
+        mine = F.col("rank") % len(schedules) == k
+        out = F.when(mine, due_time(u, schedule)) if out is None else out.when(mine, due_time(u, schedule))
+    return out
+
+
 def curriculum_mix(
     docs: DataFrame,
     ws: Workspace,
@@ -89,20 +98,21 @@ def curriculum_mix(
     text_col: str = "text",
     keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """A row a document: ``row`` (struct of the columns in ``keep``; all, if None), size, source_size, target, taken, position.
+    """A row a document: ``row`` (struct of the columns in ``keep``; all, if None), size, source_size, target, taken, position, and rank, at, drawn, id.
 
     ``taken`` counts the words that the mix takes, repeats included: the whole
     passes over the source, and this document's words within the last part. The
     document at the end of the part gives its first words only, so that a
     source's words equal its target to rounding; with ``whole_documents`` it is
     taken whole if half of it or more is due, else not.
-    ``position`` is the time at which the document is first due.
+    ``position`` is the time at which the source's demand, integrated over its
+    schedule, first reaches the document's middle; null if that is never.
 
-    Only one small row a document moves besides ``keep``; a source's line is cut
-    into LINE_PARTS ranges of the hash, whose sums (a few thousand a source) give
-    each range its place.
+    Only one small row a document moves besides ``keep``; the sources' lines are
+    cut into ranges of the hash, whose sums give each range its place.
     """
     kept = docs.columns if keep is None else list(keep)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     sized = ws.save(
         docs.select(
             F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"),
@@ -110,10 +120,12 @@ def curriculum_mix(
             F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")).alias("key"),
             word_count(F.col(text_col)).alias("size"),
             F.col(id_col).alias("id"),
-            F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("drawn"),
-        ).withColumn("part", F.conv(F.substring("drawn", 1, 3), 16, 10).cast("int")),
+            F.md5(F.coalesce(F.col(id_col).cast("string"), text).cast("binary")).alias("drawn"),  # rows without an id are drawn by their text
+        ),
         "sized",
     )
+    bits = max(LINE_PARTS.bit_length() - 1, (sized.count() // PART_ROWS).bit_length())
+    sized = sized.withColumn("part", F.shiftright(F.conv(F.substring("drawn", 1, 8), 16, 10).cast("long"), 32 - bits))
     sums = sized.groupBy("key", "part").agg(F.sum("size").alias("words"), F.first("source").alias("source"))
     sums = ws.save(sums, "sums")
     sources = sums.groupBy("key").agg(F.first("source").alias("source"), F.sum("words").alias("source_size"))
@@ -131,18 +143,37 @@ def curriculum_mix(
     part = F.least(F.greatest(rest - F.col("at"), F.lit(0)), F.col("size"))
     if whole_documents:
         part = F.when(2 * part >= F.col("size"), F.col("size")).otherwise(F.lit(0))
-    taken = F.col("passes") * F.col("size") + part
-    share = F.when(F.col("target") > 0, F.least((F.col("at") + F.col("size") / 2) / F.col("target"), F.lit(1.0))).otherwise(F.lit(0.0))
-    position = None
-    for k, schedule in enumerate(schedules):
-        mine = F.col("rank") % len(schedules) == k
-        position = F.when(mine, due_time(share, schedule)) if position is None else position.when(mine, due_time(share, schedule))
+    joined = joined.withColumn("taken", (F.col("passes") * F.col("size") + part).cast("long"))
     return joined.select(
-        "row", "size", "source_size", "target", taken.cast("long").alias("taken"),
-        F.when(taken > 0, position).alias("position"), "rank", "at",
+        "row", "size", "source_size", "target", "taken",
+        F.when(F.col("taken") > 0, scheduled(demanded(F.lit(0)), schedules)).alias("position"), "rank", "at", "drawn", "id",
     )
 
 
+def demanded(copy: Column) -> Column:
+    """The share of its source's demand that stands before the middle of a document's copy."""
+    before = copy * F.col("source_size") + F.col("at")
+    return F.least((before.cast("double") + F.col("size") / 2) / F.col("target"), F.lit(1.0))
+
+
+def with_places(mixed: DataFrame, ws: Workspace) -> DataFrame:
+    """Adds ``place``: a document's rank (from 1) by its first position in training, null if it isn't taken.
+
+    Documents are range-sorted by position and written; the counts of the
+    ranges, one row each, give every range its first place.
+    """
+    order = ["position", "drawn", "id", "size"]
+    spread = mixed.where("taken > 0").repartitionByRange(shuffle_parts(ws.spark), *order).sortWithinPartitions(*order)
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    spread = ws.save(spread.withColumn("range", F.spark_partition_id()).withColumn("within", within), "spread")
+    counts = spread.groupBy("range").agg(F.count("*").alias("n"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    starts = counts.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    taken = spread.join(F.broadcast(starts), "range").withColumn("place", F.col("start") + F.col("within") + 1)
+    left = mixed.where("taken = 0").withColumn("place", F.lit(None).cast("long"))
+    return taken.select(*mixed.columns, "place").unionByName(left)
+
+
 def training_order(mixed: DataFrame, schedules: Sequence[Sequence[float]] = SCHEDULES, partitions: int | None = None) -> DataFrame:
     """A row each time a document is due, range-sorted by position: row, copy, words, position.
 
@@ -154,19 +185,32 @@ def training_order(mixed: DataFrame, schedules: Sequence[Sequence[float]] = SCHE
     rows = mixed.withColumn("copy", F.explode(F.when(copies > 0, F.sequence(F.lit(0), copies - 1)))).withColumn(
         "words", F.least(F.col("taken") - F.col("copy") * F.col("size"), F.col("size"))
     )
-    u = F.least((F.col("copy") * F.col("source_size") + F.col("at") + F.col("size") / 2) / F.col("target"), F.lit(1.0))
-    position = None
-    for k, schedule in enumerate(schedules):
-        mine = F.col("rank") % len(schedules) == k
-        position = F.when(mine, due_time(u, schedule)) if position is None else position.when(mine, due_time(u, schedule))
-    rows = rows.withColumn("position", position)
+    rows = rows.withColumn("position", scheduled(demanded(F.col("copy")), schedules))
     spread = rows.repartitionByRange(partitions, "position") if partitions else rows.repartitionByRange("position")
     return spread.sortWithinPartitions("position").select("row", "copy", "words", "position")
 
 
+def due_time_sql(u: str, intensities: Sequence[float]) -> str:
+    """``due_time`` in SQL."""
+
+    def d(x: float) -> str:
+        return f"CAST({x!r} AS DOUBLE)"
+
+    n = len(intensities) - 1
+    areas = [(a + b) / 2 / n for a, b in zip(intensities, intensities[1:])]
+    total, whens, done = sum(areas), [], 0.0
+    for k, (a, b, area) in enumerate(zip(intensities, intensities[1:], areas)):
+        part, slope = f"greatest({u} * {d(total)} - {d(done)}, {d(0.0)})", (b - a) * n
+        root = f"sqrt(greatest({d(a * a)} + {d(2 * slope)} * {part}, {d(0.0)}))"
+        step = f"{part} / {d(a)}" if slope == 0 else f"({root} - {d(a)}) / {d(slope)}"
+        done += area
+        whens.append(f"WHEN {u} * {d(total)} < {d(done)} THEN {d(k / n)} + least({step}, {d(1 / n)})")
+    return f"CASE {' '.join(whens)} ELSE {d(1.0)} END"
+
+
 MIX_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS drawn,
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), text, '')) AS drawn,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
   FROM documents
 ), sources AS (
@@ -186,17 +230,24 @@ WITH sized AS (
 ), level AS (
   SELECT arg_max(left_words, left_weight) AS lw, max(left_weight) AS ww FROM fitting WHERE fits
 ), aims AS (
-  SELECT source, source_size,
+  SELECT source, source_size, rank,
          CASE WHEN fits THEN CAST(lw AS DOUBLE) * weight / ww ELSE CAST(3 * source_size AS DOUBLE) END AS target
   FROM fitting, level
 ), lined AS (
-  SELECT s.doc_id, s.size, a.source_size, a.target,
+  SELECT s.doc_id, s.size, s.drawn, a.source_size, a.target, a.rank,
          coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.drawn, s.doc_id, s.size
                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins,
          CASE WHEN a.source_size > 0 THEN CAST(floor(a.target / a.source_size) AS BIGINT) ELSE 0 END AS passes
   FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source
+), told AS (
+  SELECT doc_id, size, drawn, source_size, target, rank,
+         CAST(passes * size + least(greatest(CAST(round(target - passes * source_size) AS BIGINT) - begins, 0), size) AS BIGINT) AS taken,
+         least((CAST(begins AS DOUBLE) + CAST(size AS DOUBLE) / 2) / target, CAST(1 AS DOUBLE)) AS u
+  FROM lined
+), timed AS (
+  SELECT *, CASE WHEN taken > 0 THEN CASE rank % 3 {schedules} END END AS position FROM told
 )
-SELECT doc_id, size, source_size, target,
-       CAST(passes * size + least(greatest(CAST(round(target - passes * source_size) AS BIGINT) - begins, 0), size) AS BIGINT) AS taken
-FROM lined
-"""
+SELECT doc_id, size, source_size, target, taken, position,
+       CASE WHEN taken > 0 THEN row_number() OVER (ORDER BY position NULLS LAST, drawn, doc_id, size) END AS place
+FROM timed
+""".replace("{schedules}", " ".join(f"WHEN {k} THEN {due_time_sql('u', schedule)}" for k, schedule in enumerate(SCHEDULES)))

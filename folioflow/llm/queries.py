@@ -70,8 +70,9 @@ def op7_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all ``documents``: weights 5, 2, 1 in turn, no source above 3 times its size."""
-    mixed = curriculum.curriculum_mix(read_table(spark, sf_dir, "documents"), Workspace(spark, "op8"), keep=["doc_id"])
-    return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
+    ws = Workspace(spark, "op8")
+    mixed = ws.save(curriculum.curriculum_mix(read_table(spark, sf_dir, "documents"), ws, keep=["doc_id"]), "mixed")
+    return curriculum.with_places(mixed, ws).select("row.doc_id", "size", "source_size", "target", "taken", "position", "place")
 
 
 def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
