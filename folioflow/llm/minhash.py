@@ -2,45 +2,51 @@
 
 Minima of K hash functions over a text's word shingles are cut into bands; texts
 that share a band's minima are candidates. Of each minimum the low B bits are
-packed into a signature, whose agreeing lanes, corrected for chance collisions,
-estimate a pair's similarity. Links are confirmed on full shingle sets, and the
-groups are the connected components of confirmed links.
-
-No bucket is ever turned into all of its pairs. Equal sets count once. In each
-bucket every text is first compared with the smallest id there, those that
-aren't linked to it with a member drawn by hash, and components are taken. What
-buckets then still hold in different components is compared in blocks of at
-most 2 * BLOCK texts, skipping pairs that are already connected; so a link
-between different components is found whatever the size of the bucket.
+packed into a signature; the differing lanes of two signatures are counted with
+bit operations and, corrected for chance collisions, estimate the similarity.
+Pairs whose estimate rules a link out go; links are confirmed on full shingle
+sets, and the groups are the connected components of confirmed links.
+
+Equal sets are one node, whatever the number of rows that have them. No bucket
+is ever turned into all of its pairs. In each bucket every node is first compared
+with the smallest one there, those that aren't linked to it with a member drawn
+by hash, and components are taken. What a bucket then still holds in different
+components is compared by signatures, in blocks, the largest component against
+the rest and the rest among themselves; only texts that some signature in
+another component comes near to are then read and compared, in blocks again. So
+a link between different components is found whatever the size of the bucket.
 
 Cases: texts that are null, empty or without words have no shingles and stay
 alone; a text with fewer words than a shingle is one shingle; rows that repeat
-an id are one document, linked by any of its texts; rows without an id get
-their group's id and are kept only if the group has none; other columns don't
-matter; an empty input gives an empty table.
+an id are one document, linked by all of its texts, and get one component;
+rows without an id get their group's smallest id, null if nothing in the group
+has one (they are told as kept then); other columns don't matter; an empty
+input gives an empty table.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import Workspace, each_text, frugal
+from folioflow.llm.common import BLANKS, Workspace, each_text, frugal
 
 #: Low bits kept of each minimum, and lanes in a 64-bit word of the signature.
 B = 4
 LANES = 64 // B
-#: Texts on each side of a block comparison.
-BLOCK = 512
-#: A pair is confirmed on full sets unless its estimate is this many deviations under the threshold.
-DEVIATIONS = 5.0
+#: Signatures, and texts and their bytes, on each side of a block comparison.
+BLOCK, TEXT_BLOCK, TEXT_BYTES = 512, 64, 4 << 20
+#: A linked pair's estimate rules it out at most so seldom.
+MISSED = 1e-9
 
 
 @dataclass(frozen=True)
@@ -61,9 +67,24 @@ class Plan:
         return self.bands * self.rows
 
     @property
-    def least_estimate(self) -> float:
-        p = self.percent / 100
-        return p - DEVIATIONS * (p * (1 - p) / self.hashes) ** 0.5
+    def words(self) -> int:
+        """64-bit words of a signature."""
+        return -(-self.hashes // LANES)
+
+    @property
+    def most_differ(self) -> int:
+        """Lanes that may differ: more do so in a linked pair once in 1 / MISSED, by the binomial distribution.
+
+        Of a pair at the threshold a lane differs if the minima do, but for
+        chance collisions of their low bits.
+        """
+        q, n = (1 - self.percent / 100) * (1 - 1 / (1 << B)), self.hashes
+        above = 0.0
+        for k in range(n, 0, -1):
+            above += math.comb(n, k) * q**k * (1 - q) ** (n - k)
+            if above > MISSED:
+                return k
+        return 0
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -128,31 +149,47 @@ class Hashes:
         return np.bitwise_or.reduce(low << (np.arange(LANES, dtype=np.uint64) * np.uint64(B)), axis=1).tobytes()
 
 
-def estimates(one: np.ndarray, many: np.ndarray, hashes: int) -> np.ndarray:
-    """Estimated similarity of a signature to each of many (rows of 64-bit words).
-
-    Lanes that differ are counted as bits; of unequal minima, 1 in 2**B agrees by
-    chance, and is taken off.
-    """
+def differing(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Lanes in which a signature differs from each of many (rows of 64-bit words), counted as bits."""
     x = one ^ many
     x |= x >> np.uint64(1)
     x |= x >> np.uint64(2)
-    differ = np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=-1, dtype=np.int64)
+    return np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=-1, dtype=np.int64)
+
+
+def estimates(one: np.ndarray, many: np.ndarray, hashes: int) -> np.ndarray:
+    """Estimated similarity of a signature to each of many: of unequal minima, 1 in 2**B agrees by chance, and is taken off."""
     chance = 1 / (1 << B)
-    return (1 - differ / hashes - chance) / (1 - chance)
+    return (1 - differing(one, many) / hashes - chance) / (1 - chance)
 
 
-SIGNED = "id long, n_shingles long, digest binary, sig binary, bands array<long>"
+def lanes_apart(a: str, c: str, words: int) -> Column:
+    """``differing`` of two columns of signatures (arrays of longs)."""
+
+    def one(k: int) -> Column:
+        x = F.col(a)[k].bitwiseXOR(F.col(c)[k])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+
+    return reduce(Column.__add__, map(one, range(words)))
+
+
+SIGNED = "id long, text_key string, n_shingles long, digest binary, sig array<long>, bands array<long>"
+
+
+def text_key(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
 def sign(docs: DataFrame, plan: Plan) -> DataFrame:
-    """From (id, text): the size and digest of the shingle set, the packed signature and the band keys."""
+    """From (id, text_key, text): the size and digest of the shingle set, the packed signature and the band keys."""
 
     def run(batches):
         hashes = Hashes(plan)
         for batch in batches:
             n, digests, sigs, bands = [], [], [], []
-            for text in each_text(batch.column(1)):
+            for text in each_text(batch.column(2)):
                 s = shingles(text, plan.width)
                 n.append(len(s))
                 if not len(s):
@@ -160,33 +197,39 @@ def sign(docs: DataFrame, plan: Plan) -> DataFrame:
                     continue
                 m = hashes.minima(s)
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                sigs.append(hashes.signature(m))
+                sigs.append(np.frombuffer(hashes.signature(m), np.int64))
                 bands.append(hashes.bands(m))
+            longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["id", "n_shingles", "digest", "sig", "bands"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, longs), pa.array(bands, longs)],
+                names=["id", "text_key", "n_shingles", "digest", "sig", "bands"],
             )
 
     return docs.mapInArrow(frugal(run), SIGNED)
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
-    """Of pairs (a, c), those whose full sets are linked."""
+    """Of pairs (a, c), those whose full sets are linked: signatures are compared first, texts only of what these leave."""
+    sigs = texts.select("node", "sig")
+    likely = (
+        pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
+        .join(sigs.select(F.col("node").alias("c"), F.col("sig").alias("sig_c")), "c")
+        .where(lanes_apart("sig_a", "sig_c", plan.words) <= plan.most_differ).select("a", "c")
+    )
     joined = (
-        pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-        .join(texts.select(F.col("id").alias("c"), F.col("text").alias("text_c")), "c")
+        likely.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+        .join(texts.select(F.col("node").alias("c"), F.col("text").alias("text_c")), "c")
         .select("a", "c", "text_a", "text_c")
     )
 
     def run(batches):
         last, center = None, None
         for batch in batches:
-            a, c, of_a, of_c = (batch.column(i).to_pylist() for i in range(4))
             keep = []
-            for i in range(len(a)):
-                if center is None or last != of_c[i]:
-                    last, center = of_c[i], shingles(of_c[i], plan.width)
-                keep.append(linked(shingles(of_a[i], plan.width), center, plan.percent))
+            for of_c, text_a, text_c in zip(batch.column(1).to_pylist(), each_text(batch.column(2)), each_text(batch.column(3))):
+                if center is None or last != of_c:
+                    last, center = of_c, shingles(text_c, plan.width)
+                keep.append(linked(shingles(text_a, plan.width), center, plan.percent))
             yield batch.select(["a", "c"]).filter(pa.array(keep, pa.bool_()))
 
     return joined.mapInArrow(frugal(run), "a long, c long")
@@ -213,109 +256,212 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
             return labels.select("id", "comp")
 
 
-def compare_blocks(rows: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
-    """Links between components within each run of equal (family, low, high)."""
-    key, members = None, []
+class Forest:
+    """Union-find over what is named."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (up := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(up, up)
+        return x
 
-    def links(group: list[tuple]) -> list[tuple[int, int]]:
-        ids, comps, blocks, texts, sigs = zip(*group)
-        across = len(set(blocks)) > 1
-        words = np.frombuffer(b"".join(sigs), dtype=np.uint64).reshape(len(group), -1)
-        comp, block = np.array(comps), np.array(blocks)
-        found = []
-        for i in range(len(group) - 1):
-            est = estimates(words[i], words[i + 1 :], plan.hashes)
-            ok = (est >= plan.least_estimate) & (comp[i + 1 :] != comp[i])
-            if across:
-                ok &= block[i + 1 :] != block[i]
-            found += [(-e, i, i + 1 + j) for j, e in zip(np.flatnonzero(ok).tolist(), est[ok].tolist())]
-        root = {c: c for c in comps}
-
-        def find(c):
-            while root[c] != c:
-                root[c] = c = root[root[c]]
-            return c
+    def join(self, x: int, y: int) -> bool:
+        """False if they were one already."""
+        x, y = self.find(x), self.find(y)
+        self.up[x] = y
+        return x != y
 
+
+def in_blocks(rows: DataFrame, group: str, block_rows: int, block_bytes: int | None, ws: Workspace) -> DataFrame:
+    """Lays each group's (node, comp, ...) out for comparison of its components, block against block.
+
+    The largest component's nodes (``main``) needn't be compared with each
+    other, so blocks of the others meet each other (x <= y, kind 0) and blocks
+    of the largest (x of theirs, y of the others; kind 1). Adds kind, x, y, side
+    (only different sides are compared, unless x = y in kind 0). A group of n
+    nodes of which s are outside its largest component makes s / block * n / block
+    comparisons, each of a bounded size.
+    """
+    n_bytes = F.sum(F.octet_length("text")) if block_bytes else F.lit(0).cast("long")
+    tally = ws.save(rows.groupBy(group, "comp").agg(F.count("*").alias("n"), n_bytes.alias("bytes")), "tally")
+    sized = tally.groupBy(group).agg(
+        F.max(F.struct("n", "comp", "bytes")).alias("largest"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("comps"),
+    ).where("comps > 1")
+
+    def blocks(n: Column, size: Column) -> Column:
+        by_rows = F.ceil(n / block_rows)
+        return F.greatest(by_rows, F.ceil(size / block_bytes)).cast("int") if block_bytes else by_rows.cast("int")
+
+    sized = ws.save(
+        sized.select(
+            group, F.col("largest.comp").alias("main"), blocks(F.col("largest.n"), F.col("largest.bytes")).alias("main_blocks"),
+            blocks(F.col("n") - F.col("largest.n"), F.col("bytes") - F.col("largest.bytes")).alias("blocks"),
+        ),
+        "sized",
+    )
+    is_main = F.col("comp") == F.col("main")
+    placed = rows.join(sized, group).withColumn("block", F.pmod(F.xxhash64("node"), F.when(is_main, F.col("main_blocks")).otherwise(F.col("blocks"))).cast("int"))
+    kept = rows.columns
+    mains = placed.where(is_main).select(*kept, F.lit(1).alias("kind"), F.col("block").alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"), F.lit(-1).alias("side"))
+    others = placed.where(~is_main)
+    against = others.select(*kept, F.lit(1).alias("kind"), F.explode(F.sequence(F.lit(0), F.col("main_blocks") - 1)).alias("x"), F.col("block").alias("y"), F.lit(0).alias("side"))
+    among = others.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        *kept, F.lit(0).alias("kind"), F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.col("block").alias("side"),
+    )
+    key = [group, "kind", "x", "y"]
+    return mains.unionByName(against).unionByName(among).select(*key, "side", *[c for c in kept if c != group]).repartition(*key).sortWithinPartitions(*key)
+
+
+def runs_of_equal_keys(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[tuple]]:
+    """Rows (without the first ``width`` values) of each run of equal first values."""
+    key, members = None, []
+    for batch in batches:
+        columns = [each_text(batch.column(i)) for i in range(batch.num_columns)]
+        for row in zip(*columns):
+            if row[:width] != key:
+                if members:
+                    yield members
+                key, members = row[:width], []
+            members.append(row[width:])
+    if members:
+        yield members
+
+
+def near_pairs(sides: np.ndarray, comps: np.ndarray, words: np.ndarray, plan: Plan) -> list[tuple[int, int, int]]:
+    """(lanes apart, i, j) of the pairs of different components, and of different sides if there are such, that may be linked."""
+    across, out = len(set(sides.tolist())) > 1, []
+    for i in range(len(comps) - 1):
+        apart = differing(words[i], words[i + 1 :])
+        ok = (apart <= plan.most_differ) & (comps[i + 1 :] != comps[i])
+        if across:
+            ok &= sides[i + 1 :] != sides[i]
+        at = np.flatnonzero(ok)
+        out += zip(apart[at].tolist(), [i] * len(at), (at + i + 1).tolist())
+    return out
+
+
+def as_edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in range(2)], names=["a", "c"])
+
+
+def suspects(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
+    """From blocks of (side, node, comp, sig): edges of a spanning forest of the pairs that may be linked, under a block's rows in number."""
+    for members in runs_of_equal_keys(batches, 4):
+        sides, nodes, comps, sigs = zip(*members)
+        forest = Forest()
+        words = np.array(sigs, dtype=np.int64).view(np.uint64)
+        found = [(nodes[i], nodes[j]) for _, i, j in near_pairs(np.array(sides), np.array(comps), words, plan) if forest.join(nodes[i], nodes[j])]
+        if found:
+            yield as_edges(found)
+
+
+def links_in_blocks(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
+    """From blocks of (side, node, comp, sig, text): linked pairs of components, nearest signatures first, none twice connected."""
+    for members in runs_of_equal_keys(batches, 4):
+        sides, _, comps, sigs, texts = zip(*members)
+        words = np.array(sigs, dtype=np.int64).view(np.uint64)
+        forest, out = Forest(), []
         sets: dict[int, np.ndarray] = {}
-        out = []
-        for _, i, j in sorted(found):
-            if find(comps[i]) == find(comps[j]):
+        for _, i, j in sorted(near_pairs(np.array(sides), np.array(comps), words, plan)):
+            if forest.find(comps[i]) == forest.find(comps[j]):
                 continue
             for k in (i, j):
                 if k not in sets:
                     sets[k] = shingles(texts[k], plan.width)
             if linked(sets[i], sets[j], plan.percent):
-                root[find(comps[i])] = find(comps[j])
+                forest.join(comps[i], comps[j])
                 out.append((comps[i], comps[j]))
-        return out
+        if out:
+            yield as_edges(out)
 
-    def batch_of(pairs):
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in range(2)], names=["a", "c"])
 
-    for batch in rows:
-        out = []
-        for row in zip(*(batch.column(i).to_pylist() for i in range(8))):
-            if row[:3] != key:
-                if len(members) > 1:
-                    out += links(members)
-                key, members = row[:3], []
-            members.append(row[3:])
-        yield batch_of(out)
-    if len(members) > 1:
-        yield batch_of(links(members))
-
-
-def near_groups(docs: DataFrame, ws: Workspace, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row a document: ``id``, ``n_shingles``, ``component_id`` (smallest id reachable), ``kept`` (it is that one)."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+def grouped(docs: DataFrame, ws: Workspace, plan: Plan, id_col: str, text_col: str) -> DataFrame:
+    """A row a row: id, text_key, n_shingles, group (null without shingles), component_id (the smallest id of the group, or of what shares the id)."""
+    source = docs.select(F.col(id_col).cast("long").alias("id"), text_key(F.col(text_col).cast("string")).alias("text_key"), F.col(text_col).cast("string").alias("text"))
     signed = ws.save(sign(source, plan), "signed")
-    same = ws.save(signed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep")), "same")
-    members = ws.save(signed.select("id", "n_shingles", "digest").join(same, "digest", "left").select("id", "n_shingles", "rep"), "members")
+    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "text_key"))
+    sets = signed.where("digest is not null").groupBy("digest").agg(first.alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    # numbers of the written table: they don't change when a task runs again
+    sets = ws.save(sets.select(F.monotonically_increasing_id().alias("node"), "digest", "rep.id", "rep.text_key", "sig", "bands"), "sets")
+
+    said = signed.select("id", "text_key", "n_shingles", "digest")
+    of_set = said.where("digest is not null").join(sets.select("digest", "node", F.col("id").alias("least")), "digest").drop("digest")
+    blank = said.where("digest is null").drop("digest").withColumns({"node": F.lit(None).cast("long"), "least": F.lit(None).cast("long")})
+    members = ws.save(of_set.unionByName(blank), "members")
+    ws.drop(signed)
+    hubs = members.where("id is not null").groupBy("id").agg(
+        F.min("node").alias("hub"), F.max("node").alias("top"), F.min("least").alias("hub_least"), F.count("*").alias("n"), F.count("node").alias("with_node")
+    )
+    hubs = ws.save(hubs.where("hub < top or n > with_node and with_node > 0").select("id", "hub", "hub_least"), "hubs")
+    by_id = ws.save(members.where("node is not null").join(hubs, "id").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("c")).distinct(), "by-id")
 
-    firsts = signed.where("digest is not null and id is not null").join(same.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi")
-    banded = firsts.select("id", F.explode("bands").alias("bucket"))
+    banded = sets.select("node", F.explode("bands").alias("bucket"))
     shared = (
         banded.groupBy("bucket")
-        .agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.min_by("id", F.xxhash64("id", "bucket")).alias("drawn"))
+        .agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min_by("node", F.xxhash64("node", "bucket")).alias("drawn"))
         .where("low < high")
         .select("bucket", "low", "drawn")
     )
     shared = ws.save(shared, "shared")
-    cand = ws.save(banded.join(shared, "bucket").select("bucket", "id", "low", "drawn"), "candidates")
-    wanted = firsts.join(cand.select("id").distinct(), "id", "left_semi").select("id", "sig")
-    texts = ws.save(source.join(wanted, "id"), "texts")
-    ws.drop(signed)
-
-    stars = ws.save(cand.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("c")).distinct(), "stars")
+    cand = ws.save(banded.join(shared, "bucket").select("bucket", "node", "low", "drawn"), "candidates")
+    wanted = sets.join(cand.select("node").distinct(), "node", "left_semi").select("node", "id", "text_key", "sig")
+    # one text a node; equal rows of an id come together by the join, so that taking one of them moves nothing
+    named = source.where("id is not null").join(wanted.where("id is not null"), ["id", "text_key"]).dropDuplicates(["id", "text_key"])
+    nameless = source.where("id is null").select("text_key", "text").dropDuplicates(["text_key"]).join(wanted.where("id is null").drop("id"), "text_key")
+    texts = ws.save(named.select("node", "sig", "text").unionByName(nameless.select("node", "sig", "text")), "texts")
+
+    stars = ws.save(cand.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("c")).distinct(), "stars")
     near = ws.save(confirm(stars, texts, plan), "near")
-    apart = cand.where("id <> low").join(near.select(F.col("a").alias("id"), F.col("c").alias("low")), ["id", "low"], "left_anti")
-    more = apart.where("id <> drawn and low <> drawn").select(F.least("id", "drawn").alias("a"), F.greatest("id", "drawn").alias("c")).distinct()
-    near = near.union(ws.save(confirm(ws.save(more, "more"), texts, plan), "near"))
-    comps = components(ws, near)
-
-    placed = cand.select("bucket", "id").join(comps, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
-    placed = ws.save(placed, "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("bucket", "least")
-    open_ = ws.save(placed.join(ws.save(mixed, "mixed"), "bucket").select("id", "comp", "least").distinct(), "open")
-    family = components(ws, open_.where("comp <> least").select(F.col("comp").alias("a"), F.col("least").alias("c")).distinct())
-    family = ws.save(family.select(F.col("id").alias("comp"), F.col("comp").alias("family")), "family")
-    sized = ws.save(open_.select("id", "comp").distinct().join(family, "comp"), "sized")
-    sizes = ws.save(sized.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
-    laid = (
-        sized.join(sizes, "family")
-        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .join(texts, "id")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "comp", "block", "text", "sig")
+    apart = cand.where("node <> low").join(near.select(F.col("a").alias("node"), F.col("c").alias("low")), ["node", "low"], "left_anti")
+    more = ws.save(apart.where("node <> drawn and low <> drawn").select(F.least("node", "drawn").alias("a"), F.greatest("node", "drawn").alias("c")).distinct(), "more")
+    more = ws.save(confirm(more, texts, plan), "near")
+    comps = components(ws, near.union(more).union(by_id))
+
+    placed = ws.save(cand.select("bucket", "node").join(comps, F.col("node") == F.col("id"), "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp")), "placed")
+    mixed = ws.save(placed.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("bucket"), "mixed")
+    open_ = ws.save(placed.join(mixed, "bucket").join(sets.select("node", "sig"), "node").select("bucket", "node", "comp", "sig"), "open")
+    maybe = in_blocks(open_, "bucket", BLOCK, None, ws).mapInArrow(frugal(lambda rows: suspects(rows, plan)), "a long, c long")
+    family = ws.save(components(ws, ws.save(maybe, "maybe")).withColumnRenamed("comp", "family"), "family")
+    doubted = family.join(comps, "id", "left").select(F.col("id").alias("node"), "family", F.coalesce("comp", "id").alias("comp"))
+    doubted = ws.save(doubted.join(texts, "node").select("family", "node", "comp", "sig", "text"), "doubted")
+    late = in_blocks(doubted, "family", TEXT_BLOCK, TEXT_BYTES, ws).mapInArrow(frugal(lambda rows: links_in_blocks(rows, plan)), "a long, c long")
+    joined = components(ws, ws.save(late, "late")).select(F.col("id").alias("comp"), F.col("comp").alias("last"))
+    linked_nodes = comps.join(joined, "comp", "left").select(F.col("id").alias("node"), F.coalesce("last", "comp").alias("group"))
+    alone = joined.join(comps, F.col("id") == joined["comp"], "left_anti").select(F.col("comp").alias("node"), F.col("last").alias("group"))
+    final = ws.save(linked_nodes.union(alone), "final")
+    least = final.join(sets.select("node", "id"), "node").groupBy("group").agg(F.min("id").alias("component_id"))
+    final = ws.save(final.join(ws.save(least, "least"), "group"), "final")
+
+    told = members.join(hubs, "id", "left").select(
+        "id", "text_key", "n_shingles", F.coalesce("node", "hub").alias("node"), F.coalesce("least", "hub_least").alias("least")
     )
-    keys = ["family", "low", "high"]
-    late = laid.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda rows: compare_blocks(rows, plan), "a long, c long")
-    joined = components(ws, ws.save(late, "late"))
-    final = comps.join(joined.select(F.col("id").alias("comp"), F.col("comp").alias("last")), "comp", "left").select(
-        F.col("id").alias("rep"), F.coalesce("last", "comp").alias("component")
+    return told.join(final, "node", "left").select(
+        "id", "text_key", "n_shingles", F.coalesce("group", "node").alias("group"), F.coalesce("component_id", "least", "id").alias("component_id")
     )
-    alone = joined.join(comps.select("id"), "id", "left_anti").select(F.col("id").alias("rep"), F.col("comp").alias("component"))
-    final = ws.save(final.union(alone), "final")
-    return members.join(final, "rep", "left").select(
-        "id", "n_shingles", F.coalesce("component", "rep", "id").alias("component_id")
-    ).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
+
+
+def near_groups(docs: DataFrame, ws: Workspace, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row a row: ``id``, ``n_shingles``, ``component_id`` (smallest id reachable), ``kept`` (it is that one)."""
+    return grouped(docs, ws, plan, id_col, text_col).select("id", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def without_copies(docs: DataFrame, ws: Workspace, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with their columns: one of each group, that of the smallest id.
+
+    Of a group without any id the row with the least hash of its text stays; of
+    several texts of a kept id that with words and the least hash, and of equal
+    rows one. Rows without id and words belong to no group, and all stay.
+    """
+    told = ws.save(grouped(docs, ws, plan, id_col, text_col), "told")
+    of_id = told.where("id = component_id").groupBy("id").agg(F.min(F.struct(F.col("n_shingles") == 0, "text_key")).alias("t")).select("id", "t.text_key")
+    of_group = told.where("component_id is null and group is not null").groupBy("group").agg(F.min("text_key").alias("text_key")).select("text_key")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    text = F.col(text_col).cast("string")
+    worded = F.coalesce(text.rlike(f"[^{BLANKS}]"), F.lit(False))
+    rows = docs.select(F.struct(*names).alias("row"), F.col(id_col).cast("long").alias("id"), text_key(text).alias("text_key"), worded.alias("worded"))
+    named = rows.where("id is not null").join(of_id, ["id", "text_key"], "left_semi").dropDuplicates(["id", "text_key"])
+    nameless = rows.where("id is null and worded").dropDuplicates(["text_key"]).join(of_group, "text_key", "left_semi")
+    blank = rows.where("id is null and not worded")
+    return named.select("row").union(nameless.select("row")).union(blank.select("row")).select(*[F.col("row")[c].alias(c) for c in docs.columns])
