@@ -50,9 +50,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether they decode to its very bytes."""
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    told = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
-    exact = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
-    return told.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", exact.alias("exact"))
+    told = bpe.encode(docs, path, pattern, exact=True, keep=["doc_id", "lang", "source"])
+    return told.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "exact")
 
 
 STAGES = [
