@@ -35,10 +35,11 @@ def safe_image(path: str) -> bool:
 
 
 def destination(url: str) -> str:
-    out = url.replace("\\", "\\\\").replace("&", "\\&").replace("\r", "%0D").replace("\n", "%0A")
-    if re.search(r"[\x00-\x20()<>\x7f]", out):
-        out = f"<{out.replace('<', '%3C').replace('>', '%3E')}>"
-    return out
+    """A link's destination: bare if blanks, controls, brackets and parentheses are absent, else between angle brackets."""
+    out = url.translate({ord("\\"): "\\\\", ord("&"): "\\&", ord("\r"): "%0D", ord("\n"): "%0A"})
+    if all(c > " " and c not in "()<>\x7f" for c in out):
+        return out
+    return f"<{out.translate({ord('<'): '%3C', ord('>'): '%3E'})}>"
 
 
 def attribute(value: str) -> str:
@@ -450,7 +451,7 @@ class MarkdownDocument:
     def reference(self, e: dict) -> dict:
         if (e.get("formatted") or {}).get("value"):
             return e["formatted"]
-        self.warnings.append(f"bibliography entry {e['label']!r} has no 'formatted' string; composed a minimal unstyled reference from the lifted fields")
+        self.warnings.append(f"no formatted reference for {e['label']!r}; its fields are joined instead")
         year = None if e.get("year") is None else f"({e['year']})"
         parts = [", ".join(e.get("authors") or []), year, e.get("title"), e.get("container"), e.get("doi") and f"doi:{e['doi']}", e.get("url")]
         return {"value": ". ".join(p for p in parts if p) or e["label"]}
