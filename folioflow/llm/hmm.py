@@ -18,25 +18,26 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import Workspace, bounded_sample, each_text, frugal
+from folioflow.llm.common import Workspace, bounded_sample, frugal
 
 #: Words that are symbols themselves; classes of the others; hidden states.
 SYMBOLS, CLASSES, STATES = 8000, 64, 8
 #: Words whose counts every worker knows (at most so many, of at most so many bytes); the others are joined.
 COMMON, COMMON_BYTES = 150_000, 64
 #: Texts and rounds that the first model comes from, before the passes over the whole corpus.
-SEED_TEXTS, SEED_ROUNDS = 1500, 12
+SEED_TEXTS, SEED_ROUNDS = 1000, 3
 #: Passes end when one raises the corpus's log likelihood by less than this share of it.
 SETTLED = 1e-4
-#: Training runs over pieces of a text of at most so many tokens; scoring over whole texts.
-PIECE = 512
+#: Tokens whose forward vectors are held at a time.
+HELD = 300_000
 #: Weight, in tokens, of the corpus frequencies within each state's emissions.
 PRIOR = 200.0
 
@@ -49,16 +50,38 @@ def class_of(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % CLASSES
 
 
+def coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """``words_of`` for a column: the text and the code of each word, and the distinct words (binary) by code."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    doc = np.repeat(np.arange(len(texts)), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+    coded = parts.flatten().dictionary_encode()
+    codes, words = coded.indices.to_numpy(), coded.dictionary.cast(pa.binary())
+    said = (pc.binary_length(words).to_numpy(zero_copy_only=False) > 0)[codes]  # blanks at the ends split off nothing
+    return doc[said], codes[said], words
+
+
+def classes_of(words: pa.Array) -> np.ndarray:
+    """``class_of`` each word."""
+    tails = pc.binary_slice(words, -2).dictionary_encode()
+    by_tail = np.array([class_of(t) for t in tails.dictionary.to_pylist()], dtype=np.int64)
+    return by_tail[tails.indices.to_numpy()] if len(words) else np.zeros(0, dtype=np.int64)
+
+
 @dataclass
 class Counts:
-    """What training texts hold: counts of common words, and totals. ``log_class``: log10 of each class's total and spare place."""
+    """What training texts hold: counts of common words, commonest first, and totals.
+
+    The first ``n_symbols`` common words are symbols 1, 2, ...; 0 is the end;
+    classes follow. ``log_class``: log10 of each class's total and spare place.
+    """
 
     tokens: int
     distinct: int
     ends: int
-    common: dict[bytes, int]
-    symbols: dict[bytes, int]
-    symbol_counts: np.ndarray  # end, symbols, classes
+    common: pa.Array
+    common_counts: np.ndarray
+    n_symbols: int
+    symbol_counts: np.ndarray
     log_class: np.ndarray
     table: DataFrame | None = None
 
@@ -72,69 +95,117 @@ def count_words(texts: DataFrame, ws: Workspace) -> Counts:
     def run(batches):
         counts: Counter = Counter()
         for batch in batches:
-            for text in each_text(batch.column(0)):
-                counts.update(words_of(text))
-                if len(counts) > 400_000:
-                    yield told(counts)
-                    counts = Counter()
+            _, codes, words = coded_words(batch.column(0))
+            times = np.bincount(codes, minlength=len(words)).tolist()
+            for word, n in zip(words.to_pylist(), times):
+                if n:
+                    counts[word] += n
+            if len(counts) > 400_000:
+                yield told(counts)
+                counts = Counter()
         yield told(counts)
 
     ends = texts.count()
     table = ws.save(texts.mapInArrow(frugal(run), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "counts")
     group = F.crc32(F.expr("substring(word, -2, 2)")) % CLASSES
     classes = {int(r.g): (int(r.n), int(r.c)) for r in table.groupBy(group.alias("g")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).collect()}
-    short = table.where(F.octet_length("word") <= COMMON_BYTES)
-    top = short.where(F.col("c") >= least_common(short)).toPandas()
-    top = sorted(zip(map(bytes, top["word"]), map(int, top["c"])), key=lambda x: (-x[1], x[0]))
-    common = dict(top)
-    symbols = {w: i + 1 for i, w in enumerate(list(common)[:SYMBOLS])}
+    top = most_common(table.where(F.octet_length("word") <= COMMON_BYTES))
+    common, common_counts = [w for w, _ in top], np.array([c for _, c in top], dtype=np.int64)
+    n_symbols = min(SYMBOLS, len(common))
     words, total = np.zeros(CLASSES), np.zeros(CLASSES)
     for g, (n, c) in classes.items():
         words[g], total[g] = n, c
-    for w in symbols:
+    for w, c in top[:n_symbols]:
         words[class_of(w)] -= 1
-        total[class_of(w)] -= common[w]
-    counts = np.concatenate([[ends], [common[w] for w in symbols], total])
+        total[class_of(w)] -= c
+    symbol_counts = np.concatenate([[ends], common_counts[:n_symbols], total])
     tokens = sum(c for _, c in classes.values()) + ends
     distinct = sum(n for n, _ in classes.values()) + (ends > 0)
-    return Counts(tokens, distinct, ends, common, symbols, counts, np.log10(total + words + 1), table)
-
+    return Counts(tokens, distinct, ends, pa.array(common, pa.binary()), common_counts, n_symbols, symbol_counts, np.log10(total + words + 1), table)
 
-def least_common(table: DataFrame) -> int:
-    """The smallest count that at most COMMON words reach.
 
-    Counts are told to three digits (a few thousand rows at most come to the
-    driver), so that words of like count are in or out together.
-    """
+def most_common(table: DataFrame) -> list[tuple[bytes, int]]:
+    """The COMMON words of the largest counts, told to three digits; of the last such count those with the smallest hash. Commonest first."""
     step = F.pow(F.lit(10.0), F.greatest(F.floor(F.log10("c")) - 2, F.lit(0)))
-    rows = table.groupBy((F.floor(F.col("c") / step) * step).cast("long").alias("least")).count().collect()
-    words, least = 0, None
-    for row in sorted(rows, key=lambda r: -r.least):
-        words += row["count"]
-        if words > COMMON:
+    table = table.withColumn("least", (F.floor(F.col("c") / step) * step).cast("long"))
+    room, bounds = COMMON, None
+    for row in sorted(table.groupBy("least").count().collect(), key=lambda r: -r.least):  # some thousand rows at most
+        if row["count"] > room:
+            bounds = row.least
             break
-        least = row.least
-    return 1 << 62 if least is None else least
+        room -= row["count"]
+    rows = table.select("word", "c") if bounds is None else table.where(F.col("least") > bounds).select("word", "c")
+    if bounds is not None and room:
+        rows = rows.union(bounded_sample(table.where(F.col("least") == bounds).select("word", "c"), ["word"], room))
+    return sorted(((bytes(r.word), int(r.c)) for r in rows.collect()), key=lambda x: (-x[1], x[0]))
+
+
+def symbols_of(words: pa.Array, counts: Counts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word its symbol, its place among the common words (-1: not there) and its class."""
+    at = pc.fill_null(pc.index_in(words, value_set=counts.common), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    classes = classes_of(words)
+    return np.where((at >= 0) & (at < counts.n_symbols), at + 1, 1 + counts.n_symbols + classes), at, classes
+
+
+def with_ends(symbols: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's symbols in turn, the end (0) last, and where each text's begin (with the end of the last)."""
+    lengths = np.bincount(doc, minlength=n) + 1
+    bounds = np.concatenate([[0], np.cumsum(lengths)])
+    flat = np.zeros(bounds[-1], dtype=np.uint16)
+    flat[np.arange(len(symbols)) + doc] = symbols
+    return flat, bounds
 
 
 def symbol_lists(texts: list[str | None], counts: Counts) -> list[np.ndarray]:
     """Each text's symbols, the end last."""
-    known, first_class = counts.symbols, 1 + len(counts.symbols)
-    memo: dict[bytes, int] = {}
-    out = []
-    for text in texts:
-        row = []
-        for w in words_of(text):
-            s = known.get(w)
-            if s is None:
-                tail = w[-2:]
-                s = memo.get(tail)
-                if s is None:
-                    s = memo[tail] = first_class + class_of(w)
-            row.append(s)
-        row.append(0)
-        out.append(np.array(row, dtype=np.int32))
-    return out
+    doc, codes, words = coded_words(pa.array(texts, pa.string()))
+    flat, bounds = with_ends(symbols_of(words, counts)[0][codes], doc, len(texts))
+    return [flat[a:b] for a, b in zip(bounds, bounds[1:])]
+
+
+@dataclass
+class Ragged:
+    """Rows by time: the symbols of all rows at time 0, then at time 1, ..., longest rows first in each."""
+
+    order: np.ndarray  # the rows' indexes, longest first
+    symbols: np.ndarray
+    active: list[int]  # rows that reach each time
+    offset: list[int]  # where each time begins
+    row: np.ndarray  # of each symbol, as a place in ``order``
+
+    @classmethod
+    def of(cls, rows: list[np.ndarray], idx: list[int]) -> Ragged:
+        lengths = np.array([len(rows[i]) for i in idx])
+        active = (len(lengths) - np.searchsorted(np.sort(lengths), np.arange(lengths[0]), side="right")).astype(np.int64)
+        offset = np.concatenate([[0], np.cumsum(active)])
+        row = np.repeat(np.arange(len(idx)), lengths)
+        time = np.concatenate([np.arange(n) for n in lengths])
+        symbols, rows_at = np.empty(offset[-1], dtype=np.int64), np.empty(offset[-1], dtype=np.int64)
+        symbols[offset[time] + row] = np.concatenate([rows[i] for i in idx])
+        rows_at[offset[time] + row] = row
+        return cls(np.array(idx), symbols, active.tolist(), offset.tolist(), rows_at)
+
+    def stretches(self, most: int) -> list[tuple[int, int]]:
+        """Times cut so that each stretch holds at most about ``most`` symbols."""
+        out, a = [], 0
+        while a < len(self.active):
+            b = max(a + 1, int(np.searchsorted(self.offset, self.offset[a] + most, side="right")) - 1)
+            out.append((a, min(b, len(self.active))))
+            a = out[-1][1]
+        return out
+
+
+def ragged_groups(rows: list[np.ndarray], most: int):
+    """Rows of like length together, at most about ``most`` symbols a group or one row."""
+    order = sorted(range(len(rows)), key=lambda i: -len(rows[i]))
+    a = 0
+    while a < len(order):
+        b, held = a, 0
+        while b < len(order) and (b == a or held + len(rows[order[b]]) <= most):
+            held += len(rows[order[b]])
+            b += 1
+        yield Ragged.of(rows, order[a:b])
+        a = b
 
 
 @dataclass
@@ -143,76 +214,83 @@ class Model:
     move: np.ndarray
     emit: np.ndarray  # a row a symbol, a column a state
 
-    def log_likelihoods(self, rows: list[np.ndarray], most: int = 1_000_000) -> np.ndarray:
+    def _forward(self, g: Ragged, a: int, b: int, before: np.ndarray | None, alpha: np.ndarray | None, scale: np.ndarray, emitted: np.ndarray) -> np.ndarray:
+        """Scaled forward recursion over times a to b, from the vectors at a - 1; returns those at b - 1."""
+        base = g.offset[a]
+        now = before
+        for t in range(a, b):
+            n, o = g.active[t], g.offset[t] - base
+            now = (self.start if t == 0 else now[:n] @ self.move) * emitted[o : o + n]
+            s = np.add.reduce(now, axis=1)
+            now /= s[:, None]
+            scale[o : o + n] = s
+            if alpha is not None:
+                alpha[o : o + n] = now
+        return now
+
+    def log_likelihoods(self, rows: list[np.ndarray], most: int = HELD) -> np.ndarray:
         """log10 probability of each symbol row, by the scaled forward recursion over all rows of like length at once."""
         out = np.zeros(len(rows))
-        for idx, grid, active in batches_by_length(rows, most):
-            a = self.start * self.emit[grid[0]]
-            total = np.zeros(len(idx))
-            for t in range(len(grid)):
-                n = active[t]
-                if t:
-                    a = (a[:n] @ self.move) * self.emit[grid[t, :n]]
-                scale = a.sum(axis=1)
-                a /= scale[:, None]
-                total[:n] += np.log10(scale)
-            out[idx] = total
+        for g in ragged_groups(rows, 4 * most):
+            total, now = np.zeros(len(g.order)), None
+            for a, b in g.stretches(most):
+                x, y = g.offset[a], g.offset[b]
+                scale = np.empty(y - x)
+                now = self._forward(g, a, b, now, None, scale, self.emit[g.symbols[x:y]])
+                total += np.bincount(g.row[x:y], weights=np.log10(scale), minlength=len(total))
+            out[g.order] = total
         return out
 
-    def expected(self, rows: list[np.ndarray], most: int = 150_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def expected(self, rows: list[np.ndarray], most: int = HELD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected starts, moves and emissions of the rows (one forward and one backward pass)."""
         return self.expected_and_likelihood(rows, most)[:3]
 
-    def expected_and_likelihood(self, rows: list[np.ndarray], most: int = 150_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        """``expected``, and the sum of the rows' log10 probabilities, which the forward pass has anyway."""
-        likelihood = 0.0
-        start, move, emit = np.zeros_like(self.start), np.zeros_like(self.move), np.zeros_like(self.emit)
-        for idx, grid, active in batches_by_length(rows, most):
-            alphas, scales = [], []
-            a = self.start * self.emit[grid[0]]
-            for t in range(len(grid)):
-                if t:
-                    a = (a[: active[t]] @ self.move) * self.emit[grid[t, : active[t]]]
-                scale = a.sum(axis=1)
-                a = a / scale[:, None]
-                alphas.append(a)
-                scales.append(scale)
-                likelihood += float(np.log10(scale).sum())
-            b = np.ones_like(alphas[-1])
-            symbols, weights = [], []
-            for t in range(len(grid) - 1, -1, -1):
-                if t < len(grid) - 1:
-                    n = active[t + 1]
-                    nxt = self.emit[grid[t + 1, :n]] * b[:n] / scales[t + 1][:, None]
-                    move += self.move * (alphas[t][:n].T @ nxt)
-                    b = np.concatenate([nxt @ self.move.T, np.ones((active[t] - n, len(self.start)))])
-                gamma = alphas[t] * b
-                symbols.append(grid[t, : active[t]])
-                weights.append(gamma)
-            start += weights[-1].sum(axis=0)
-            s, w = np.concatenate(symbols), np.concatenate(weights)
-            for k in range(len(self.start)):
-                emit[:, k] += np.bincount(s, weights=w[:, k], minlength=len(emit))
+    def expected_and_likelihood(self, rows: list[np.ndarray], most: int = HELD) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """``expected``, and the sum of the rows' log10 probabilities, which the forward pass has anyway.
+
+        Whole rows, however long: where a row's vectors are too many to hold, those
+        between stretches are kept and a stretch's own are computed again as the
+        backward pass comes to it.
+        """
+        start, move, emit, likelihood = np.zeros_like(self.start), np.zeros_like(self.move), np.zeros_like(self.emit), 0.0
+        states, back = len(self.start), np.ascontiguousarray(self.move.T)
+        for g in ragged_groups(rows, most):
+            stretches = g.stretches(most)
+            entering = [None]
+            for a, b in stretches[:-1]:
+                x, y = g.offset[a], g.offset[b]
+                entering.append(self._forward(g, a, b, entering[-1], None, np.empty(y - x, self.emit.dtype), self.emit[g.symbols[x:y]]))
+            coming = None  # emissions times backward vectors over scales, at the time after the stretch
+            for (a, b), before in zip(reversed(stretches), reversed(entering)):
+                x, y = g.offset[a], g.offset[b]
+                emitted = self.emit[g.symbols[x:y]]
+                alpha, scale = np.empty_like(emitted), np.empty(y - x, self.emit.dtype)
+                last = self._forward(g, a, b, before, alpha, scale, emitted)
+                emitted /= scale[:, None]
+                beta = np.ones_like(emitted)
+                if coming is not None:
+                    move += self.move * (last[: len(coming)].T @ coming)
+                for t in range(b - 1, a - 1, -1):
+                    n, o = g.active[t], g.offset[t] - x
+                    if coming is not None:
+                        np.matmul(coming, back, out=beta[o : o + len(coming)])
+                    coming = emitted[o : o + n] * beta[o : o + n]
+                likelihood += float(np.log10(scale, dtype=np.float64).sum())
+                emitted *= beta
+                later = g.offset[a + 1] - x
+                if later < y - x:  # each vector meets the one of its row a time before
+                    width = np.repeat(g.active[a : b - 1], g.active[a + 1 : b])
+                    move += self.move * (alpha[np.arange(later, y - x) - width].T @ emitted[later:])
+                alpha *= beta
+                if a == 0:
+                    start += alpha[: g.active[0]].sum(axis=0)
+                for k in range(states):
+                    emit[:, k] += np.bincount(g.symbols[x:y], weights=alpha[:, k], minlength=len(emit))
         return start, move, emit, likelihood
 
-
-def batches_by_length(rows: list[np.ndarray], most: int):
-    """Groups of rows of like length: their indexes (longest first), symbols by time, and how many rows are live at each time."""
-    order = sorted(range(len(rows)), key=lambda i: -len(rows[i]))
-    a = 0
-    while a < len(order):
-        longest = len(rows[order[a]])
-        idx = order[a : a + max(1, most // longest)]
-        a += len(idx)
-        lengths = np.array([len(rows[i]) for i in idx])
-        grid = np.zeros((longest, len(idx)), dtype=np.int32)
-        for j, i in enumerate(idx):
-            grid[: lengths[j], j] = rows[i]
-        yield np.array(idx), grid, (lengths[None, :] > np.arange(longest)[:, None]).sum(axis=1)
-
-
-def pieces(rows: list[np.ndarray]) -> list[np.ndarray]:
-    return [r[i : i + PIECE] for r in rows for i in range(0, len(r), PIECE)]
+    def single(self) -> Model:
+        """The model in single precision, which the expected counts are computed in."""
+        return Model(*(x.astype(np.float32) for x in (self.start, self.move, self.emit)))
 
 
 def updated(start: np.ndarray, move: np.ndarray, emit: np.ndarray, prior: np.ndarray) -> Model:
@@ -234,30 +312,31 @@ def seeded(rows: list[np.ndarray], counts: Counts) -> Model:
     emit = prior[:, None] * np.exp(draw.normal(0, 0.5, (len(prior), STATES)))
     model = Model(np.full(STATES, 1 / STATES), np.full((STATES, STATES), 0.1 / STATES) + 0.9 * np.eye(STATES), emit / emit.sum(axis=0))
     for _ in range(SEED_ROUNDS if rows else 0):
-        model = updated(*model.expected(pieces(rows)), prior)
+        model = updated(*model.expected(rows), prior)
     return model
 
 
-def train(texts: DataFrame, drawn: DataFrame, counts: Counts) -> Model:
-    """Baum-Welch from a first model of few texts of ``drawn`` (id, text): passes over every text until the likelihood settles.
+def train(texts: DataFrame, counts: Counts, ws: Workspace) -> Model:
+    """Baum-Welch over every text of ``texts`` (one column), pass after pass until the likelihood settles.
 
-    Symbols are written once, two bytes each, for all passes. A task sums its
+    Symbols are written once, two bytes each, for all passes. The first model is
+    that of the SEED_TEXTS texts whose symbols have the smallest hash. A task sums its
     texts and sends one row of numbers a state; STATES + 1 tasks add these up,
     and STATES + 1 rows come to the driver. The likelihood a pass tells is that of
     the model it began with; a pass more is made until that gains too little.
     """
-    spark = texts.sparkSession
-    rows = symbol_lists([r.text for r in bounded_sample(drawn, ["id"], SEED_TEXTS).collect()], _bare(counts))
-    model = seeded(rows, counts)
-    told, ws = spark.sparkContext.broadcast(_bare(counts)), Workspace(spark, "hmm")
+    told = texts.sparkSession.sparkContext.broadcast(_bare(counts))
 
     def encode(batches):
         for batch in batches:
-            for a in range(0, len(batch), 2000):
-                lists = symbol_lists(batch.column(0).slice(a, 2000).to_pylist(), told.value)
-                yield pa.RecordBatch.from_arrays([pa.array([r.astype(np.uint16).tobytes() for r in lists], pa.binary())], names=["symbols"])
+            doc, codes, words = coded_words(batch.column(0))
+            flat, bounds = with_ends(symbols_of(words, told.value)[0][codes], doc, len(batch))
+            offsets = pa.py_buffer((2 * bounds).astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.BinaryArray.from_buffers(pa.binary(), len(batch), [None, offsets, pa.py_buffer(flat.tobytes())])], names=["symbols"])
 
     encoded = ws.save(texts.mapInArrow(frugal(encode), "symbols binary"), "symbols")
+    rows = [np.frombuffer(r.symbols, np.uint16) for r in bounded_sample(encoded, ["symbols"], SEED_TEXTS).collect()]
+    model = seeded(rows, counts)
     before = None
     while True:
         got = summed(encoded, model)
@@ -274,16 +353,19 @@ def train(texts: DataFrame, drawn: DataFrame, counts: Counts) -> Model:
 
 def summed(encoded: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float] | None:
     """Expected starts, moves and emissions of all texts under the model, and their log10 likelihood; None without a text."""
-    shared = encoded.sparkSession.sparkContext.broadcast(model)
+    shared = encoded.sparkSession.sparkContext.broadcast(model.single())
 
     def run(batches):
         m = shared.value
-        sums = [np.zeros_like(m.start), np.zeros_like(m.move), np.zeros_like(m.emit), 0.0]
+        start, move, emit, likelihood = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros(m.emit.shape), 0.0
         for batch in batches:
-            for a in range(0, len(batch), 2000):
-                rows = [np.frombuffer(v, np.uint16) for v in batch.column(0).slice(a, 2000).to_pylist()]
-                sums = [x + y for x, y in zip(sums, m.expected_and_likelihood(pieces(rows)))]
-        blobs = [sums[2][:, k].tobytes() for k in range(STATES)] + [np.concatenate([sums[0], sums[1].ravel(), [sums[3]]]).tobytes()]
+            rows = [np.frombuffer(v, np.uint16) for v in batch.column(0).to_pylist()]
+            got = m.expected_and_likelihood(rows)
+            start += got[0]
+            move += got[1]
+            emit += got[2]
+            likelihood += got[3]
+        blobs = [emit[:, k].tobytes() for k in range(STATES)] + [np.concatenate([start, move.ravel(), [likelihood]]).tobytes()]
         yield pa.RecordBatch.from_arrays([pa.array(range(STATES + 1), pa.int32()), pa.array(blobs, pa.binary())], names=["k", "v"])
 
     def add(batches):
@@ -303,7 +385,7 @@ def summed(encoded: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _bare(counts: Counts) -> Counts:
-    return Counts(counts.tokens, counts.distinct, counts.ends, counts.common, counts.symbols, counts.symbol_counts, counts.log_class)
+    return replace(counts, table=None)
 
 
 def score(docs: DataFrame, counts: Counts, model: Model, ws: Workspace, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -322,39 +404,31 @@ def score(docs: DataFrame, counts: Counts, model: Model, ws: Workspace, keep: li
 
         c, m = told.value, shared.value
         row, log_all = TaskContext.get().partitionId() << 40, float(np.log10(c.tokens + c.distinct + 1))
-        logs = {w: float(np.log10(n + 1)) for w, n in c.common.items()}
+        logs = np.append(np.log10(c.common_counts + 1.0), 0.0)  # the last is for words that aren't common
+        end = float(np.log10(c.ends + 1))
         for batch in batches:
-            for a in range(0, len(batch), 2000):
-                part = batch.slice(a, 2000)
-                texts = part.column(len(keep)).to_pylist()
-                chain = m.log_likelihoods(symbol_lists(texts, c))
-                out: list[tuple] = []
-                for text in texts:
-                    words = Counter(words_of(text))
-                    n = known = 0
-                    base = own = 0.0
-                    rare, times = [], []
-                    for w, k in words.items():
-                        n += k
-                        value = logs.get(w)
-                        if value is None:
-                            rare.append(w), times.append(k)
-                            own -= k * c.log_class[class_of(w)]
-                            continue
-                        known += k
-                        base += k * value
-                        if w not in c.symbols:
-                            own += k * (value - c.log_class[class_of(w)])
-                    known += c.ends > 0
-                    base += float(np.log10(c.ends + 1)) - (n + 1) * log_all
-                    out.append((row, n + 1, known, base, own, rare, times))
-                    row += 1
-                key, n_tokens, known_, base_, own_, rare_, times_ = zip(*out) if out else ((),) * 7
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(i) for i in range(len(keep))), pa.array(key, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(known_, pa.int64()),
-                     pa.array(base_, pa.float64()), pa.array(own_, pa.float64()), pa.array(chain, pa.float64()), pa.array(rare_, pa.list_(pa.binary())), pa.array(times_, pa.list_(pa.int32()))],
-                    names=[*keep, "row_key", "n_tokens", "known", "base", "own", "chain", "words", "times"],
-                )
+            n = len(batch)
+            doc, codes, words = coded_words(batch.column(len(keep)))
+            symbol, at, group = symbols_of(words, c)
+            flat, bounds = with_ends(symbol[codes], doc, n)
+            chain = m.log_likelihoods([flat[a:b] for a, b in zip(bounds, bounds[1:])])
+            value = logs[at]
+            within = np.where((at >= 0) & (at < c.n_symbols), 0.0, value - c.log_class[group])  # a word's share of its class
+            size = np.diff(bounds)
+
+            def total(of_word):
+                return np.bincount(doc, weights=of_word[codes], minlength=n)
+
+            rare = (at < 0)[codes]
+            pair, times = np.unique(doc[rare] * max(1, len(words)) + codes[rare], return_counts=True)
+            lists = pa.array(np.concatenate([[0], np.cumsum(np.bincount(pair // max(1, len(words)), minlength=n))]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i) for i in range(len(keep))), pa.array(row + np.arange(n)), pa.array(size),
+                 pa.array(total((at >= 0).astype(float)).astype(np.int64) + (c.ends > 0)), pa.array(total(value) + end - size * log_all), pa.array(total(within)), pa.array(chain),
+                 pa.ListArray.from_arrays(lists, words.take(pa.array(pair % max(1, len(words))))), pa.ListArray.from_arrays(lists, pa.array(times.astype(np.int32)))],
+                names=[*keep, "row_key", "n_tokens", "known", "base", "own", "chain", "words", "times"],
+            )
+            row += n
 
     scored = ws.save(docs.select(*keep, F.col(text_col).cast("string")).mapInArrow(frugal(run), f"{fields}, {added}"), "scored")
     rare = scored.select("row_key", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row_key", "w.words", "w.times")
