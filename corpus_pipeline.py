@@ -3,12 +3,17 @@ duplicates stays, sources are mixed to their weights, and what is left becomes t
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it works on all that the stage
 before kept. Every stage but the last returns the columns of ``documents``.
+
+Cases: null and empty texts are judged as what they are (quality and toxicity score them like any
+other; they are copies of nothing; mixing gives them no words, and so no place); rows that repeat an
+id are one document when copies go; rows without an id are kept or dropped by their text; an empty
+table passes through; further columns pass the first four stages whatever their names.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm import bpe, curriculum, minhash, ordinal, toxicity
@@ -28,17 +33,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group (five-word shingles, similarity 0.8).
-
-    Of rows that repeat a kept id one stays. Rows without an id can't be told
-    apart by one, and all stay but for repeats of a text.
-    """
-    groups = minhash.near_groups(docs, Workspace(spark, "near"), minhash.Plan(width=5, percent=80))
-    keep = groups.where("kept and id is not null").select(F.col("id").alias("doc_id")).distinct()
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    named = docs.join(keep, "doc_id", "left_semi").withColumn("_at", F.row_number().over(one)).where("_at = 1").drop("_at")
-    nameless = docs.where("doc_id is null").dropDuplicates(["text"])
-    return named.unionByName(nameless.select(*named.columns)).select(*docs.columns)
+    """Keeps the document with the smallest id of each group (five-word shingles, similarity 0.8); ``minhash.without_copies`` has the cases."""
+    return minhash.without_copies(docs, Workspace(spark, "near"), minhash.Plan(width=5, percent=80))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,11 +38,16 @@ def load(spark: SparkSession, paths: list[str]) -> tuple[documents.Corpus, DataF
     return documents.corpus(parsed), documents.errors(parsed)
 
 
+def json_lines(rows: DataFrame) -> DataFrame:
+    """(line): each row as one line of JSON, nulls left out."""
+    return rows.select(F.to_json(F.struct(*rows.columns)).alias("line"))
+
+
 def show(rows: DataFrame, as_json: bool) -> int:
     n = 0
-    for row in rows.toLocalIterator():
+    for row in (json_lines(rows) if as_json else rows).toLocalIterator():
         n += 1
-        print(json.dumps(row.asDict(), ensure_ascii=False) if as_json else "\t".join("" if v is None else str(v) for v in row))
+        print(row.line if as_json else "\t".join("" if v is None else str(v) for v in row))
     return n
 
 

@@ -6,30 +6,34 @@ neighbours. Every vector is indexed in its most probable part; a query goes to
 several of the most probable ones, as many as the sample needs for the recall
 asked for, and what lies there is ranked by exact cosine in double precision.
 
-Cases: vectors that are null, zero, hold null or non-finite components, or
-aren't of the commonest length take no part; ties go to the smaller id; of rows
-that repeat an id each is a candidate, except to a query of that id; with too
-few vectors for a sample there is one part and the search is exact; an empty
-input gives an empty table; other columns don't matter.
+Cases: vectors that are null, zero, or hold null or non-finite components take
+no part; vectors are compared with those of their length only; ties go to the
+smaller id; of rows that repeat an id each is a candidate, except to a query of
+that id, and each asks unless it is an equal row; rows without an id take no
+part; with too few vectors for a sample there is one part and the search is
+exact; an empty input gives an empty table; other columns don't matter.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.llm.common import Workspace, bounded_sample, frugal
 
 #: Vectors the partition is learned from, at most; neighbours in its graph; parts, at most.
-MAX_SAMPLE, GRAPH_DEGREE, MAX_PARTS = 8000, 10, 32
-#: Vectors of a part that one task compares with the part's queries.
+MAX_SAMPLE, GRAPH_DEGREE, MAX_PARTS = 16000, 10, 160
+#: Vectors, and queries, of a part that one run of rows compares.
 BLOCK_ROWS = 8192
-RECALL = 0.97
+#: Share of the sample's true neighbours that the parts visited must hold.
+RECALL = 0.95
 
 
 @dataclass
@@ -138,19 +142,19 @@ def fit(vectors: np.ndarray, recall: float = RECALL, k: int = 5) -> Router:
     parts = min(MAX_PARTS, n // 100)
     if parts < 2:
         return Router(np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1)
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    graph = neighbours(unit, min(GRAPH_DEGREE, n - 1))
-    label = balanced_parts(unit, graph, parts)
+    points = unit(vectors)
+    graph = neighbours(points, min(GRAPH_DEGREE, n - 1))
+    label = balanced_parts(points, graph, parts)
     target = np.zeros((n, parts))
     np.add.at(target, (np.repeat(np.arange(n), graph.shape[1]), label[graph].ravel()), 1.0)
     target[np.arange(n), label] += 1.0
     target /= target.sum(axis=1, keepdims=True)
     apart = np.arange(n) % 5 == 0
-    router = train(unit[~apart], target[~apart])
-    home = router.ranked(unit)[:, 0]
+    router = train(points[~apart], target[~apart])
+    home = router.ranked(points)[:, 0]
     asked = np.flatnonzero(apart)
-    rank = np.argsort(router.ranked(unit[asked]), axis=1)  # place of each part in the query's order
-    places = rank[np.arange(len(asked))[:, None], home[neighbours(unit, k)[asked]]]
+    rank = np.argsort(router.ranked(points[asked]), axis=1)  # place of each part in the query's order
+    places = rank[np.arange(len(asked))[:, None], home[neighbours(points, k)[asked]]]
     for m in range(1, parts + 1):
         router.probes = m
         if (places < m).mean() >= recall:
@@ -158,11 +162,11 @@ def fit(vectors: np.ndarray, recall: float = RECALL, k: int = 5) -> Router:
     return router
 
 
-def usable(vec: Column, length: int) -> Column:
-    """True for a vector of ``length`` finite components that isn't zero."""
+def usable(vec: Column) -> Column:
+    """True for a vector of finite components that isn't zero."""
     fine = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     some = F.exists(vec, lambda x: x != 0)
-    return F.coalesce((F.size(vec) == length) & fine & some, F.lit(False))
+    return F.coalesce(fine & some, F.lit(False))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -170,16 +174,28 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring the largest component near one: exact, and no square over- or underflows."""
+    if not v.size:
+        return v
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None])
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    v = scaled(v)
+    return v / np.sqrt((v * v).sum(axis=1))[:, None]
+
+
 def cosines(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Cosine of each pair of rows, in double precision; equal vectors give equal values."""
+    q, v = scaled(q), scaled(v)
     return (q * v).sum(axis=1) / (np.sqrt((q * q).sum(axis=1)) * np.sqrt((v * v).sum(axis=1)))
 
 
 def best_of(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> tuple[list, list, list]:
-    """Each query's k best among the vectors, by exact cosine, ties to the smaller id."""
+    """Each query's (its index) k best among the vectors, by exact cosine, ties to the smaller id."""
     out: tuple[list, list, list] = ([], [], [])
-    qn = q / np.sqrt((q * q).sum(axis=1))[:, None]
-    vn = v / np.sqrt((v * v).sum(axis=1))[:, None]
+    qn, vn = unit(q), unit(v)
     for a in range(0, len(q), 512):
         s = qn[a : a + 512] @ vn.T
         s[q_ids[a : a + 512, None] == ids[None, :]] = -np.inf
@@ -188,24 +204,62 @@ def best_of(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k:
             at = np.flatnonzero(s[i] >= (least - 1e-9 if np.isfinite(least) else -2.0))
             exact = cosines(q[a + i][None, :], v[at])
             order = np.lexsort((ids[at], -exact))[:k]
-            out[0].extend([q_ids[a + i]] * len(order)), out[1].extend(ids[at][order]), out[2].extend(exact[order])
+            out[0].extend([a + i] * len(order)), out[1].extend(ids[at][order]), out[2].extend(exact[order])
     return out
 
 
+def compare(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """From rows (part, block, group, kind, id, mark, vec) sorted by the first four: each query's k best of each run.
+
+    Queries (kind 0) come first and stay; vectors stream by.
+    """
+    place, q_ids, marks, q = None, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), None
+    for batch in batches:
+        part, block, group, kind, ids, mark = (batch.column(i).to_numpy() for i in range(6))
+        vecs = matrix(batch.column(6))
+        code = np.stack([part, block, group, kind], axis=1)
+        cuts = [0, *(np.flatnonzero((code[1:] != code[:-1]).any(axis=1)) + 1).tolist(), len(code)]
+        out: tuple[list, list, list, list] = ([], [], [], [])
+        for a, b in itertools.pairwise(cuts):
+            if a == b:
+                continue
+            if place != (now := (part[a], block[a], group[a])):
+                place, q_ids, marks, q = now, q_ids[:0], marks[:0], np.zeros((0, vecs.shape[1]))
+            if kind[a] == 0:
+                q_ids, marks, q = np.concatenate([q_ids, ids[a:b]]), np.concatenate([marks, mark[a:b]]), np.concatenate([q, vecs[a:b]])
+            elif len(q_ids):
+                at, *found = best_of(q_ids, q, ids[a:b], vecs[a:b], k)
+                for mine, more in zip(out, (q_ids[at], marks[at], *found)):
+                    mine.extend(more)
+        kinds = {"query_id": pa.int64(), "mark": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()}
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds.values())], names=list(kinds))
+
+
 def search(
     vectors: DataFrame, ws: Workspace, every: int = 50, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = RECALL
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by ``every``.
 
-    A part is compared in blocks of BLOCK_ROWS vectors, so that one part with a
-    third of all rows is the work of many tasks. In a task the queries come
-    first and stay; vectors stream by. Each task sends k rows a query.
+    Vectors of one length are searched together, those of each other length
+    (there is one, as a rule) by themselves.
     """
-    spark = ws.spark
     source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where("id is not null")
-    sizes = source.where("vec is not null").groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    length = sizes.n if sizes else 1
-    valid = source.where(usable(F.col("vec"), length))
+    valid = source.where(usable(F.col("vec")))
+    lengths = [r.n for r in valid.where(F.col("id") % every == 0).select(F.size("vec").alias("n")).distinct().orderBy("n").collect()]
+    found = [search_length(valid.where(F.size("vec") == n), ws, every, k, recall) for n in lengths]
+    empty = ws.spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.unionByName, found) if found else empty
+
+
+def search_length(valid: DataFrame, ws: Workspace, every: int, k: int, recall: float) -> DataFrame:
+    """``search`` among usable vectors (id, vec) of one length.
+
+    A part is compared in blocks of at most about BLOCK_ROWS vectors and as many
+    queries, so that one part with a third of all rows is the work of many
+    tasks. Of each run k rows a query leave a task, and the k best of a task.
+    A query that finds fewer than k in its parts is sent to all.
+    """
+    spark = ws.spark
     sample = bounded_sample(valid, ["id"], MAX_SAMPLE).select("vec").collect()
     router = fit(np.array([r.vec for r in sample], dtype=float), recall, k)
     shared = spark.sparkContext.broadcast(router)  # bounded by the layer sizes
@@ -214,40 +268,46 @@ def search(
         r = shared.value
         for batch in batches:
             v = matrix(batch.column(1))
-            ranked = r.ranked(v / np.sqrt((v * v).sum(axis=1))[:, None])[:, : r.probes] if len(v) else np.zeros((0, 1), dtype=int)
+            ranked = r.ranked(unit(v))[:, : r.probes] if len(v) else np.zeros((0, 1), dtype=int)
             parts = pa.array(ranked.astype(np.int32).tolist(), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), parts], names=["id", "vec", "parts"])
 
     routed = ws.save(valid.mapInArrow(frugal(route), "id long, vec array<double>, parts array<int>"), "routed")
-    counts = {r.part: r["count"] for r in routed.groupBy(F.element_at("parts", 1).alias("part")).count().collect()}  # a row a part
-    blocks = F.element_at(F.create_map(*[F.lit(int(x)) for p in range(router.parts) for x in (p, -(-counts.get(p, 1) // BLOCK_ROWS))]), F.col("part"))
-    held = routed.select("id", "vec", F.element_at("parts", 1).alias("part"), F.lit(1).alias("kind")).withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    asked = routed.where(F.col("id") % every == 0).select("id", "vec", F.explode("parts").alias("part"), F.lit(0).alias("kind"))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    mixed = held.unionByName(asked).select("part", "block", "kind", "id", "vec")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, q_ids, q = None, np.zeros(0, dtype=np.int64), None
-        for batch in batches:
-            part, block, kind, ids = (batch.column(i).to_numpy() for i in range(4))
-            vecs = matrix(batch.column(4))
-            code = np.stack([part, block, kind], axis=1)
-            cuts = [0, *(np.flatnonzero((code[1:] != code[:-1]).any(axis=1)) + 1).tolist(), len(code)]
-            out: tuple[list, list, list] = ([], [], [])
-            for a, b in zip(cuts, cuts[1:]):
-                if a == b:
-                    continue
-                if place != (part[a], block[a]):
-                    place, q_ids, q = (part[a], block[a]), np.zeros(0, dtype=np.int64), np.zeros((0, vecs.shape[1]))
-                if kind[a] == 0:
-                    q_ids, q = np.concatenate([q_ids, ids[a:b]]), np.concatenate([q, vecs[a:b]])
-                elif len(q_ids):
-                    for mine, more in zip(out, best_of(q_ids, q, ids[a:b], vecs[a:b], k)):
-                        mine.extend(more)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"]
-            )
-
-    near = mixed.repartition("part", "block").sortWithinPartitions("part", "block", "kind").mapInArrow(frugal(compare), "query_id long, vec_id long, score double")
-    best = near.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id", "score"))), 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "b.vec_id", "b.score")
+    # rows that repeat an id with another vector ask for themselves; equal rows ask once
+    asked = routed.where(F.col("id") % every == 0).withColumn("mark", F.xxhash64("vec")).dropDuplicates(["id", "mark"])
+    asked = ws.save(asked, "asked")
+    homes = {r.part: r["count"] for r in routed.groupBy(F.element_at("parts", 1).alias("part")).count().collect()}  # a row a part
+
+    def nearest(queries: DataFrame) -> DataFrame:
+        """The k best of (id, mark, vec, parts) in the parts named."""
+        asks = {r.part: r["count"] for r in queries.select(F.explode("parts").alias("part")).groupBy("part").count().collect()}
+
+        def pieces(counts: dict[int, int]) -> Column:
+            return F.element_at(F.create_map(*[F.lit(int(x)) for p in range(router.parts) for x in (p, -(-counts.get(p, 1) // BLOCK_ROWS))]), F.col("part"))
+
+        def each(n: Column) -> Column:
+            return F.explode(F.sequence(F.lit(0), n - 1))
+
+        def drawn(n: Column) -> Column:
+            return F.pmod(F.xxhash64("id", "vec"), n).cast("int")
+
+        no_mark = F.lit(0).cast("long").alias("mark")
+        held = routed.select("id", "vec", F.element_at("parts", 1).alias("part"), F.lit(1).alias("kind"), no_mark)
+        held = held.withColumn("block", drawn(pieces(homes))).withColumn("group", each(pieces(asks)))
+        sent = queries.select("id", "vec", "mark", F.explode("parts").alias("part"), F.lit(0).alias("kind"))
+        sent = sent.withColumn("group", drawn(pieces(asks))).withColumn("block", each(pieces(homes)))
+        keys = ["part", "block", "group"]
+        mixed = held.unionByName(sent).select(*keys, "kind", "id", "mark", "vec").repartition(*keys).sortWithinPartitions(*keys, "kind")
+        near = mixed.mapInArrow(frugal(lambda rows: compare(rows, k)), "query_id long, mark long, vec_id long, score double")
+        # the k best of each task go on, and of these the k best
+        first = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
+        return near.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
+
+    found = ws.save(nearest(asked), "found")
+    counts = found.groupBy(F.col("query_id").alias("id"), "mark").agg(F.count("*").alias("n"))
+    short = asked.join(counts, ["id", "mark"], "left").where(F.coalesce("n", F.lit(0)) < k)
+    short = ws.save(short.withColumn("parts", F.sequence(F.lit(0), F.lit(router.parts - 1))).select("id", "mark", "vec", "parts"), "short")
+    if router.probes < router.parts and short.limit(1).count():
+        kept = found.join(short.select(F.col("id").alias("query_id"), "mark"), ["query_id", "mark"], "left_anti")
+        found = kept.unionByName(ws.save(nearest(short), "more"))
+    return found.select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -26,9 +26,9 @@ from pyspark.sql import types as T
 from folioflow.llm.common import frugal, small_batches
 
 #: Texts handled at a time within an Arrow batch, in bytes (a longer text is a batch of its own).
-CHUNK_CHARS = 1_500_000
+CHUNK_CHARS = 4_000_000
 #: Units whose ids one worker remembers, at some 40 bytes each. Only speed depends on it.
-MEMO_UNITS = 300_000
+MEMO_UNITS = 500_000
 
 
 def byte_alphabet() -> list[str]:
@@ -146,7 +146,7 @@ class Encoder:
 
         wanted = np.zeros(len(units), dtype=bool)
         wanted[codes[later]] = True
-        at = pc.fill_null(pc.index_in(units, value_set=self.known), -1).to_numpy().astype(np.int64)
+        at = pc.fill_null(pc.index_in(units, value_set=self.known), -1).to_numpy().copy()
         fresh = wanted & (at < 0)
         new = units.filter(pa.array(fresh))
         ids, ends = self.ids, self.ends
@@ -164,15 +164,16 @@ class Encoder:
             said[i] = texts[i].as_py()
         own, own_ends = self._whole(said)
 
-        place = at[codes]
-        place[~later] = 0
-        begin, count = ends[place], ends[place + 1] - ends[place] if len(ends) > 1 else np.zeros(len(place), dtype=np.int64)
-        count[~later] = 0
+        sizes = np.append(np.diff(ends), 0)  # the last is for units that say nothing
+        place = np.where(later, at[codes], len(sizes) - 1).astype(np.int32)
+        begin, count = ends.astype(np.int32)[place], sizes.astype(np.int32)[place]
         begin[heads], count[heads] = len(ids) + own_ends[:-1], np.diff(own_ends)
-        upto = np.cumsum(count)
-        total = int(upto[-1]) if n else 0
-        flat = np.concatenate([ids, own])[np.repeat(begin - (upto - count), count) + np.arange(total)]
-        return flat, np.concatenate([[0], upto[bounds[1:] - 1]]) if n else np.zeros(1, dtype=np.int64)
+        upto = np.cumsum(count, dtype=np.int64)
+        if not n:
+            return np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
+        index = np.arange(upto[-1], dtype=np.int32)
+        index += np.repeat(begin - (upto - count).astype(np.int32), count)
+        return np.concatenate([ids, own])[index], np.concatenate([[0], upto[bounds[1:] - 1]])
 
     def decode(self, flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
         return decoded_of(self.spelled, flat, bounds)

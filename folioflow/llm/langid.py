@@ -7,7 +7,8 @@ of the sample kept apart turns scores into probabilities.
 
 Cases: texts that are null or have no letter get ``und`` with score 0; with one
 language learned it is always the answer, with score 1; with none it is ``und``;
-ties go to the language that sorts first; other columns pass through.
+ties go to the language that sorts first; rows that repeat count each; more than
+MAX_LANGUAGES languages are an error; other columns pass through.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from folioflow.llm.features import has_letter, letters, ngram_counts
 ORDERS, BINS = (1, 2, 3), 1 << 15
 #: Bounds on the sample that weights are learned from.
 MAX_PER_LANGUAGE, MAX_SAMPLE = 800, 16000
+#: Languages that a model may have (its weights are BINS numbers a language); more are refused.
+MAX_LANGUAGES = 2000
 UNKNOWN = "und"
 
 
@@ -128,7 +131,9 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
 def learn(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learns from all rows whose language isn't null; the caller leaves out what is held out."""
     told = docs.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.col(lang_col)).alias("h"))
-    counts = {r.lang: r["count"] for r in told.groupBy("lang").count().orderBy("lang").limit(10_000).collect()}
+    counts = {r.lang: r["count"] for r in told.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages: is {lang_col} a language code?")
     n, df = document_frequencies(told.select("text"))
     idf = np.log((1 + n) / (1 + df)) + 1
     languages = sorted(counts)

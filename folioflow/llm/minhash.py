@@ -27,6 +27,7 @@ input gives an empty table.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -257,7 +258,7 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
 
 
 class Forest:
-    """Union-find over what is named."""
+    """Union-find over numbers; the smallest of a tree is its root."""
 
     def __init__(self):
         self.up: dict[int, int] = {}
@@ -270,7 +271,7 @@ class Forest:
     def join(self, x: int, y: int) -> bool:
         """False if they were one already."""
         x, y = self.find(x), self.find(y)
-        self.up[x] = y
+        self.up[max(x, y)] = min(x, y)
         return x != y
 
 
@@ -314,30 +315,45 @@ def in_blocks(rows: DataFrame, group: str, block_rows: int, block_bytes: int | N
     return mains.unionByName(against).unionByName(among).select(*key, "side", *[c for c in kept if c != group]).repartition(*key).sortWithinPartitions(*key)
 
 
-def runs_of_equal_keys(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[tuple]]:
-    """Rows (without the first ``width`` values) of each run of equal first values."""
-    key, members = None, []
+def runs_of_equal_keys(batches: Iterator[pa.RecordBatch], width: int = 4) -> Iterator[list]:
+    """Each run of rows (side, node, comp, sig[, text]) behind equal first ``width`` values: arrays, signatures as rows of words, texts as a list."""
+    key, held = None, []
+
+    def whole():
+        parts = list(zip(*held))
+        return [*map(np.concatenate, parts[:4]), *([t for p in column for t in p.to_pylist()] for column in parts[4:])]
+
     for batch in batches:
-        columns = [each_text(batch.column(i)) for i in range(batch.num_columns)]
-        for row in zip(*columns):
-            if row[:width] != key:
-                if members:
-                    yield members
-                key, members = row[:width], []
-            members.append(row[width:])
-    if members:
-        yield members
+        if not len(batch):
+            continue
+        keys = np.stack([batch.column(i).to_numpy() for i in range(width)], axis=1)
+        side, node, comp = (batch.column(width + i).to_numpy() for i in range(3))
+        words = batch.column(width + 3).flatten().to_numpy().reshape(len(batch), -1).view(np.uint64)
+        texts = [batch.column(i) for i in range(width + 4, batch.num_columns)]
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for a, b in itertools.pairwise(cuts):
+            if (now := tuple(keys[a].tolist())) != key:
+                if held:
+                    yield whole()
+                key, held = now, []
+            held.append([side[a:b], node[a:b], comp[a:b], words[a:b], *(t.slice(a, b - a) for t in texts)])
+    if held:
+        yield whole()
 
 
 def near_pairs(sides: np.ndarray, comps: np.ndarray, words: np.ndarray, plan: Plan) -> list[tuple[int, int, int]]:
     """(lanes apart, i, j) of the pairs of different components, and of different sides if there are such, that may be linked."""
-    across, out = len(set(sides.tolist())) > 1, []
+    if (comps == comps[0]).all():
+        return []
+    across, out = (sides != sides[0]).any(), []
     for i in range(len(comps) - 1):
-        apart = differing(words[i], words[i + 1 :])
-        ok = (apart <= plan.most_differ) & (comps[i + 1 :] != comps[i])
+        ok = comps[i + 1 :] != comps[i]
         if across:
             ok &= sides[i + 1 :] != sides[i]
-        at = np.flatnonzero(ok)
+        if not ok.any():
+            continue
+        apart = differing(words[i], words[i + 1 :])
+        at = np.flatnonzero(ok & (apart <= plan.most_differ))
         out += zip(apart[at].tolist(), [i] * len(at), (at + i + 1).tolist())
     return out
 
@@ -347,32 +363,31 @@ def as_edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def suspects(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
-    """From blocks of (side, node, comp, sig): edges of a spanning forest of the pairs that may be linked, under a block's rows in number."""
-    for members in runs_of_equal_keys(batches, 4):
-        sides, nodes, comps, sigs = zip(*members)
+    """From blocks of (side, node, comp, sig): each node that may be linked to another component's, with the smallest
+    node that such pairs lead to. Fewer edges than a block has rows, and mostly the same ones from the buckets of one group."""
+    for sides, nodes, comps, words in runs_of_equal_keys(batches):
         forest = Forest()
-        words = np.array(sigs, dtype=np.int64).view(np.uint64)
-        found = [(nodes[i], nodes[j]) for _, i, j in near_pairs(np.array(sides), np.array(comps), words, plan) if forest.join(nodes[i], nodes[j])]
-        if found:
-            yield as_edges(found)
+        for _, i, j in near_pairs(sides, comps, words, plan):
+            forest.join(int(nodes[i]), int(nodes[j]))
+        found = [(x, forest.find(x)) for x in forest.up]
+        if any(x != y for x, y in found):
+            yield as_edges([(x, y) for x, y in found if x != y])
 
 
 def links_in_blocks(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
     """From blocks of (side, node, comp, sig, text): linked pairs of components, nearest signatures first, none twice connected."""
-    for members in runs_of_equal_keys(batches, 4):
-        sides, _, comps, sigs, texts = zip(*members)
-        words = np.array(sigs, dtype=np.int64).view(np.uint64)
-        forest, out = Forest(), []
+    for sides, _, comps, words, texts in runs_of_equal_keys(batches):
+        forest, out, named = Forest(), [], comps.tolist()
         sets: dict[int, np.ndarray] = {}
-        for _, i, j in sorted(near_pairs(np.array(sides), np.array(comps), words, plan)):
-            if forest.find(comps[i]) == forest.find(comps[j]):
+        for _, i, j in sorted(near_pairs(sides, comps, words, plan)):
+            if forest.find(named[i]) == forest.find(named[j]):
                 continue
             for k in (i, j):
                 if k not in sets:
                     sets[k] = shingles(texts[k], plan.width)
             if linked(sets[i], sets[j], plan.percent):
-                forest.join(comps[i], comps[j])
-                out.append((comps[i], comps[j]))
+                forest.join(named[i], named[j])
+                out.append((named[i], named[j]))
         if out:
             yield as_edges(out)
 

@@ -5,8 +5,8 @@ ordered thresholds cut its score: P(grade > g_k) = sigmoid(w.x - t_k). The
 expected grade ranks documents, and a tail probability selects them.
 
 Cases: a null or empty text has the features of an empty one; rows without a
-rating aren't learned from, and of several ratings of a document the lowest
-counts; with fewer than two grades every document gets the only grade (0 if
+rating aren't learned from, and of several ratings or texts of a document the
+lowest and that which sorts first count; with fewer than two grades every document gets the only grade (0 if
 there is none) and is kept; other columns pass through.
 """
 
@@ -134,8 +134,10 @@ def learn(docs: DataFrame, ratings: DataFrame, ws: Workspace, id_col: str = "doc
                 names=["at", "value", "grade", "h"],
             )
 
-    rows = source.join(F.broadcast(ids), "id").select("text", "grade", "h").mapInArrow(frugal(run), "at array<int>, value array<float>, grade double, h long")
-    rows = sorted(rows.toLocalIterator(), key=lambda r: (r.h, r.grade, len(r.at), sum(r.value)))[:MAX_RATED]
+    # of rows that repeat an id the text that sorts first, so that there are no more rows than ids
+    rated = source.join(F.broadcast(ids), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("grade").alias("grade"), F.first("h").alias("h"))
+    rows = rated.select("text", "grade", "h").mapInArrow(frugal(run), "at array<int>, value array<float>, grade double, h long")
+    rows = sorted(rows.toLocalIterator(), key=lambda r: (r.h, r.grade))
     grades = sorted({r.grade for r in rows})
     if len(grades) < 2:
         return Model(grades or [0.0], np.zeros(BINS), np.zeros(0))

@@ -62,9 +62,9 @@ def op7_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Likelihood of ``documents``, from the texts whose crc32 modulo 7 is not 2."""
     ws = Workspace(spark, "op7")
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out("doc_id", 7, 2))
-    texts = docs.where("not held_out").select("doc_id", "text")
-    counts = hmm.count_words(texts.select("text"), ws)
-    model = hmm.train(texts.select("text"), texts.withColumnRenamed("doc_id", "id"), counts)
+    texts = docs.where("not held_out").select("text")
+    counts = hmm.count_words(texts, ws)
+    model = hmm.train(texts, counts, ws)
     return hmm.score(docs, counts, model, ws, ["doc_id", "held_out"])
 
 

@@ -13,16 +13,17 @@ is a folder of three Parquet tables:
 ``manifest``  one row a segment of the recipes: first row, rows, ids, and the
               Merkle root of the recipes' roots.
 
-Cases: a null or empty text has the end id alone; repeated rows get a recipe
-each; a null doc_id sorts first; other columns of the input are not stored; an
+Cases: a null or empty text has the end id alone; strings of special tokens
+are taken as the tokenizer file has them; repeated rows get a recipe each; a null doc_id sorts first; other columns of the input are not stored; an
 empty input gives empty tables.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +32,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioflow.llm import bpe
-from folioflow.llm.common import Workspace, shuffle_parts
+from folioflow.llm.common import Workspace, frugal, shuffle_parts
 
 #: A chunk ends where the hash of the last WINDOW ids has MASK's bits clear, or at MAX_IDS.
 WINDOW, MASK, MIN_IDS, MAX_IDS = 8, 0x1FF, 64, 4096
 DIGEST_BYTES = 16
+#: Digests that a task remembers having sent; beyond, copies are dropped where they arrive.
+SENT = 500_000
 
 
 def digest(payload: bytes) -> bytes:
@@ -61,30 +64,38 @@ def rolling_cuts(ids: np.ndarray) -> np.ndarray:
         return np.zeros(0, dtype=np.int64)
     x = (ids.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
     x ^= x >> np.uint32(15)
-    h = np.zeros(len(ids) - WINDOW + 1, dtype=np.uint32)
-    for k in range(WINDOW):
-        h = h * np.uint32(0x01000193) + x[k : k + len(h)]
+    h, span, power = x, 1, 0x01000193  # hashes of 1, 2, 4, ... ids; WINDOW is a power of two
+    while span < WINDOW:
+        h = h[:-span] * np.uint32(power) + h[span:]
+        span, power = 2 * span, power * power % (1 << 32)
     h ^= h >> np.uint32(16)
     h *= np.uint32(0x85EBCA6B)
     h ^= h >> np.uint32(13)
     return np.flatnonzero((h & np.uint32(MASK)) == 0) + WINDOW
 
 
-def chunk_bounds(cuts: list[int], begin: int, end: int) -> Iterator[tuple[int, int]]:
-    """Chunks of one document's ids, from the allowed cuts within it."""
-    at = begin
-    for cut in cuts:
-        while cut - at > MAX_IDS:
-            yield at, at + MAX_IDS
-            at += MAX_IDS
-        if cut - at >= MIN_IDS:
-            yield at, cut
-            at = cut
-    while end - at > MAX_IDS:
-        yield at, at + MAX_IDS
-        at += MAX_IDS
-    if at < end:
-        yield at, end
+def chunk_ends(cuts: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of all documents' chunks, and how many each document has.
+
+    ``bounds``: where each document's ids begin, and the end of the last. Only
+    cuts whose whole window lies within a document count; none makes a chunk
+    shorter than MIN_IDS, and a chunk without a cut ends at MAX_IDS.
+    """
+    ends, counts = [], []
+    first = np.searchsorted(cuts, bounds[:-1] + WINDOW).tolist()
+    last = np.searchsorted(cuts, bounds[1:], side="right").tolist()
+    cuts, bounds = cuts.tolist(), bounds.tolist()
+    for at, end, a, b in zip(bounds, bounds[1:], first, last):
+        before = len(ends)
+        for stop in [*cuts[a:b], end]:
+            while stop - at > MAX_IDS:
+                at += MAX_IDS
+                ends.append(at)
+            if stop - at >= MIN_IDS or stop == end > at:
+                at = stop
+                ends.append(at)
+        counts.append(len(ends) - before)
+    return np.array(ends, dtype=np.int64), np.array(counts, dtype=np.int64)
 
 
 _ZEROS = memoryview(bytes(4 * MAX_IDS))
@@ -109,60 +120,57 @@ def write_store(
     """Encodes ``docs`` with the tokenizer file ``path`` and writes a store; returns the tables' paths.
 
     Texts are read and encoded once, where they lie. Only chunks move, to the
-    task that keeps their digest; each task sends a digest once, so a passage
-    that a third of all documents share arrives a few times only.
+    task that sorts their digest and keeps the first of equal neighbours; each
+    task sends a digest once, so a passage that a third of all documents share
+    arrives a few times only. Recipes are dealt evenly with them.
     """
     spark = ws.spark
-    parts = shuffle_parts(spark)
-
     def cut(batches):
-        enc = bpe.encoder(path, memo_units=600_000)
+        enc = bpe.encoder(path)
         width = 2 if len(enc.table) <= 1 << 16 and end_id < 1 << 16 else 4
         sent: set[bytes] = set()
         for batch in batches:
-            texts, keys = batch.column(1), batch.column(0).to_pylist()
-            for a, b in bpe.text_slices(texts):
-                flat, bounds = enc.encode(texts.slice(a, b - a))
-                n = b - a
-                all_ids = np.insert(flat, bounds[1:], end_id).astype(f"<u{width}")
-                bounds = bounds + np.arange(n + 1)
-                cuts = rolling_cuts(all_ids)
-                near = np.searchsorted(cuts, bounds)
-                cuts = cuts.tolist()
-                raw = all_ids.tobytes()
-                rows: list[tuple] = []
-                for i in range(n):
-                    begin, end = int(bounds[i]), int(bounds[i + 1])
-                    mine = []
-                    for x, y in chunk_bounds([c for c in cuts[near[i] : near[i + 1]] if c - WINDOW >= begin], begin, end):
-                        payload = raw[x * width : y * width]
-                        name = digest(payload)
-                        mine.append(name)
-                        if name not in sent:
-                            if len(sent) < 2_000_000:
-                                sent.add(name)
-                            rows.append((None, None, None, name, y - x, width, payload))
-                    rows.append((keys[a + i], end - begin, mine, None, None, None, None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
-
-    names = ["doc_id", "n_tokens", "digests", "digest", "n_ids", "width", "payload"]
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
-    schema = "doc_id long, n_tokens long, digests array<binary>, digest binary, n_ids int, width int, payload binary"
+            for a, b in bpe.text_slices(batch.column(1)):
+                flat, bounds = enc.encode(batch.column(1).slice(a, b - a))
+                ids = np.insert(flat, bounds[1:], end_id).astype(f"<u{width}")
+                bounds = bounds + np.arange(b - a + 1)
+                ends, counts = chunk_ends(rolling_cuts(ids), bounds)
+                # the chunks tile the ids, so their payloads are one buffer with the chunks' ends as offsets
+                starts, raw = np.concatenate([[0], ends]), memoryview(ids.tobytes())
+                names = [digest(raw[width * x : width * y]) for x, y in itertools.pairwise(starts.tolist())]
+                offsets = pa.py_buffer((starts * width).astype(np.int32).tobytes())
+                payload = pa.BinaryArray.from_buffers(pa.binary(), len(names), [None, offsets, pa.py_buffer(raw)])
+                new = []
+                for name in names:
+                    new.append(name not in sent)
+                    if new[-1] and len(sent) < SENT:
+                        sent.add(name)
+                digests, mine = pa.array(names, pa.binary()), pa.array(new, pa.bool_())
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), digests)
+                yield rows_of(b - a, doc_id=batch.column(0).slice(a, b - a), n_tokens=pa.array(np.diff(bounds)), digests=lists)
+                yield rows_of(
+                    sum(new), digest=digests.filter(mine), n_ids=pa.array(np.diff(starts).astype(np.int32)).filter(mine),
+                    width=pa.repeat(pa.scalar(width, pa.int32()), sum(new)), payload=payload.filter(mine),
+                )
+
+    kinds = {
+        "doc_id": pa.int64(), "n_tokens": pa.int64(), "digests": pa.list_(pa.binary()),
+        "digest": pa.binary(), "n_ids": pa.int32(), "width": pa.int32(), "payload": pa.binary(),
+    }
+
+    def rows_of(n: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, t) for c, t in kinds.items()], names=list(kinds))
 
-    def once(batches):
-        kept: set[bytes] = set()
-        for batch in batches:
-            take = []
-            for name in batch.column(3).to_pylist():
-                take.append(name is None or name not in kept)
-                if name is not None:
-                    kept.add(name)
-            yield batch.filter(pa.array(take, pa.bool_()))
+    schema = "doc_id long, n_tokens long, digests array<binary>, digest binary, n_ids int, width int, payload binary"
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    key = F.when(F.col("digest").isNotNull(), F.xxhash64("digest")).otherwise(F.xxhash64(F.lit(1), "doc_id"))
-    cut_rows = source.mapInArrow(cut, schema).withColumn("key", key)
-    unique = cut_rows.repartition(parts, "key").drop("key").mapInArrow(once, schema)
+    # a recipe's key is its place in the scan, the same each time that a task runs
+    key = F.coalesce("digest", F.monotonically_increasing_id().cast("string").cast("binary"))
+    unique = (
+        source.mapInArrow(frugal(cut), schema).withColumn("key", key)
+        .withColumn("copy", F.row_number().over(Window.partitionBy("key").orderBy("key")))  # copies are neighbours in sorted order
+        .where("digest is null or copy = 1").drop("key", "copy")
+    )
     loose = ws.path("loose")
     (
         unique.withColumn("kind", F.when(F.col("digest").isNull(), "recipe").otherwise("chunk"))
@@ -175,7 +183,7 @@ def write_store(
     chunks = both.where("kind = 'chunk'").select("digest", "n_ids", "width", "payload")
     recipes = both.where("kind = 'recipe'").select("doc_id", "n_tokens", "digests")
 
-    segments = max(1, parts)
+    segments = max(1, shuffle_parts(spark))
     ordered = ws.save(
         recipes.repartitionByRange(segments, F.col("doc_id").asc_nulls_first(), F.xxhash64("digests"))
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "digests")
@@ -253,7 +261,7 @@ def read_checks(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
                 names=["digest", "n_ids", "crc", "right"],
             )
 
-    facts = chunks.mapInArrow(reduce, "digest binary, n_ids int, crc long, right boolean")
+    facts = chunks.mapInArrow(frugal(reduce), "digest binary, n_ids int, crc long, right boolean")
     uses = recipes.select("row", F.posexplode("digests").alias("seq", "digest"))
     told = uses.join(facts, "digest", "left").groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct("seq", "digest", "n_ids", "crc", "right"))).alias("parts")
@@ -277,7 +285,7 @@ def read_checks(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
             )
 
     joined = recipes.join(told, "row").select("row", "doc_id", "start", "segment", "parts", "root")
-    out = joined.mapInArrow(fold, "row long, doc_id long, start long, segment int, n_tokens long, ids_crc32 long, verified boolean")
+    out = joined.mapInArrow(frugal(fold), "row long, doc_id long, start long, segment int, n_tokens long, ids_crc32 long, verified boolean")
     again = manifest_of(recipes).select("segment", F.col("root").alias("root_now"))
     sound = manifest.join(again, "segment", "left").select("segment", F.coalesce(F.col("root") == F.col("root_now"), F.lit(False)).alias("sound"))
     return out.join(sound, "segment", "left").select(

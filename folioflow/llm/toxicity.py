@@ -8,7 +8,8 @@ the hits' weights over the text's length, calibrated on labels, is the score.
 
 Cases: a null, empty or wordless text has no hit and gets the score of such
 texts; repeated rows score alike; labels that are null are not learned from,
-and a document with several labels is toxic if one says so; without any label
+and a document with several labels is toxic if one says so; of several texts of
+a labelled id that which sorts first is learned from; without any label
 the lexicon is empty and the score is one half; other columns pass through.
 """
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 import math
 import unicodedata
 from collections import Counter
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,13 +36,11 @@ LOOK_ALIKES = {
     "m": "м", "n": "ոη", "o": "оοσ0", "p": "рρ", "q": "ԛ", "s": "ѕ$5", "t": "тτ7", "u": "υ", "v": "ѵν",
     "w": "ԝω", "x": "хχ", "y": "уγү",
 }
-#: Bounds on what the lexicon is learned from (labelled rows of each class) and on its size.
-MAX_TOXIC, MAX_CLEAN, MAX_CANDIDATES, MAX_ENTRIES = 4000, 12000, 20000, 4000
+#: Bounds on what the lexicon is learned from: labelled rows of each class.
+MAX_TOXIC, MAX_CLEAN = 4000, 12000
 STEM_LENGTHS = (4, 5, 6, 7)
 #: A text of so many words more is added to each length, so that one hit in a very short text isn't everything.
 LENGTH_OFFSET = 20
-#: Phrases in which words of the lexicon are harmless.
-EXCEPTIONS = ("clown fish", "trash can", "trash bin", "trash bag")
 
 
 class Folding(dict):
@@ -149,18 +149,22 @@ def count_terms(sample: DataFrame, wanted: frozenset | None) -> DataFrame:
     return sample.select("text").mapInArrow(frugal(run), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def learn(docs: DataFrame, labels: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Lexicon:
+def learn(
+    docs: DataFrame, labels: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", exceptions: Sequence[str] = ()
+) -> Lexicon:
     """Learns entries, exceptions and calibration from at most MAX_TOXIC and MAX_CLEAN labelled texts.
 
     The labelled rows are the first by a hash of their id, so the sample is the
     same on every run; its ids, few by that bound, are broadcast to the scan.
-    Equal texts of one label count once.
+    Equal texts of one label count once. ``exceptions`` are phrases in which
+    words of the lexicon are harmless, beside those that are learned.
     """
     told = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
     told = ws.save(told.select(F.col(id_col).alias("id"), "y"), "labels")
     ids = bounded_sample(told.where("y = 1"), ["id"], MAX_TOXIC).union(bounded_sample(told.where("y = 0"), ["id"], MAX_CLEAN))
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    sample = ws.save(source.join(F.broadcast(ids.select("id", "y")), "id"), "sample")
+    # of rows that repeat an id the text that sorts first, so that there are no more rows than ids
+    sample = source.join(F.broadcast(ids.select("id", "y")), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
     sample = ws.save(sample.select("text", "y").distinct(), "sample")
     toxic, clean = sample.where("y = 1"), sample.where("y = 0")
     n_toxic, n_clean = toxic.count(), clean.count()
@@ -168,11 +172,11 @@ def learn(docs: DataFrame, labels: DataFrame, ws: Workspace, id_col: str = "doc_
         return Lexicon(offset=0.0)
 
     least = max(3, math.ceil(0.004 * n_toxic))
-    found = count_terms(toxic, None).where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES)
+    found = count_terms(toxic, None).where(F.col("n") >= least)
     in_toxic = {r.term: r.n for r in found.collect()}
     in_clean = {r.term: r.n for r in count_terms(clean, frozenset(in_toxic)).collect()}
     lexicon = Lexicon(weights=choose(in_toxic, in_clean, n_toxic, n_clean))
-    lexicon.exceptions = [fold(p) for p in EXCEPTIONS] + learn_exceptions(sample, lexicon)
+    lexicon.exceptions = [fold(p) for p in exceptions] + learn_exceptions(sample, lexicon)
     calibrate(lexicon, sample)
     return lexicon
 
@@ -188,8 +192,7 @@ def choose(in_toxic: dict[str, int], in_clean: dict[str, int], n_toxic: int, n_c
         shorter = [t[: n + 1] for n in STEM_LENGTHS if n + 1 < len(t)]
         if not any(out.get(s, 0.0) >= strong[t] - 0.7 for s in shorter):
             out[t] = strong[t]
-    top = sorted(out, key=lambda t: (-out[t] * in_toxic[t], t))[:MAX_ENTRIES]
-    return {t: out[t] for t in sorted(top)}
+    return {t: out[t] for t in sorted(out)}
 
 
 def learn_exceptions(sample: DataFrame, lexicon: Lexicon) -> list[str]:
@@ -215,8 +218,7 @@ def learn_exceptions(sample: DataFrame, lexicon: Lexicon) -> list[str]:
 
     seen = sample.mapInArrow(frugal(run), "phrase string, y int, n long")
     told = seen.groupBy("phrase").agg(F.sum(F.col("n") * (1 - F.col("y"))).alias("clean"), F.sum(F.col("n") * F.col("y")).alias("toxic"))
-    rows = told.where("clean >= 2 and clean > toxic").orderBy(F.desc("clean"), "phrase").limit(MAX_ENTRIES).collect()
-    return sorted(r.phrase for r in rows)
+    return sorted(r.phrase for r in told.where("clean >= 2 and clean > toxic").collect())
 
 
 def calibrate(lexicon: Lexicon, sample: DataFrame) -> None:

@@ -7,6 +7,8 @@ below it. Passes run in a fixed order; in each, equal keys pair in reading order
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,35 +32,37 @@ def subtree_digests(nodes: DataFrame) -> DataFrame:
     From the deepest level up, one aggregation a level: a node's children are
     known when its turn comes. ``slots`` counts a node's slots, so that empty
     ones are seen; ``slot_index`` (null: the only slot) says where a child is.
+    Levels that more than one other reads are written.
     """
-    deepest = nodes.agg(F.max("depth")).first()[0]
     key = ["doc_key", "scope", "ord"]
-    done = None
-    for depth in range(deepest if deepest is not None else -1, -1, -1):
-        level = nodes.where(F.col("depth") == depth).select(*key, "slots")
-        if done is None:
-            below = level.select(*key, F.lit(None).cast("array<struct<s:int,o:array<int>,h:string,d:string>>").alias("kids"))
-        else:
-            below = done.where(F.col("depth") == depth + 1).groupBy("doc_key", "scope", F.col("parent_ord").alias("ord")).agg(
-                F.array_sort(F.collect_list(F.struct(F.coalesce("slot_index", F.lit(0)).alias("s"), F.col("ord").alias("o"), F.col("node_hash").alias("h"), F.col("subtree").alias("d")))).alias("kids")
-            )
-        said = level.join(below, key, "left") if done is not None else level.join(below, key)
-        empty = F.array().cast("array<struct<s:int,o:array<int>,h:string,d:string>>")
-        slot = lambda s: F.concat(
-            F.array(F.lit("[")), F.flatten(F.transform(F.filter(F.coalesce("kids", empty), lambda k: k["s"] == s), lambda k: F.array(k["h"], k["d"]))), F.array(F.lit("]"))
-        )
-        parts = F.flatten(F.transform(F.sequence(F.lit(0), F.col("slots") - 1), slot))
-        digest = F.when(F.col("slots") == 0, F.lit("")).otherwise(F.sha2(F.array_join(parts, "|").cast("binary"), 256))
-        level = said.select(*key, digest.alias("subtree")).join(nodes.select(*key, "depth", "parent_ord", "slot_index", "node_hash"), key)
-        level = cut(level)
-        done = level if done is None else done.unionByName(level)
-    if done is None:
+    deepest = nodes.agg(F.max("depth")).first()[0]
+    if deepest is None:
         return nodes.select(*key, F.lit("").alias("subtree"))
-    return done.select(*key, "subtree")
+    kid = "struct<s:int,o:array<int>,h:string,d:string>"
+    empty = F.array().cast(f"array<{kid}>")
+    slot = lambda s: F.concat(
+        F.array(F.lit("[")), F.flatten(F.transform(F.filter(F.coalesce("kids", empty), lambda k: k["s"] == s), lambda k: F.array(k["h"], k["d"]))), F.array(F.lit("]"))
+    )
+    digest = F.when(F.col("slots") == 0, F.lit("")).otherwise(
+        F.sha2(F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.col("slots") - 1), slot)), "|").cast("binary"), 256)
+    )
+    levels: list[DataFrame] = []
+    for depth in range(deepest, -1, -1):
+        level = nodes.where(F.col("depth") == depth).select(*key, "parent_ord", "slot_index", "node_hash", "slots")
+        if levels:
+            child = F.struct(F.coalesce("slot_index", F.lit(0)).alias("s"), F.col("ord").alias("o"), F.col("node_hash").alias("h"), F.col("subtree").alias("d"))
+            below = levels[-1].groupBy("doc_key", "scope", F.col("parent_ord").alias("ord")).agg(F.array_sort(F.collect_list(child)).alias("kids"))
+            level = level.join(below, key, "left")
+        else:
+            level = level.withColumn("kids", F.lit(None).cast(f"array<{kid}>"))
+        told = level.select(*key, "parent_ord", "slot_index", "node_hash", digest.alias("subtree"))
+        levels.append(cut(told) if 0 < depth < deepest else told)
+    return reduce(DataFrame.unionByName, levels).select(*key, "subtree")
 
 
 def entries(nodes: DataFrame, footnotes: DataFrame) -> DataFrame:
     """Entries of a corpus; headings and figures have no digest of their own."""
+    nodes = cut(nodes.select("doc_key", "scope", "ord", "parent_ord", "slot_index", "slots", "depth", "node_id", "label", "type", "path", "node_hash"))
     order = F.row_number().over(Window.partitionBy("doc_key").orderBy("scope", "ord"))
     told = match_path(nodes, footnotes).join(subtree_digests(nodes), ["doc_key", "scope", "ord"])
     return told.select(
@@ -76,31 +80,41 @@ def pass_keys() -> dict[str, Column]:
 
 
 def match_pass(old: DataFrame, new: DataFrame, name: str, key: Column) -> DataFrame:
-    """Pairs of one pass: equal keys in reading order on both sides."""
-    ranked = lambda df: df.withColumn("_k", key).where("_k is not null").withColumn(
-        "_n", F.row_number().over(Window.partitionBy("doc_key", "_k").orderBy("walk_order"))
-    )
-    o = ranked(old).select("doc_key", "_k", "_n", *[F.col(c).alias(f"old_{c}") for c in ENTRY if c != "doc_key"])
-    n = ranked(new).select("doc_key", "_k", "_n", *[F.col(c).alias(f"new_{c}") for c in ENTRY if c != "doc_key"])
-    return o.join(n, ["doc_key", "_k", "_n"]).drop("_k", "_n").withColumn("matched_by", F.lit(name))
+    """Pairs (doc_key, old_order, new_order) of one pass: equal keys in reading order on both sides."""
+
+    def ranked(side: DataFrame, order: str) -> DataFrame:
+        nth = F.row_number().over(Window.partitionBy("doc_key", "_k").orderBy("walk_order"))
+        return side.withColumn("_k", key).where("_k is not null").select("doc_key", "_k", nth.alias("_n"), F.col("walk_order").alias(order))
+
+    pairs = ranked(old, "old_order").join(ranked(new, "new_order"), ["doc_key", "_k", "_n"])
+    return pairs.select("doc_key", "old_order", "new_order", F.lit(name).alias("matched_by"))
+
+
+def left_of(side: DataFrame, pairs: DataFrame | None, order: str) -> DataFrame:
+    """What no pass has matched, told by document and reading order, which are unique in a build."""
+    if pairs is None:
+        return side
+    return side.join(pairs.select("doc_key", F.col(order).alias("walk_order")), ["doc_key", "walk_order"], "left_anti")
 
 
 def match_entries(old: DataFrame, new: DataFrame, until: str = MATCH_PASSES[-1]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pairs, old left over, new left over) after the passes up to ``until``.
 
-    What is left is told by document and reading order, which are unique in a
-    build. Each pass's pairs and what it leaves are written, so that no pass is
-    computed again for those after it.
+    A pass writes its pairs, a row of numbers each; what is left for the next
+    is an anti-join with all pairs so far. No pass is computed again for those
+    after it, and entries are written once.
     """
     old, new, pairs = cut(old), cut(new), None
     for name, key in pass_keys().items():
-        found = cut(match_pass(old, new, name, key))
+        found = cut(match_pass(left_of(old, pairs, "old_order"), left_of(new, pairs, "new_order"), name, key))
         pairs = found if pairs is None else pairs.unionByName(found)
-        old = cut(old.join(found.select("doc_key", F.col("old_walk_order").alias("walk_order")), ["doc_key", "walk_order"], "left_anti"))
-        new = cut(new.join(found.select("doc_key", F.col("new_walk_order").alias("walk_order")), ["doc_key", "walk_order"], "left_anti"))
         if name == until:
             break
-    return pairs, old, new
+    whole = pairs
+    for side, order, prefix in ((old, "old_order", "old"), (new, "new_order", "new")):
+        whole = whole.join(side.select("doc_key", F.col("walk_order").alias(order), *[F.col(c).alias(f"{prefix}_{c}") for c in ENTRY if c not in ("doc_key", "walk_order")]), ["doc_key", order])
+    whole = whole.withColumnsRenamed({"old_order": "old_walk_order", "new_order": "new_walk_order"})
+    return whole, left_of(old, pairs, "old_order"), left_of(new, pairs, "new_order")
 
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -119,6 +133,11 @@ def diff_counts(changes: DataFrame) -> DataFrame:
     return changes.groupBy("doc_key", "status").agg(F.count("*").alias("n"))
 
 
+def changes_of(changes: DataFrame, *statuses: str) -> DataFrame:
+    """The changes of some statuses (added, removed, changed, moved, unchanged), in each document's order."""
+    return changes.where(F.col("status").isin(*statuses))
+
+
 def unchanged_docs(changes: DataFrame) -> DataFrame:
     """(doc_key, is_empty): whether nothing changed."""
     return changes.groupBy("doc_key").agg(F.bool_and(F.col("status") == "unchanged").alias("is_empty"))

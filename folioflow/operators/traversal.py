@@ -22,13 +22,40 @@ def walk_body(nodes: DataFrame) -> DataFrame:
     return walk_full(nodes.where("scope = 0"))
 
 
+# The field that holds the nodes within each type of node.
+FIELD_OF = {"heading": "children", "quote": "children", "figure": "children", "admonition": "children", "list": "items", "terms": "items", "table": "cells", "layout": "cells"}
+
+
+def with_parent(nodes: DataFrame) -> DataFrame:
+    """Adds parent_id, null at the top."""
+    up = nodes.select(*DOC, F.col("ord").alias("parent_ord"), F.col("node_id").alias("parent_id"))
+    return nodes.join(up, [*DOC, "parent_ord"], "left")
+
+
+def slots(nodes: DataFrame, entries: DataFrame) -> DataFrame:
+    """(doc_key, scope, ord, node_id, field, entry, n_nodes): every place that holds nodes, empty ones too; entry is null for children."""
+    field = F.element_at(F.create_map(*[F.lit(x) for item in FIELD_OF.items() for x in item]), F.col("type"))
+    holders = nodes.select(*DOC, "ord", "node_id", field.alias("field")).where("field is not null")
+    many = holders.where("field <> 'children'").join(entries.select(*DOC, "ord", "entry"), [*DOC, "ord"])
+    one = holders.where("field = 'children'").withColumn("entry", F.lit(None).cast("int"))
+    held = nodes.where("parent_ord is not null").groupBy(*DOC, F.col("parent_ord").alias("ord"), F.coalesce("slot_index", F.lit(-1)).alias("at")).agg(F.count("*").alias("n"))
+    places = one.unionByName(many).withColumn("at", F.coalesce("entry", F.lit(-1)))
+    return places.join(held, [*DOC, "ord", "at"], "left").select(*DOC, "ord", "node_id", "field", "entry", F.coalesce("n", F.lit(0)).alias("n_nodes"))
+
+
+def prefixes(nodes: DataFrame, name: str) -> DataFrame:
+    """A row for each proper prefix of a node's ``ord``: as many as the node is deep."""
+    inner = nodes.where(F.size("ord") > 1)
+    return inner.withColumn(name, F.explode(F.transform(F.sequence(F.lit(1), F.size("ord") - 1), lambda n: F.slice("ord", 1, n))))
+
+
 def walk_subtree(nodes: DataFrame, root: DataFrame) -> DataFrame:
     """The nodes under each row of ``root`` (doc_key, scope, ord): their order and depth counted from it.
 
-    A join on the document and the root's length of ``ord``; nothing but prefixes of equal value meet.
+    A node's prefixes, as many as it is deep, meet the roots in a join on equal keys.
     """
-    r = root.select("doc_key", "scope", F.col("ord").alias("root_ord"))
-    keyed = nodes.join(r, list(DOC)).where((F.size("ord") > F.size("root_ord")) & (F.slice("ord", 1, F.size("root_ord")) == F.col("root_ord")))
+    r = root.select(*DOC, F.col("ord").alias("root_ord"))
+    keyed = prefixes(nodes, "root_ord").join(r, [*DOC, "root_ord"], "left_semi")
     base = Window.partitionBy(*DOC, "root_ord")
     return keyed.withColumn("walk_order", F.row_number().over(base.orderBy("ord"))).withColumn("rel_depth", F.col("depth") - F.min("depth").over(base))
 
@@ -60,7 +87,7 @@ def prune_below(placed: DataFrame, stop: Column) -> DataFrame:
     """
     key = [*DOC, "ord"]
     stops = placed.where(F.coalesce(stop, F.lit(False))).select(*DOC, F.col("ord").alias("prefix"))
-    inner = placed.where(F.size("ord") > 1).select(*key, F.explode(F.transform(F.sequence(F.lit(1), F.size("ord") - 1), lambda n: F.slice("ord", 1, n))).alias("prefix"))
+    inner = prefixes(placed.select(*key), "prefix")
     below = inner.join(stops, [*DOC, "prefix"], "left_semi").select(*key).distinct()
     return placed.join(below, key, "left_anti")
 

@@ -93,11 +93,57 @@ def test_near_groups_link_through_a_hub_and_across_blocks(spark, monkeypatch):
             words[k] = f"v{rng.randrange(10**6)}"
         rows.append((i, " ".join(words), None, None, 0))
     monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "TEXT_BLOCK", 5)
     plan = minhash.Plan(3, 85)
     got = minhash.near_groups(spark.createDataFrame(rows, SCHEMA), Workspace(spark, "t"), plan).collect()
     assert {r.id: r.component_id for r in got} == brute_groups(rows, plan)
 
 
+def test_near_groups_of_ids_that_repeat(spark):
+    """Rows of one id are one document: (1, A), (5, A), (2, B), (5, B) are all component 1."""
+    a, b, c = ("alpha beta gamma delta epsilon", "one two three four five six", "red green blue white black")
+    rows = [(1, a), (5, a), (2, b), (5, b), (9, c), (7, ""), (7, c), (3, None), (None, b), (None, "no one has this text at all"), (None, "")]
+    rows += [(1, a)] * 60 + [(40, a.replace("beta", "Beta"))] * 200
+    plan = minhash.Plan(3, 85)
+    source = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], SCHEMA)
+    got = minhash.near_groups(source, Workspace(spark, "t"), plan).collect()
+    assert len(got) == len(rows)
+    told = {}
+    for r in got:
+        told.setdefault(r.id, set()).add(r.component_id)
+    assert told == {1: {1}, 5: {1}, 2: {1}, 40: {1}, 9: {7}, 7: {7}, 3: {3}, None: {1, None}}
+    assert brute_groups([r for r in rows if r[0] is not None], plan) == {i: min(c) for i, c in told.items() if i is not None}
+    left = sorted((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in minhash.without_copies(source, Workspace(spark, "t"), plan).collect())
+    assert left == [(-1, ""), (-1, "no one has this text at all"), (1, a), (3, ""), (7, c)]
+
+
+def test_copies_that_stay_equal_brute_force(spark, docs):
+    plan = minhash.Plan(5, 80)
+    clash = docs.withColumn("id", F.lit("x")).withColumn("row", F.lit(1)).withColumn("node", F.lit(2))
+    got = minhash.without_copies(clash, Workspace(spark, "t"), plan)
+    assert got.columns == clash.columns
+    want = brute_groups(corpus(), plan)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(i for i, g in want.items() if i == g)
+
+
+def test_lanes_that_differ_are_the_same_in_both_forms(spark):
+    rng = np.random.default_rng(4)
+    words = rng.integers(-(1 << 63), (1 << 63) - 1, (50, 2, 9), dtype=np.int64)
+    words[:25, 1, :5] = words[:25, 0, :5]
+    rows = spark.createDataFrame([(i, w[0].tolist(), w[1].tolist()) for i, w in enumerate(words)], "i int, a array<long>, c array<long>")
+    got = {r.i: r.n for r in rows.select("i", minhash.lanes_apart("a", "c", 9).alias("n")).collect()}
+    for i, (a, c) in enumerate(words.view(np.uint64)):
+        plain = sum((int(x) >> k & 15) != (int(y) >> k & 15) for x, y in zip(a, c) for k in range(0, 64, 4))
+        assert got[i] == plain == int(minhash.differing(a, c[None, :])[0])
+
+
+def test_lanes_of_linked_pairs_are_within_the_bound():
+    plan = minhash.Plan(3, 85)
+    q, n = 0.15 * 15 / 16, plan.hashes
+    tail = [sum(math.comb(n, k) * q**k * (1 - q) ** (n - k) for k in range(least, n + 1)) for least in (plan.most_differ, plan.most_differ + 1)]
+    assert tail[1] <= minhash.MISSED < tail[0]
+
+
 def test_near_groups_of_nothing(spark, empty):
     assert minhash.near_groups(empty, Workspace(spark, "t")).count() == 0
 
@@ -173,11 +219,13 @@ def test_toxicity_exceptions_and_no_labels(spark, docs):
 
 
 def test_store_round_trip(spark, docs):
+    from tokenizers import Tokenizer
+
     path = public_tokenizers.path("byte_bpe_50k.json")
-    ws = Workspace(spark, "t")
-    paths = tokenstore.write_store(docs, ws, path)
-    enc, table = bpe.tokenizer_from_json(path)
-    rows = sorted(corpus(), key=lambda r: r[0])
+    ws, enc = Workspace(spark, "t"), Tokenizer.from_file(path)
+    special = [(900, "a <|endoftext|> b", None, None, 0), (901, "<|endoftext|><|endoftext|>", None, None, 0), (902, "x<|endoftext|>  y ", None, None, 0)]
+    rows = sorted(corpus() + special, key=lambda r: r[0])
+    paths = tokenstore.write_store(docs.union(spark.createDataFrame(special, SCHEMA)), ws, path)
     ids = [enc.encode(r[1] or "", add_special_tokens=False).ids + [0] for r in rows]
     got = sorted(tokenstore.read_checks(spark, paths).collect(), key=lambda r: r.row)
     assert [r.doc_id for r in got] == [r[0] for r in rows] and all(r.verified for r in got)
@@ -203,6 +251,34 @@ def test_store_of_nothing(spark, empty):
     assert tokenstore.read_checks(spark, paths).count() == 0
 
 
+def test_chunks_tile_documents():
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, 50_000, 60_000).astype(np.uint16)
+    ids[5000:30_000] = 7  # nowhere to cut
+    bounds = np.array([0, 0, 1, 70, 4000, 40_000, 60_000])
+    ends, counts = tokenstore.chunk_ends(tokenstore.rolling_cuts(ids), bounds)
+    sizes, last = np.diff(np.concatenate([[0], ends])), np.cumsum(counts)
+    assert counts.sum() == len(ends) and sizes.max() <= tokenstore.MAX_IDS and counts[0] == 0
+    for k in range(1, len(counts)):
+        mine = slice(last[k - 1], last[k])
+        assert ends[mine][-1] == bounds[k + 1] and sizes[mine].sum() == bounds[k + 1] - bounds[k]
+        assert (sizes[mine][:-1] >= tokenstore.MIN_IDS).all()
+
+
+def test_rolling_hash_is_the_polynomial():
+    ids, width = np.arange(300, dtype=np.uint16) * 37, tokenstore.WINDOW
+    want = []
+    for end in range(width, len(ids) + 1):
+        h = 0
+        for i in ids[end - width : end].tolist():
+            x = (i + 1) * 0x9E3779B1 % 2**32
+            h = (h * 0x01000193 + (x ^ x >> 15)) % 2**32
+        h = (h ^ h >> 16) * 0x85EBCA6B % 2**32
+        if (h ^ h >> 13) & tokenstore.MASK == 0:
+            want.append(end)
+    assert tokenstore.rolling_cuts(ids).tolist() == want
+
+
 def test_crcs_join():
     parts = [b"abc", b"", b"\x00" * 900, bytes(range(256)) * 8]
     assert tokenstore.join_crcs((zlib.crc32(p), len(p)) for p in parts) == zlib.crc32(b"".join(parts))
@@ -316,6 +392,36 @@ def test_few_vectors_are_searched_exactly(spark):
     assert ann.search(few.limit(0), Workspace(spark, "t")).count() == 0
 
 
+def test_vectors_of_other_sizes_ids_and_lengths(spark):
+    """Tiny and huge vectors have their cosines; repeated ids ask for themselves, equal rows once; each length by itself."""
+    big, small = 1e300, 1e-300
+    rows = [(0, [big, 0.0]), (0, [0.0, small]), (0, [0.0, small]), (1, [big, big]), (2, [0.0, big]), (3, [small, 0.0]), (50, [1.0, 2.0, 2.0]), (51, [2.0, 4.0, 4.0]), (52, [1.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), Workspace(spark, "t"), k=2).collect()
+    told = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 12)) for r in got)
+    half = round(math.sqrt(0.5), 12)
+    assert told == [(0, 1, 2, 1.0), (0, 1, 3, 1.0), (0, 2, 1, half), (0, 2, 1, half), (50, 1, 51, 1.0)]
+
+
+def test_queries_that_find_too_few_are_sent_to_all_parts(spark, monkeypatch):
+    """A router that sends queries where nothing lies costs time, not results."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 4))
+
+    def nowhere(vectors, recall, k):
+        return ann.Router(np.zeros((4, 1)), np.zeros(1), np.zeros((1, 3)), np.array([0.0, 1.0, 2.0]), 1)
+
+    monkeypatch.setattr(ann, "fit", nowhere)
+    monkeypatch.setattr(ann.Router, "ranked", lambda self, u: np.where((u[:, :1] > 0.9), [[2, 1, 0]], [[1, 0, 2]]))
+    x[0] = [9, 0, 0, 0]
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 40)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = [r for r in ann.search(table, Workspace(spark, "t")).collect() if r.query_id == 0]
+    v = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = v @ v[0]
+    s[0] = -9
+    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"])] == np.argsort(-s)[:5].tolist()
+
+
 def test_bounded_sample_is_bounded_and_stable(spark):
     ids = spark.range(5000)
     a, b = ({r.id for r in bounded_sample(ids.repartition(n), ["id"], 300).collect()} for n in (2, 7))
@@ -330,7 +436,7 @@ def test_hidden_markov_counts_and_likelihoods(spark, docs):
     flagged = docs.withColumn("held_out", held_out("doc_id", 7, 2))
     texts = flagged.where("not held_out")
     counts = hmm.count_words(texts.select("text"), ws)
-    model = hmm.train(texts.select("text"), texts.select(F.col("doc_id").alias("id"), "text"), counts)
+    model = hmm.train(texts.select("text"), counts, ws)
     assert np.allclose(model.emit.sum(axis=0), 1) and np.allclose(model.move.sum(axis=1), 1)
     got = hmm.score(flagged, counts, model, ws, ["doc_id", "held_out"]).collect()
     rows = {r[0]: r[1] for r in corpus()}
@@ -350,15 +456,59 @@ def test_hidden_markov_counts_and_likelihoods(spark, docs):
 
 def test_training_passes_until_the_whole_corpus_settles(spark, docs, monkeypatch):
     monkeypatch.setattr(hmm, "SEED_TEXTS", 2)
-    texts = docs.where("doc_id <> 5").select("doc_id", "text")
-    counts = hmm.count_words(texts.select("text"), Workspace(spark, "t"))
-    model = hmm.train(texts.select("text"), texts.select(F.col("doc_id").alias("id"), "text"), counts)
-    rows = hmm.pieces(hmm.symbol_lists([r.text for r in texts.collect()], counts))
+    texts, ws = docs.where("doc_id <> 5").select("text"), Workspace(spark, "t")
+    counts = hmm.count_words(texts, ws)
+    model = hmm.train(texts, counts, ws)
+    rows = hmm.symbol_lists([r.text for r in texts.collect()], counts)
     told = model.log_likelihoods(rows).sum()
     more = hmm.updated(*model.expected(rows), hmm.prior_of(counts)).log_likelihoods(rows).sum()
     assert more - told < 2e-4 * abs(told)
 
 
+def test_words_of_columns_equal_those_of_texts():
+    import pyarrow as pa
+
+    texts = [None, "", " \t", "Ab  cD\x0b\x0ceÉ\x1cf ", "\nx", "a a\u00a0b A"]
+    doc, codes, words = hmm.coded_words(pa.array(texts))
+    words = words.to_pylist()
+    assert [[words[c] for c in codes[doc == i]] for i in range(len(texts))] == [hmm.words_of(t) for t in texts]
+    assert hmm.classes_of(pa.array(words, pa.binary())).tolist() == [hmm.class_of(w) for w in words]
+
+
+def test_expected_counts_equal_sums_over_all_paths():
+    """Of rows of unequal length, whether held whole or in stretches of few tokens."""
+    rng = np.random.default_rng(6)
+    model = hmm.Model(rng.dirichlet([1] * 2), rng.dirichlet([1] * 2, 2), rng.dirichlet([1] * 4, 2).T)
+    rows = [np.array(r) for r in ([1, 2, 3, 1, 0], [0], [2, 2, 0], [3, 1, 1, 0])]
+    start, move, emit, total = np.zeros(2), np.zeros((2, 2)), np.zeros((4, 2)), 0.0
+    for row in rows:
+        weights = {}
+        for path in np.ndindex(*[2] * len(row)):
+            p = model.start[path[0]] * model.emit[row[0], path[0]]
+            for t in range(1, len(row)):
+                p *= model.move[path[t - 1], path[t]] * model.emit[row[t], path[t]]
+            weights[path] = p
+        z = sum(weights.values())
+        total += math.log10(z)
+        for path, p in weights.items():
+            start[path[0]] += p / z
+            for t, s in enumerate(path):
+                emit[row[t], s] += p / z
+                if t:
+                    move[path[t - 1], s] += p / z
+    for most in (1, 3, 7, 1000):
+        got = model.expected_and_likelihood(rows, most)
+        assert np.allclose(got[0], start) and np.allclose(got[1], move) and np.allclose(got[2], emit) and abs(got[3] - total) < 1e-9
+        assert abs(model.log_likelihoods(rows, most).sum() - total) < 1e-9
+
+
+def test_common_words_are_bounded_where_counts_tie(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "COMMON", 5)
+    table = spark.createDataFrame([(bytearray(f"w{i}".encode()), 9 if i < 3 else 2) for i in range(40)], "word binary, c long")
+    top = hmm.most_common(table)
+    assert len(top) == 5 and {c for _, c in top[:3]} == {9} and top == hmm.most_common(table.repartition(5))
+
+
 def test_forward_recursion_is_exact():
     rng = np.random.default_rng(2)
     model = hmm.Model(rng.dirichlet([1] * 3), rng.dirichlet([1] * 3, 3), rng.dirichlet([1] * 5, 3).T)
