@@ -106,8 +106,8 @@ def _uuid(n: int) -> str:
     return f"00000000-0000-4000-8000-<K>{n:02d}"
 
 
-def _node(n: int, kind: str, **fields) -> dict:
-    return {"id": _uuid(n), "type": kind} | fields
+def _node(n: int, type_: str, /, **fields) -> dict:
+    return {"id": _uuid(n), "type": type_} | fields
 
 
 def _text(value: str, **fields) -> dict:
@@ -225,7 +225,8 @@ def id_of(column: str) -> str:
 def whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_key, raw): a file a customer."""
     text = filled(json.dumps(_template()).replace("\\", "\\\\")).replace("VARCHAR", "STRING")
-    return frame(spark, sf_dir, f"SELECT CAST(c_custkey AS STRING) AS doc_key, {text} AS raw FROM customer")
+    # not by frame(), which would take the JSON's "row" and "col" for names
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("CAST(c_custkey AS STRING) AS doc_key", f"{text} AS raw")
 
 
 TABLES = ("customer", "orders", "supplier", "nation", "lineitem", "conversations", "documents", "pages", "events", "region", "part")
