@@ -208,7 +208,7 @@ def test_ordinals_and_numbers_equal_a_simulation(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are absent")
-@pytest.mark.parametrize("name", ["min_slice", "walk_full", "pos_page", "prune_pred", "blocks_plain", "incoming", "v_mark_atomic", "header_rows", "row_labels", "md_table", "list_ordinals", "ctr_heading", "html_escape", "subtree_digest", "build_hashes"])
+@pytest.mark.parametrize("name", ["min_slice", "walk_full", "pos_page", "prune_pred", "blocks_plain", "incoming", "v_mark_atomic", "header_rows", "row_labels", "md_table", "list_ordinals", "ctr_heading", "html_escape", "subtree_digest", "build_hashes", "whole_walk", "slots", "whole_edges", "whole_hashes", "content_hash"])
 def test_queries_equal_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     from folioflow import catalog
