@@ -2,7 +2,7 @@
 
 An entry is a node with its path, hash, reading order and the digest of what is
 below it. Passes run in a fixed order; in each, equal keys pair in reading order
-(a rank on both sides, then an equi-join), and what is matched leaves.
+(the nth of one build with the nth of the other), and what is matched leaves.
 """
 
 from __future__ import annotations
@@ -64,7 +64,9 @@ def entries(nodes: DataFrame, footnotes: DataFrame) -> DataFrame:
     """Entries of a corpus; headings and figures have no digest of their own."""
     nodes = cut(nodes.select("doc_key", "scope", "ord", "parent_ord", "slot_index", "slots", "depth", "node_id", "label", "type", "path", "node_hash"))
     order = F.row_number().over(Window.partitionBy("doc_key").orderBy("scope", "ord"))
-    told = match_path(nodes, footnotes).join(subtree_digests(nodes), ["doc_key", "scope", "ord"])
+    # only what can hold others is joined with its digest
+    held = nodes.where("slots > 0").join(subtree_digests(nodes).where("subtree <> ''"), ["doc_key", "scope", "ord"])
+    told = match_path(held.unionByName(nodes.where("slots <= 0 or slots is null").withColumn("subtree", F.lit(""))), footnotes)
     return told.select(
         "doc_key", "node_id", "label", "type", F.col("match_path").alias("path"), F.col("node_hash").alias("hash"), order.alias("walk_order"),
         F.when(F.col("type").isin("heading", "figure"), F.lit("")).otherwise(F.col("subtree")).alias("subtree"),
@@ -79,42 +81,37 @@ def pass_keys() -> dict[str, Column]:
     ]))
 
 
-def match_pass(old: DataFrame, new: DataFrame, name: str, key: Column) -> DataFrame:
-    """Pairs (doc_key, old_order, new_order) of one pass: equal keys in reading order on both sides."""
-
-    def ranked(side: DataFrame, order: str) -> DataFrame:
-        nth = F.row_number().over(Window.partitionBy("doc_key", "_k").orderBy("walk_order"))
-        return side.withColumn("_k", key).where("_k is not null").select("doc_key", "_k", nth.alias("_n"), F.col("walk_order").alias(order))
-
-    pairs = ranked(old, "old_order").join(ranked(new, "new_order"), ["doc_key", "_k", "_n"])
-    return pairs.select("doc_key", "old_order", "new_order", F.lit(name).alias("matched_by"))
-
-
-def left_of(side: DataFrame, pairs: DataFrame | None, order: str) -> DataFrame:
-    """What no pass has matched, told by document and reading order, which are unique in a build."""
-    if pairs is None:
-        return side
-    return side.join(pairs.select("doc_key", F.col(order).alias("walk_order")), ["doc_key", "walk_order"], "left_anti")
-
-
 def match_entries(old: DataFrame, new: DataFrame, until: str = MATCH_PASSES[-1]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pairs, old left over, new left over) after the passes up to ``until``.
 
-    A pass writes its pairs, a row of numbers each; what is left for the next
-    is an anti-join with all pairs so far. No pass is computed again for those
-    after it, and entries are written once.
+    Both builds are dealt by document once. A pass counts what is left of either
+    side under each key: the nth of one pairs with the nth of the other. A pair
+    is told by its pass, the first old entry under its key and n, all numbers,
+    and brought together at the end; nothing is joined, sent to the driver or
+    read again between passes. The result is written, since three tables read it.
     """
-    old, new, pairs = cut(old), cut(new), None
+    sides = [side.select(*ENTRY).withColumn("_old", F.lit(is_old)) for side, is_old in ((old, True), (new, False))]
+    left, none = sides[0].unionByName(sides[1]).repartition("doc_key"), F.lit(None)
+    left = left.withColumns({"matched_by": none.cast("string"), "_head": none.cast("int"), "_n": none.cast("int")})
     for name, key in pass_keys().items():
-        found = cut(match_pass(left_of(old, pairs, "old_order"), left_of(new, pairs, "new_order"), name, key))
-        pairs = found if pairs is None else pairs.unionByName(found)
+        group = Window.partitionBy("doc_key", "_k")
+        told = left.withColumn("_k", F.when(F.col("matched_by").isNull(), key)).withColumns({
+            "_rank": F.row_number().over(Window.partitionBy("doc_key", "_k", "_old").orderBy("walk_order")), "_first": F.min(F.when(F.col("_old"), F.col("walk_order"))).over(group),
+            "_most": F.least(F.count_if("_old").over(group), F.count_if(~F.col("_old")).over(group)),
+        })
+        hit = F.col("_k").isNotNull() & (F.col("_rank") <= F.col("_most"))
+        told = told.withColumns({"matched_by": F.when(hit, F.lit(name)).otherwise(F.col("matched_by")), "_head": F.when(hit, F.col("_first")).otherwise(F.col("_head")), "_n": F.when(hit, F.col("_rank")).otherwise(F.col("_n"))})
+        left = told.drop("_k", "_rank", "_first", "_most")
         if name == until:
             break
-    whole = pairs
-    for side, order, prefix in ((old, "old_order", "old"), (new, "new_order", "new")):
-        whole = whole.join(side.select("doc_key", F.col("walk_order").alias(order), *[F.col(c).alias(f"{prefix}_{c}") for c in ENTRY if c not in ("doc_key", "walk_order")]), ["doc_key", order])
-    whole = whole.withColumnsRenamed({"old_order": "old_walk_order", "new_order": "new_walk_order"})
-    return whole, left_of(old, pairs, "old_order"), left_of(new, pairs, "new_order")
+    # what is left over stands alone, under its own place in its own build
+    alone = F.col("matched_by").isNull()
+    place = {"_head": F.when(alone, F.col("walk_order")).otherwise(F.col("_head")), "_n": F.when(alone, F.when(F.col("_old"), 0).otherwise(-1)).otherwise(F.col("_n"))}
+    entry = F.struct(*[c for c in ENTRY if c != "doc_key"])
+    whole = cut(left.withColumns(place).groupBy("doc_key", "matched_by", "_head", "_n").agg(F.max(F.when(F.col("_old"), entry)).alias("o"), F.max(F.when(~F.col("_old"), entry)).alias("n")))
+    pairs = whole.where("matched_by is not null").select("doc_key", "matched_by", *[F.col(f"{side[0]}.{c}").alias(f"{side}_{c}") for side in ("old", "new") for c in ENTRY if c != "doc_key"])
+    gone, come = (whole.where(f"matched_by is null and {side} is not null").select("doc_key", f"{side}.*") for side in "on")
+    return pairs, gone, come
 
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:

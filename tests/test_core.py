@@ -137,6 +137,22 @@ def test_diff_and_ids_handed_on(spark):
     assert {r.status for r in match.match_pool(a.bibliography, b.bibliography).collect()} == {"unchanged"}
 
 
+def test_matching_sends_nothing_to_the_driver(spark, monkeypatch):
+    plans = []
+    told = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    monkeypatch.setattr(match, "cut", told)
+    schema = "doc_key int, node_id string, label string, type string, path string, hash string, walk_order int, subtree string"
+    entry = lambda side, n, label, path, content, below="": (1, f"{side}{n}", label, "quote", path, content, n, below)
+    old = spark.createDataFrame([entry("o", 1, "a", "p1", "h1"), entry("o", 2, None, "p2", "h2"), entry("o", 3, None, "p3", "h2"), entry("o", 4, "a", "p4", "h4"), entry("o", 5, None, "p5", "h5"), entry("o", 6, None, "p6", "h6", "d1"), entry("o", 7, None, "p7", "h7")], schema)
+    new = spark.createDataFrame([entry("n", 1, None, "p3", "h2"), entry("n", 2, "a", "p9", "h8"), entry("n", 3, None, "p8", "h2"), entry("n", 4, None, "p5", "h9"), entry("n", 5, None, "q6", "h6", "d2"), entry("n", 6, None, "q7", "h0")], schema)
+    pairs, gone, come = match.match_entries(old, new)
+    assert {(r.matched_by, r.old_node_id, r.new_node_id) for r in pairs.collect()} == {("label", "o1", "n2"), ("hash+path", "o3", "n1"), ("hash", "o2", "n3"), ("path+type", "o5", "n4"), ("container-hash", "o6", "n5")}
+    assert {r.node_id for r in gone.collect()} == {"o4", "o7"} and {r.node_id for r in come.collect()} == {"n6"}
+    for df in (pairs, gone, come):
+        told(df)
+    assert not [p for p in plans if "Broadcast" in p] and len(plans) == 4
+
+
 def test_build_counts_and_refuses():
     decl = {"declaration_version": "0.2.0", "doc": {"title": "D"}, "nodes": [
         {"type": "heading", "level": 1, "text": "One", "numbering": {"name": "Section"}, "children": [
