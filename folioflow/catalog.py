@@ -140,14 +140,15 @@ def walk_subtree(spark, d):
     return traversal.walk_subtree(n, n.where("depth = 0")).select("doc_key", "scope", F.get("root_ord", 0).alias("root"), "node_id", "walk_order")
 
 
-def whole(spark, d):
-    """Files with nodes of every type, read back as tables."""
-    return documents.corpus(cut(documents.parse(A.whole_documents(spark, d))))
+def whole(spark, d, once=False):
+    """Files with nodes of every type, read back as tables; not written in between where ``once`` says that one of them is read, once."""
+    parsed = documents.parse(A.whole_documents(spark, d))
+    return documents.corpus(parsed if once else cut(parsed))
 
 
 @query("whole_walk", f"SELECT CAST(doc_key AS VARCHAR) AS doc_key, scope, {A.id_of('n')} AS node_id, type, path, n - CASE WHEN scope = 0 THEN 0 ELSE 24 END AS doc_index, CASE WHEN scope = 0 THEN 24 ELSE 1 END AS doc_count FROM parts")
 def whole_walk(spark, d):
-    return traversal.positions(whole(spark, d).nodes).select("doc_key", "scope", "node_id", "type", "path", "doc_index", "doc_count")
+    return traversal.positions(whole(spark, d, once=True).nodes).select("doc_key", "scope", "node_id", "type", "path", "doc_index", "doc_count")
 
 
 @query("slots", f"SELECT CAST(doc_key AS VARCHAR) AS doc_key, {A.id_of('owner')} AS node_id, field, entry, n_nodes FROM part_slots")
@@ -163,12 +164,12 @@ def path_depth_parent(spark, d):
 
 @query("ctx_heading_path", f"SELECT CAST(doc_key AS VARCHAR) AS doc_key, {A.id_of('n')} AS node_id, above AS heading_path FROM parts")
 def ctx_heading_path(spark, d):
-    return whole(spark, d).nodes.select("doc_key", "node_id", F.array_join("ctx_heading_path", "/").alias("heading_path"))
+    return whole(spark, d, once=True).nodes.select("doc_key", "node_id", F.array_join("ctx_heading_path", "/").alias("heading_path"))
 
 
 @query("whole_texts", f"SELECT CAST(doc_key AS VARCHAR) AS doc_key, {A.id_of('owner')} AS owner, role, place AS text_index, value FROM part_texts")
 def whole_texts(spark, d):
-    return whole(spark, d).texts.where("scope is not null").select("doc_key", "owner", "role", "text_index", "value")
+    return whole(spark, d, once=True).texts.where("scope is not null").select("doc_key", "owner", "role", "text_index", "value")
 
 
 @query("whole_edges", f"SELECT CAST(doc_key AS VARCHAR) AS doc_key, {A.id_of('owner')} AS owner, role, family, place AS edge_index, target, s0, s1 FROM part_edges")
@@ -673,7 +674,7 @@ HASHED = "concat('sha256:', sha256({}))"
 
 @query("whole_hashes", f"SELECT CAST(doc_key AS VARCHAR) AS doc_key, path, {HASHED.format('own_json')} AS node_hash FROM parts")
 def whole_hashes(spark, d):
-    return whole(spark, d).nodes.select("doc_key", "path", "node_hash")
+    return whole(spark, d, once=True).nodes.select("doc_key", "path", "node_hash")
 
 
 POOL_JSON = f"SELECT c_custkey AS doc_key, {A.filled('{"authors":["A","B"],"label":"b1","title":"Book <K>","year":1999}')} AS b1, '{{\"label\":\"b2\"}}' AS b2, '{{\"label\":\"n1\"}}' AS n1 FROM customer"

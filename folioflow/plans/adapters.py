@@ -225,8 +225,9 @@ def id_of(column: str) -> str:
 def whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_key, raw): a file a customer."""
     text = filled(json.dumps(_template()).replace("\\", "\\\\")).replace("VARCHAR", "STRING")
-    # not by frame(), which would take the JSON's "row" and "col" for names
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("CAST(c_custkey AS STRING) AS doc_key", f"{text} AS raw")
+    # not by frame(), which would take the JSON's "row" and "col" for names; dealt out first, since a customer becomes a file 50 times as long
+    customers, n = spark.read.parquet(f"{sf_dir}/customer.parquet"), spark.conf.get("spark.sql.shuffle.partitions")
+    return customers.select("c_custkey", "c_name", "c_mktsegment").repartition(int(n), "c_custkey").selectExpr("CAST(c_custkey AS STRING) AS doc_key", f"{text} AS raw")
 
 
 TABLES = ("customer", "orders", "supplier", "nation", "lineitem", "conversations", "documents", "pages", "events", "region", "part")

@@ -8,6 +8,7 @@ can't be read becomes a row of ``errors`` and stops no other.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -58,7 +59,15 @@ def _typed(value: Any, kind: type, where: str) -> Any:
     return value
 
 
+_UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}")
+_LONG_NUMBER = re.compile(r"[0-9]{16}")
+#: Documents that become one Arrow batch.
+AT_ONCE = 100
+
+
 def _identifier(value: Any, where: str) -> str:
+    if isinstance(value, str) and _UUID.fullmatch(value):
+        return value
     try:
         return str(uuid.UUID(_typed(value, str, where)))
     except ValueError:
@@ -74,10 +83,10 @@ def _listed(node: dict, key: str, where: str) -> list:
     return _typed(node.get(key, []), list, f"{where}.{key}")
 
 
-def load(raw: str | None) -> dict:
-    """The JSON object of a document, or Refused: the version is looked at before the shape."""
+def load(raw: str | None, doubles: list | None = None) -> dict:
+    """The JSON object of a document, or Refused: the version is looked at before the shape. ``doubles`` gets its numbers that aren't integers."""
     try:
-        doc = json.loads(raw or "")
+        doc = json.loads(raw or "", **{} if doubles is None else {"parse_float": lambda x: doubles.append(y := float(x)) or y, "parse_constant": lambda x: doubles.append(y := float(x)) or y})
     except ValueError as e:
         raise Refused(f"not JSON: {e}") from None
     _want(isinstance(doc, dict), "an object expected")
@@ -150,7 +159,7 @@ _RICH = {("heading", "text"), ("paragraph", "text"), ("quote", "attribution"), (
 _ENTRY_FIELDS = {"list": ("number", "checked"), "terms": ("term",), "table": ("row", "col", "rowspan", "colspan", "is_header"), "layout": ("row", "col", "rowspan", "colspan", "is_header")}
 
 
-def node_hash(node: dict) -> str:
+def node_hash(node: dict, plain: bool = False) -> str:
     """Hash of a node's own content: no id, place or number, nothing nested, no field at its default."""
     kind = node["type"]
     out: dict[str, Any] = {"type": kind}
@@ -171,7 +180,7 @@ def node_hash(node: dict) -> str:
         default = None if key == "kind" else _NODE_DEFAULTS.get(key)
         if required or not _same(value, default):
             out[key] = value
-    return digest(out)
+    return digest(out, plain)
 
 
 def pool_hash(entry: dict, note: bool) -> str:
@@ -225,8 +234,8 @@ def own_texts(node: dict) -> list[dict]:
     return [text_row(rich(t, role), role, i) for i, (role, t) in enumerate((r, t) for r, t in found if t is not None)]
 
 
-def flatten(doc: dict) -> dict:
-    """A document as arrays of rows. A stack holds the way down, so depth has no limit."""
+def flatten(doc: dict, plain: bool = False) -> dict:
+    """A document as arrays of rows. A stack holds the way down, so depth has no limit. ``plain`` as in ``digest``."""
     nodes, entries = [], []
 
     def walk(roots: list, scope: int, prefix: str) -> None:
@@ -251,7 +260,7 @@ def flatten(doc: dict) -> dict:
                 "plain": None if plain is None else _typed(plain, str, path), "lang": node.get("lang"),
                 "title": node.get("title") if kind == "code" else None, "kind": node.get("kind"), "image_path": node.get("path"), "alt": node.get("alt"),
                 "ordered": bool(node.get("ordered", False)) if kind == "list" else None, "slots": len(inner),
-                "node_hash": node_hash(node), "texts": own_texts(node),
+                "node_hash": node_hash(node, plain), "texts": own_texts(node),
             })
             for field in ("items", "cells"):
                 for i, entry in enumerate(node.get(field) or []):
@@ -296,15 +305,17 @@ def parse(files: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                row = dict.fromkeys(arrow.names) | {"doc_key": key, "raw": raw}
-                try:
-                    row |= flatten(load(raw))
-                except (Refused, ValueError, TypeError, KeyError, AttributeError) as e:
-                    row["reason"] = str(e) or type(e).__name__
-                rows.append(row)
-            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+            for start in range(0, batch.num_rows, AT_ONCE):
+                part, rows = batch.slice(start, AT_ONCE), []
+                for key, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    row, doubles = dict.fromkeys(arrow.names) | {"doc_key": key, "raw": raw}, []
+                    try:
+                        doc = load(raw, doubles)
+                        row |= flatten(doc, not doubles and not _LONG_NUMBER.search(raw))
+                    except (Refused, ValueError, TypeError, KeyError, AttributeError) as e:
+                        row["reason"] = str(e) or type(e).__name__
+                    rows.append(row)
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     return files.select("doc_key", "raw").mapInArrow(run, schema)
 

@@ -75,6 +75,18 @@ def test_hash_covers_content_only():
     assert documents.node_hash(para(1, "é")) == documents.node_hash(para(1, unicodedata.normalize("NFC", "é")))
 
 
+def test_documents_are_dealt_out_and_hashed_alike(spark):
+    from folioflow.plans import adapters
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert adapters.whole_documents(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == n > 1
+    odd = [{}, {"b": 1, "a": "q\"\\\n\x01\x7f/"}, {"x": 1e3}, {"x": 0.1}, {"x": 2**53 - 1}, {"é": "e\u0301"}, {"\U0001f600": 1, "\ufb33": True}, {"x": None, "y": [False, -1]}]
+    docs = [HEAD | {"nodes": [para(1, "é" if k == 3 else "plain", state_metadata=x)]} for k, x in enumerate(odd)] * 30
+    c, parsed = corpus_of(spark, [*docs, HEAD | {"nodes": [para(1, "x", state_metadata={"x": 2**53})]}])
+    got = {int(r.doc_key): r.node_hash for r in c.nodes.collect()}
+    assert got == {k: documents.node_hash(d["nodes"][0]) for k, d in enumerate(docs)} and documents.errors(parsed).count() == 1
+
+
 def test_canonical_numbers_and_keys():
     for x, text in {1e3: "1000", 0.1: "0.1", 1e21: "1e+21", 1e-7: "1e-7", 1.5e-5: "0.000015", -0.0: "0", 123456789012345680000.0: "123456789012345680000", 5e-324: "5e-324"}.items():
         assert canonical.number_text(x) == text
