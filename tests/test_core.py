@@ -1,5 +1,6 @@
 """Documents end to end: loading, hashing, positions, validation, matching, building, rendering."""
 
+import hashlib
 import json
 import os
 import random
@@ -165,6 +166,12 @@ def test_matching_sends_nothing_to_the_driver(spark, monkeypatch):
     assert not [p for p in plans if "Broadcast" in p] and len(plans) == 4
 
 
+def test_digest_of_an_empty_slot(spark):
+    nodes = spark.createDataFrame([(1, 0, [0], None, None, 0, "a", 1), (1, 0, [1], None, None, 0, "b", 2), (1, 0, [2], None, None, 0, "c", 0)], "doc_key int, scope int, ord array<int>, parent_ord array<int>, slot_index int, depth int, node_hash string, slots int")
+    got = {r.ord[0]: r.subtree for r in match.subtree_digests(nodes).collect()}
+    assert got == {0: hashlib.sha256(b"[|]").hexdigest(), 1: hashlib.sha256(b"[|]|[|]").hexdigest(), 2: ""}
+
+
 def test_build_counts_and_refuses():
     decl = {"declaration_version": "0.2.0", "doc": {"title": "D"}, "nodes": [
         {"type": "heading", "level": 1, "text": "One", "numbering": {"name": "Section"}, "children": [
