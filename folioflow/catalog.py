@@ -140,41 +140,44 @@ def walk_subtree(spark, d):
     return traversal.walk_subtree(n, n.where("depth = 0")).select("doc_key", "scope", F.get("root_ord", 0).alias("root"), "node_id", "walk_order")
 
 
-def whole(spark, d, once=False):
-    """Files with nodes of every type, read back as tables; not written in between where ``once`` says that one of them is read, once."""
-    parsed = documents.parse(A.whole_documents(spark, d))
+def whole(spark, d, only, once=False):
+    """Files with nodes of every type, read back as tables with the fields named by ``only``; not written in between where ``once`` says that one of them is read, once."""
+    parsed = documents.parse(A.whole_documents(spark, d), only)
     return documents.corpus(parsed if once else cut(parsed))
 
 
 @query("whole_walk", f"SELECT CAST(doc_key AS VARCHAR) AS doc_key, scope, {A.id_of('n')} AS node_id, type, path, n - CASE WHEN scope = 0 THEN 0 ELSE 24 END AS doc_index, CASE WHEN scope = 0 THEN 24 ELSE 1 END AS doc_count FROM parts")
 def whole_walk(spark, d):
-    return traversal.positions(whole(spark, d, once=True).nodes).select("doc_key", "scope", "node_id", "type", "path", "doc_index", "doc_count")
+    return traversal.positions(whole(spark, d, "nodes.scope nodes.ord nodes.node_id nodes.type nodes.path nodes.page nodes.parent_ord nodes.slot nodes.slot_index", once=True).nodes).select("doc_key", "scope", "node_id", "type", "path", "doc_index", "doc_count")
 
 
 @query("slots", f"SELECT CAST(doc_key AS VARCHAR) AS doc_key, {A.id_of('owner')} AS node_id, field, entry, n_nodes FROM part_slots")
 def slots(spark, d):
-    c = whole(spark, d)
+    c = whole(spark, d, "nodes.scope nodes.ord nodes.node_id nodes.type nodes.parent_ord nodes.slot_index entries.scope entries.ord entries.entry")
     return traversal.slots(c.nodes, c.entries).select("doc_key", "node_id", "field", "entry", "n_nodes")
 
 
 @query("path_depth_parent", f"SELECT CAST(doc_key AS VARCHAR) AS doc_key, {A.id_of('n')} AS node_id, path, len(regexp_extract_all(path, '(children|items|cells)/')) - len(regexp_extract_all(path, '(items|cells)/')) - scope AS depth, CASE WHEN parent IS NOT NULL THEN {A.id_of('parent')} END AS parent_id, field AS slot, entry AS slot_index FROM parts")
 def path_depth_parent(spark, d):
-    return traversal.with_parent(whole(spark, d).nodes).select("doc_key", "node_id", "path", "depth", "parent_id", "slot", "slot_index")
+    return traversal.with_parent(whole(spark, d, "nodes.scope nodes.ord nodes.node_id nodes.path nodes.depth nodes.parent_ord nodes.slot nodes.slot_index").nodes).select("doc_key", "node_id", "path", "depth", "parent_id", "slot", "slot_index")
 
 
 @query("ctx_heading_path", f"SELECT CAST(doc_key AS VARCHAR) AS doc_key, {A.id_of('n')} AS node_id, above AS heading_path FROM parts")
 def ctx_heading_path(spark, d):
-    return whole(spark, d, once=True).nodes.select("doc_key", "node_id", F.array_join("ctx_heading_path", "/").alias("heading_path"))
+    return whole(spark, d, "nodes.node_id nodes.ctx_heading_path", once=True).nodes.select("doc_key", "node_id", F.array_join("ctx_heading_path", "/").alias("heading_path"))
+
+
+WHOLE_TEXTS = " ".join(f"{place} {text}.role {text}.text_index {text}.value" for place, text in (("nodes.scope nodes.ord nodes.node_id", "nodes.texts"), ("bibliography.pool_index bibliography.id", "bibliography.formatted")))
 
 
 @query("whole_texts", f"SELECT CAST(doc_key AS VARCHAR) AS doc_key, {A.id_of('owner')} AS owner, role, place AS text_index, value FROM part_texts")
 def whole_texts(spark, d):
-    return whole(spark, d, once=True).texts.where("scope is not null").select("doc_key", "owner", "role", "text_index", "value")
+    return whole(spark, d, WHOLE_TEXTS, once=True).texts.where("scope is not null").select("doc_key", "owner", "role", "text_index", "value")
 
 
 @query("whole_edges", f"SELECT CAST(doc_key AS VARCHAR) AS doc_key, {A.id_of('owner')} AS owner, role, family, place AS edge_index, target, s0, s1 FROM part_edges")
 def whole_edges(spark, d):
-    return whole(spark, d).edges.select("doc_key", "owner", "role", "family", "edge_index", F.coalesce("label", "href").alias("target"), F.get("span", 0).alias("s0"), F.get("span", 1).alias("s1"))
+    return whole(spark, d, f"{WHOLE_TEXTS} nodes.texts.edges bibliography.formatted.edges").edges.select("doc_key", "owner", "role", "family", "edge_index", F.coalesce("label", "href").alias("target"), F.get("span", 0).alias("s0"), F.get("span", 1).alias("s1"))
 
 
 POSITIONS = """SELECT doc_key, node_id, depth, row_number() OVER (PARTITION BY doc_key, scope ORDER BY o1, o2) AS doc_index, count(*) OVER (PARTITION BY doc_key, scope) AS doc_count,
@@ -674,7 +677,7 @@ HASHED = "concat('sha256:', sha256({}))"
 
 @query("whole_hashes", f"SELECT CAST(doc_key AS VARCHAR) AS doc_key, path, {HASHED.format('own_json')} AS node_hash FROM parts")
 def whole_hashes(spark, d):
-    return whole(spark, d, once=True).nodes.select("doc_key", "path", "node_hash")
+    return whole(spark, d, "nodes.path nodes.node_hash", once=True).nodes.select("doc_key", "path", "node_hash")
 
 
 POOL_JSON = f"SELECT c_custkey AS doc_key, {A.filled('{"authors":["A","B"],"label":"b1","title":"Book <K>","year":1999}')} AS b1, '{{\"label\":\"b2\"}}' AS b2, '{{\"label\":\"n1\"}}' AS n1 FROM customer"
@@ -684,12 +687,12 @@ POOL_JSON = f"SELECT c_custkey AS doc_key, {A.filled('{"authors":["A","B"],"labe
 SELECT CAST(o.doc_key AS VARCHAR) AS doc_key, {HASHED.format("concat('{\"bibliography\":[\"', " + HASHED.format('b1') + ", '\",\"', " + HASHED.format('b2') + ", '\"],\"doc\":{\"lang\":\"en\",\"title\":\"About ', c_name, '\"},\"footnotes\":[\"', " + HASHED.format('n1') + ", '\"],\"nodes\":[', nodes, ']}')")} AS content_hash
 FROM own o JOIN pools p ON o.doc_key = p.doc_key JOIN customer c ON c.c_custkey = o.doc_key""")
 def content_hash(spark, d):
-    return content_hashes(whole(spark, d))
+    return content_hashes(whole(spark, d, "doc_fields_json nodes.scope nodes.ord nodes.path nodes.node_hash bibliography.pool_index bibliography.hash footnotes.pool_index footnotes.hash"))
 
 
 @query("pool_hash", f"WITH pools AS ({POOL_JSON}) SELECT CAST(doc_key AS VARCHAR) AS doc_key, unnest(['b1', 'b2', 'n1']) AS label, unnest([{HASHED.format('b1')}, {HASHED.format('b2')}, {HASHED.format('n1')}]) AS hash FROM pools")
 def pool_hash(spark, d):
-    c = whole(spark, d)
+    c = whole(spark, d, "bibliography.label bibliography.hash footnotes.label footnotes.hash")
     return c.bibliography.select("doc_key", "label", "hash").unionByName(c.footnotes.select("doc_key", "label", "hash"))
 
 

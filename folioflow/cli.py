@@ -23,7 +23,8 @@ def content_hashes(c: documents.Corpus) -> DataFrame:
     pair = F.transform(F.array_sort(F.collect_list(F.struct("scope", "ord", "path", "node_hash"))), lambda x: F.array(x["path"], x["node_hash"]))
     n = c.nodes.groupBy("doc_key").agg(pair.alias("nodes"))
     pool = lambda df, name: df.groupBy("doc_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pool_index", "hash"))), lambda x: x["hash"]).alias(name))
-    joined = c.documents.select("doc_key", "doc_fields_json").join(n, "doc_key", "left").join(pool(c.bibliography, "bibs"), "doc_key", "left").join(pool(c.footnotes, "notes"), "doc_key", "left")
+    # merged, since the planner takes arrays in files for small and would broadcast their rows
+    joined = c.documents.select("doc_key", "doc_fields_json").join(n.hint("merge"), "doc_key", "left").join(pool(c.bibliography, "bibs").hint("merge"), "doc_key", "left").join(pool(c.footnotes, "notes").hint("merge"), "doc_key", "left")
 
     @F.udf("string")
     def digest(doc, nodes, bibs, notes):

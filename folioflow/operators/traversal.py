@@ -28,19 +28,20 @@ FIELD_OF = {"heading": "children", "quote": "children", "figure": "children", "a
 
 def with_parent(nodes: DataFrame) -> DataFrame:
     """Adds parent_id, null at the top."""
+    # a file of arrays is far smaller than its rows, so that the planner would broadcast millions of them: here and in slots they are merged
     up = nodes.select(*DOC, F.col("ord").alias("parent_ord"), F.col("node_id").alias("parent_id"))
-    return nodes.join(up, [*DOC, "parent_ord"], "left")
+    return nodes.join(up.hint("merge"), [*DOC, "parent_ord"], "left")
 
 
 def slots(nodes: DataFrame, entries: DataFrame) -> DataFrame:
     """(doc_key, scope, ord, node_id, field, entry, n_nodes): every place that holds nodes, empty ones too; entry is null for children."""
     field = F.element_at(F.create_map(*[F.lit(x) for item in FIELD_OF.items() for x in item]), F.col("type"))
     holders = nodes.select(*DOC, "ord", "node_id", field.alias("field")).where("field is not null")
-    many = holders.where("field <> 'children'").join(entries.select(*DOC, "ord", "entry"), [*DOC, "ord"])
+    many = holders.where("field <> 'children'").join(entries.select(*DOC, "ord", "entry").hint("merge"), [*DOC, "ord"])
     one = holders.where("field = 'children'").withColumn("entry", F.lit(None).cast("int"))
     held = nodes.where("parent_ord is not null").groupBy(*DOC, F.col("parent_ord").alias("ord"), F.coalesce("slot_index", F.lit(-1)).alias("at")).agg(F.count("*").alias("n"))
     places = one.unionByName(many).withColumn("at", F.coalesce("entry", F.lit(-1)))
-    return places.join(held, [*DOC, "ord", "at"], "left").select(*DOC, "ord", "node_id", "field", "entry", F.coalesce("n", F.lit(0)).alias("n_nodes"))
+    return places.join(held.hint("merge"), [*DOC, "ord", "at"], "left").select(*DOC, "ord", "node_id", "field", "entry", F.coalesce("n", F.lit(0)).alias("n_nodes"))
 
 
 def prefixes(nodes: DataFrame, name: str) -> DataFrame:

@@ -7,6 +7,7 @@ can't be read becomes a row of ``errors`` and stops no other.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import uuid
@@ -18,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DataType, StructField, StructType
 
 from folioflow.functions.canonical import digest
 from folioflow.plans import model as M
@@ -55,7 +57,8 @@ def _want(ok: bool, what: str) -> None:
 
 
 def _typed(value: Any, kind: type, where: str) -> Any:
-    _want(isinstance(value, kind) and not (kind is int and isinstance(value, bool)), f"{where}: {kind.__name__} expected")
+    if not isinstance(value, kind) or kind is int and isinstance(value, bool):  # words are put together only where something is wrong
+        raise Refused(f"{where}: {kind.__name__} expected")
     return value
 
 
@@ -80,7 +83,8 @@ def _maybe(node: dict, key: str, kind: type, where: str) -> Any:
 
 
 def _listed(node: dict, key: str, where: str) -> list:
-    return _typed(node.get(key, []), list, f"{where}.{key}")
+    value = node.get(key, [])
+    return value if isinstance(value, list) else _typed(value, list, f"{where}.{key}")
 
 
 def load(raw: str | None, doubles: list | None = None) -> dict:
@@ -103,6 +107,8 @@ def load(raw: str | None, doubles: list | None = None) -> dict:
 def rich(value: Any, where: str) -> dict:
     """A checked rich text with every list present."""
     text = _typed(value, dict, where)
+    if len(text) == 1 and isinstance(only := text.get("value"), str):  # most have nothing else
+        return {"value": only, "lang": None, "marks": [], "refs": [], "cites": [], "footnotes": [], "links": []}
     out = {"value": _typed(text.get("value"), str, f"{where}.value"), "lang": _maybe(text, "lang", str, where)}
     out["marks"] = _listed(text, "marks", where)
     for mark in out["marks"]:
@@ -141,6 +147,8 @@ def without_defaults(value: dict, defaults: dict) -> dict:
 
 
 def bare_text(text: dict) -> dict:
+    if len(text) == 1 and "value" in text:
+        return {"value": text["value"]}
     out = {k: text[k] for k in ("value", *_TEXT_DEFAULTS) if k in text}
     out["marks"] = [without_defaults({k: m[k] for k in ("start", "end", "kind", "raw") if k in m}, {"raw": None}) for m in text.get("marks", [])]
     for family in M.EDGE_FAMILIES:
@@ -155,6 +163,7 @@ _HASHED = {
     "math": ("text", "raw"), "image": ("path", "alt"), "figure": ("kind", "caption", "description", "raw"), "admonition": ("kind", "title"),
     "list": ("ordered", "items"), "terms": ("items",), "table": ("kind", "cells"), "layout": ("cells",),
 }
+_COVERED = {kind: ("label", "state_metadata", *own) for kind, own in _HASHED.items()}
 _RICH = {("heading", "text"), ("paragraph", "text"), ("quote", "attribution"), ("figure", "caption"), ("figure", "description"), ("admonition", "title")}
 _ENTRY_FIELDS = {"list": ("number", "checked"), "terms": ("term",), "table": ("row", "col", "rowspan", "colspan", "is_header"), "layout": ("row", "col", "rowspan", "colspan", "is_header")}
 
@@ -163,7 +172,7 @@ def node_hash(node: dict, plain: bool = False) -> str:
     """Hash of a node's own content: no id, place or number, nothing nested, no field at its default."""
     kind = node["type"]
     out: dict[str, Any] = {"type": kind}
-    for key in ("label", "state_metadata", *_HASHED[kind]):
+    for key in _COVERED[kind]:
         if key not in node:
             continue
         value = node[key]
@@ -214,6 +223,8 @@ def slots_of(node: dict) -> Iterator[tuple[str, int | None, list]]:
 
 
 def text_row(text: dict, role: str, index: int) -> dict:
+    if not (text.get("marks") or text.get("refs") or text.get("cites") or text.get("footnotes") or text.get("links")):
+        return {"role": role, "text_index": index, "value": text["value"], "lang": text.get("lang"), "marks": [], "edges": []}
     edges = [
         {"family": f, "edge_index": i, "label": e.get("label"), "href": e.get("href"), "span": e.get("text_span"), "form": e.get("form"), "supplement": e.get("supplement")}
         for f in M.EDGE_FAMILIES for i, e in enumerate(text.get(f, []))
@@ -244,11 +255,13 @@ def flatten(doc: dict, plain: bool = False) -> dict:
             node, order, path, depth, parent, slot, at, above = stack.pop()
             _typed(node, dict, path)
             kind = node.get("type")
-            _want(kind in M.NODE_TYPES, f"{path}: unknown type")
+            if kind not in M.NODE_TYPES:
+                raise Refused(f"{path}: unknown type")
             for key in M.REQUIRED.get(kind, ()):
-                _want(node.get(key) is not None, f"{path}.{key}: missing")
+                if node.get(key) is None:
+                    raise Refused(f"{path}.{key}: missing")
             location, numbering = _maybe(node, "location", dict, path), _maybe(node, "numbering", dict, path)
-            plain = node.get("text") if kind in ("code", "math") else None
+            source = node.get("text") if kind in ("code", "math") else None
             inner = list(slots_of(node))
             nodes.append({
                 "scope": scope, "ord": list(order), "path": path, "node_id": _identifier(node.get("id"), path), "type": kind,
@@ -257,7 +270,7 @@ def flatten(doc: dict, plain: bool = False) -> dict:
                 "heading_path": node.get("heading_path") if kind == "heading" else None,
                 "level": _typed(node["level"], int, path) if kind == "heading" else None,
                 "number": numbering and numbering.get("value"), "number_name": numbering and numbering.get("name"),
-                "plain": None if plain is None else _typed(plain, str, path), "lang": node.get("lang"),
+                "plain": None if source is None else _typed(source, str, path), "lang": node.get("lang"),
                 "title": node.get("title") if kind == "code" else None, "kind": node.get("kind"), "image_path": node.get("path"), "alt": node.get("alt"),
                 "ordered": bool(node.get("ordered", False)) if kind == "list" else None, "slots": len(inner),
                 "node_hash": node_hash(node, plain), "texts": own_texts(node),
@@ -296,26 +309,47 @@ def flatten(doc: dict, plain: bool = False) -> dict:
     }
 
 
-def parse(files: DataFrame) -> DataFrame:
-    """From (doc_key, raw): the flattened document, or ``reason`` why it isn't one."""
-    from pyspark.sql.types import StructType
+def narrowed(kind: DataType, paths: list[str]) -> DataType:
+    """A type with the fields that are named, as ``field`` or ``field.inner``, and no others."""
+    if isinstance(kind, ArrayType):
+        return ArrayType(narrowed(kind.elementType, paths))
+    fields = []
+    for f in kind:
+        inner = [p.partition(".")[2] for p in paths if p.partition(".")[0] == f.name]
+        if inner:
+            fields.append(StructField(f.name, f.dataType if "" in inner else narrowed(f.dataType, inner)))
+    return StructType(fields)
 
+
+def parse(files: DataFrame, only: str | None = None) -> DataFrame:
+    """From (doc_key, raw): the flattened document, or ``reason`` why it isn't one.
+
+    ``only`` names the columns and fields that are told, as in ``narrowed``;
+    documents are read, hashed and checked in whole all the same.
+    """
     schema = StructType.fromDDL(M.PARSED + ", reason string")
+    if only is not None:
+        schema = narrowed(schema, ["doc_key", "reason", *only.split()])
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, AT_ONCE):
                 part, rows = batch.slice(start, AT_ONCE), []
-                for key, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    row, doubles = dict.fromkeys(arrow.names) | {"doc_key": key, "raw": raw}, []
-                    try:
-                        doc = load(raw, doubles)
-                        row |= flatten(doc, not doubles and not _LONG_NUMBER.search(raw))
-                    except (Refused, ValueError, TypeError, KeyError, AttributeError) as e:
-                        row["reason"] = str(e) or type(e).__name__
-                    rows.append(row)
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                gc.disable()  # thousands of objects, none of them in a cycle
+                try:
+                    for key, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                        row, doubles = dict.fromkeys(arrow.names) | {"doc_key": key, "raw": raw}, []
+                        try:
+                            doc = load(raw, doubles)
+                            row |= flatten(doc, not doubles and not _LONG_NUMBER.search(raw))
+                        except (Refused, ValueError, TypeError, KeyError, AttributeError) as e:
+                            row["reason"] = str(e) or type(e).__name__
+                        rows.append(row)
+                    told = pa.RecordBatch.from_pylist(rows, schema=arrow)
+                finally:
+                    gc.enable()
+                yield told
 
     return files.select("doc_key", "raw").mapInArrow(run, schema)
 
@@ -326,21 +360,29 @@ def errors(parsed: DataFrame) -> DataFrame:
 
 
 def corpus(parsed: DataFrame) -> Corpus:
-    """The tables of all documents that could be read; each is a projection of one parsed row."""
-    ok = parsed.where("reason is null")
-    nodes = ok.select("doc_key", F.explode("nodes").alias("n")).select("doc_key", "n.*")
-    of_nodes = nodes.select("doc_key", "scope", "ord", F.col("node_id").alias("owner"), F.lit(None).cast("int").alias("pool_index"), F.explode("texts").alias("t"))
-    bibs = ok.select("doc_key", F.explode("bibliography").alias("b")).select("doc_key", "b.*")
-    of_bibs = bibs.where("formatted is not null").select("doc_key", F.lit(None).cast("int").alias("scope"), F.lit(None).cast("array<int>").alias("ord"), F.col("id").alias("owner"), "pool_index", F.col("formatted").alias("t"))
-    texts = of_nodes.unionByName(of_bibs).select("doc_key", "scope", "ord", "owner", "pool_index", "t.*")
-    keys = ["doc_key", "scope", "ord", "owner", "pool_index", "role", "text_index"]
+    """The tables of all documents that could be read; each is a projection of one parsed row. What wasn't parsed gives no table, but None."""
+    ok, has = parsed.where("reason is null"), {f.name: f.dataType for f in parsed.schema}
+    rows = lambda name: ok.select("doc_key", F.explode(name).alias("x")).select("doc_key", "x.*") if name in has else None
+    nodes, bibs = rows("nodes"), rows("bibliography")
+    texts = marks = edges = None
+    if nodes is not None and bibs is not None and "texts" in nodes.columns and "formatted" in bibs.columns:
+        of_nodes = nodes.select("doc_key", "scope", "ord", F.col("node_id").alias("owner"), F.lit(None).cast("int").alias("pool_index"), F.explode("texts").alias("t"))
+        of_bibs = bibs.where("formatted is not null").select("doc_key", F.lit(None).cast("int").alias("scope"), F.lit(None).cast("array<int>").alias("ord"), F.col("id").alias("owner"), "pool_index", F.col("formatted").alias("t"))
+        told = of_nodes.unionByName(of_bibs).select("doc_key", "scope", "ord", "owner", "pool_index", "t.*")
+        keys = ["doc_key", "scope", "ord", "owner", "pool_index", "role", "text_index"]
+        texts = told.drop("marks", "edges")
+        if "marks" in told.columns:
+            marks = told.select(*keys, F.length("value").alias("length"), F.posexplode("marks").alias("mark_index", "m")).select(*keys, "length", "mark_index", "m.*")
+        if "edges" in told.columns:
+            edges = told.select(*keys, F.length("value").alias("length"), F.explode("edges").alias("e")).select(*keys, "length", "e.*")
+    of_documents = [c for c in ("id", "version", "built_at", "title", "doc_json", "doc_fields_json", "extra_keys", "raw") if c in has]
     return Corpus(
-        documents=ok.select("doc_key", "id", "version", "built_at", "title", "doc_json", "doc_fields_json", "extra_keys", "raw"),
-        nodes=nodes.drop("texts"),
-        entries=ok.select("doc_key", F.explode("entries").alias("e")).select("doc_key", "e.*"),
-        texts=texts.drop("marks", "edges"),
-        marks=texts.select(*keys, F.length("value").alias("length"), F.posexplode("marks").alias("mark_index", "m")).select(*keys, "length", "mark_index", "m.*"),
-        edges=texts.select(*keys, F.length("value").alias("length"), F.explode("edges").alias("e")).select(*keys, "length", "e.*"),
-        bibliography=bibs.drop("formatted"),
-        footnotes=ok.select("doc_key", F.explode("footnotes").alias("f")).select("doc_key", "f.*"),
+        documents=ok.select("doc_key", *of_documents),
+        nodes=None if nodes is None else nodes.drop("texts"),
+        entries=rows("entries"),
+        texts=texts,
+        marks=marks,
+        edges=edges,
+        bibliography=None if bibs is None else bibs.drop("formatted"),
+        footnotes=rows("footnotes"),
     )

@@ -88,6 +88,22 @@ def test_documents_are_dealt_out_and_hashed_alike(spark):
     assert got == {k: documents.node_hash(d["nodes"][0]) for k, d in enumerate(docs)} and documents.errors(parsed).count() == 1
 
 
+def test_parts_of_documents_are_told_alone(spark, capsys):
+    code = {"id": uid(2), "type": "code", "text": "x", "state_metadata": {"x": 1e3}}
+    docs = [HEAD | {"nodes": [code]}, sample(), HEAD | {"nodes": [code | {"state_metadata": {"x": 2**53}}]}, HEAD | {"nodes": [code | {"label": 1}]}, HEAD | {"nodes": [{"id": uid(1), "type": "list", "items": None}]}, "{"]
+    files = spark.createDataFrame([(str(i), d if isinstance(d, str) else json.dumps(d)) for i, d in enumerate(docs)], "doc_key string, raw string")
+    whole, part = documents.parse(files).cache(), documents.parse(files, "nodes.scope nodes.ord nodes.parent_ord nodes.node_id nodes.node_hash entries.scope entries.ord entries.entry").cache()
+    assert sorted(documents.errors(whole).collect()) == sorted(documents.errors(part).collect()) and documents.errors(part).count() == 4
+    c, all_ = documents.corpus(part), documents.corpus(whole)
+    assert c.nodes.columns == ["doc_key", "scope", "ord", "node_id", "parent_ord", "node_hash"] and c.texts is None and c.bibliography is None
+    assert sorted(c.nodes.collect()) == sorted(all_.nodes.select(c.nodes.columns).collect()) and sorted(c.entries.collect()) == sorted(all_.entries.select(c.entries.columns).collect())
+    assert c.nodes.where("doc_key = '0'").first().node_hash == documents.node_hash(code)  # a code's text once decided how its numbers were written
+    told = all_.nodes.select("doc_key", "scope", "ord", "type", "node_id", "parent_ord", "slot_index")
+    for joined in (traversal.with_parent(told), traversal.slots(told, all_.entries)):
+        joined.explain()
+        assert "BroadcastHashJoin" not in capsys.readouterr().out
+
+
 def test_canonical_numbers_and_keys():
     for x, text in {1e3: "1000", 0.1: "0.1", 1e21: "1e+21", 1e-7: "1e-7", 1.5e-5: "0.000015", -0.0: "0", 123456789012345680000.0: "123456789012345680000", 5e-324: "5e-324"}.items():
         assert canonical.number_text(x) == text
