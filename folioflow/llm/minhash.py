@@ -8,9 +8,10 @@ Pairs whose estimate rules a link out go; links are confirmed on full shingle
 sets, and the groups are the connected components of confirmed links.
 
 Equal sets are one node, whatever the number of rows that have them. No bucket
-is ever turned into all of its pairs. In each bucket every node is first compared
-with the smallest one there, those that aren't linked to it with a member drawn
-by hash, and components are taken. What a bucket then still holds in different
+is ever turned into all of its pairs. Every node is first compared with the
+smallest one of all its buckets, then with the smallest one of each bucket whose
+link to the same node isn't known yet, those that aren't linked to it with a
+member drawn by hash, and components are taken. What a bucket then still holds in different
 components is compared by signatures, in blocks, the largest component against
 the rest and the rest among themselves; only texts that some signature in
 another component comes near to are then read and compared, in blocks again. So
@@ -427,9 +428,19 @@ def grouped(docs: DataFrame, ws: Workspace, plan: Plan, id_col: str, text_col: s
     nameless = source.where("id is null").select("text_key", "text").dropDuplicates(["text_key"]).join(wanted.where("id is null").drop("id"), "text_key")
     texts = ws.save(named.select("node", "sig", "text").unionByName(nameless.select("node", "sig", "text")), "texts")
 
-    stars = ws.save(cand.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("c")).distinct(), "stars")
+    # a node's buckets mostly lead to one group: it is compared with the smallest node of all of them first, and with others only where that leaves the two apart
+    leads = cand.where("node <> low").groupBy(F.col("node").alias("a")).agg(F.min("low").alias("c"))
+    leads = ws.save(leads, "leads")
+    led = ws.save(confirm(leads, texts, plan), "near")
+    centres = leads.join(led.withColumn("linked", F.lit(True)), ["a", "c"], "left").select(F.col("a").alias("node"), F.col("c").alias("lead"), F.when(F.col("linked"), F.col("c")).alias("centre"))
+    cand = ws.save(cand.join(centres, "node", "left").withColumn("centre", F.coalesce("centre", "node")), "led")
+    of_low = cand.groupBy("bucket").agg(F.min_by("centre", "node").alias("low_centre"))
+    tried = cand.join(of_low, "bucket").where("node <> low and centre <> low and centre <> low_centre").select("bucket", "node", "low", "drawn", "lead")
+    tried = ws.save(tried, "tried")
+    stars = ws.save(tried.where("low <> lead").select(F.col("node").alias("a"), F.col("low").alias("c")).distinct(), "stars")
     near = ws.save(confirm(stars, texts, plan), "near")
-    apart = cand.where("node <> low").join(near.select(F.col("a").alias("node"), F.col("c").alias("low")), ["node", "low"], "left_anti")
+    apart = tried.join(near.select(F.col("a").alias("node"), F.col("c").alias("low")), ["node", "low"], "left_anti")
+    near = led.union(near)
     more = ws.save(apart.where("node <> drawn and low <> drawn").select(F.least("node", "drawn").alias("a"), F.greatest("node", "drawn").alias("c")).distinct(), "more")
     more = ws.save(confirm(more, texts, plan), "near")
     comps = components(ws, near.union(more).union(by_id))

@@ -99,6 +99,26 @@ def test_near_groups_link_through_a_hub_and_across_blocks(spark, monkeypatch):
     assert {r.id: r.component_id for r in got} == brute_groups(rows, plan)
 
 
+def test_near_copies_are_compared_with_one_centre(spark, monkeypatch):
+    rng, asked, confirm = random.Random(3), [], minhash.confirm
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for j in range(3):
+            words[rng.randrange(300)] = f"own{i}x{j}"
+        rows.append((i, " ".join(words), None, None, 0))
+
+    def counted(pairs, texts, plan):
+        asked.append(pairs.count())
+        return confirm(pairs, texts, plan)
+
+    monkeypatch.setattr(minhash, "confirm", counted)
+    got = minhash.near_groups(spark.createDataFrame(rows, SCHEMA), Workspace(spark, "t"), minhash.Plan(3, 85)).collect()
+    assert {r.component_id for r in got} == {0} and len(got) == 60
+    assert sum(asked) < 3 * len(rows)  # a pair for each node and smallest node of a bucket: 275 of them
+
+
 def test_near_groups_of_ids_that_repeat(spark):
     """Rows of one id are one document: (1, A), (5, A), (2, B), (5, B) are all component 1."""
     a, b, c = ("alpha beta gamma delta epsilon", "one two three four five six", "red green blue white black")
