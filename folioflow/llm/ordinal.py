@@ -101,6 +101,7 @@ def fit(data: list[tuple[np.ndarray, np.ndarray, int]], grades: list[float], rat
     for _ in range(epochs):
         for i in draw.permutation(len(data)):
             at, values, grade = data[i]
+            values = values.astype(float)
             s = values @ w[at]
             p = 1 / (1 + np.exp(-np.clip(s - np.concatenate([[-np.inf], t, [np.inf]]), -500, 500)))  # P(> g) with both ends
             p[0], p[-1] = 1.0, 0.0
@@ -129,20 +130,19 @@ def learn(docs: DataFrame, ratings: DataFrame, ws: Workspace, id_col: str = "doc
     def run(batches):
         for batch in batches:
             found = [features(t) for t in each_text(batch.column(0))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1].astype(np.float32) for f in found], pa.list_(pa.float32())), batch.column(1), batch.column(2)],
-                names=["at", "value", "grade", "h"],
-            )
+            packed = [pa.array([f[k].astype(kind).tobytes() for f in found], pa.binary()) for k, kind in enumerate(("<i4", "<f4"))]
+            yield pa.RecordBatch.from_arrays([*packed, batch.column(1), batch.column(2)], names=["at", "value", "grade", "h"])
 
     # of rows that repeat an id the text that sorts first, so that there are no more rows than ids
     rated = source.join(F.broadcast(ids), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("grade").alias("grade"), F.first("h").alias("h"))
-    rows = rated.select("text", "grade", "h").mapInArrow(frugal(run), "at array<int>, value array<float>, grade double, h long")
+    rows = rated.select("text", "grade", "h").mapInArrow(frugal(run), "at binary, value binary, grade double, h long")
+    # as bytes: lists of Python's numbers would take ten times as much of the driver's memory
     rows = sorted(rows.toLocalIterator(), key=lambda r: (r.h, r.grade))
     grades = sorted({r.grade for r in rows})
     if len(grades) < 2:
         return Model(grades or [0.0], np.zeros(BINS), np.zeros(0))
     place = {g: i for i, g in enumerate(grades)}
-    return fit([(np.array(r.at), np.array(r.value, dtype=float), place[r.grade]) for r in rows], grades)
+    return fit([(np.frombuffer(r.at, "<i4"), np.frombuffer(r.value, "<f4"), place[r.grade]) for r in rows], grades)
 
 
 def grade(docs: DataFrame, model: Model, least: float | None = None, text_col: str = "text", min_tail: float = 0.5) -> DataFrame:
