@@ -240,22 +240,35 @@ def confirm(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
 def components(ws: Workspace, edges: DataFrame) -> DataFrame:
     """(id, comp): the smallest id that each end of an edge (a, c) reaches.
 
-    Each round takes the smallest label among the neighbours, then the label's
-    own label. Joins on a busy vertex can be split; sums are made before moves.
+    Each round lets every vertex follow the first of itself and its neighbours,
+    and goes on with the edges between those that were followed; an edge whose
+    ends follow the same one is done. Two rounds by id, which is all that stars
+    take, then one by a hash, so that the vertices of a long path fall by a
+    fraction, and so on. Joins on a busy vertex can be split; minima are taken
+    before rows move.
     """
-    both = ws.save(edges.select("a", "c").union(edges.select("c", "a")).distinct(), "edges")
-    labels = ws.save(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("c"), F.first("a")).alias("comp")), "labels")
+    open_ = ws.save(edges.where("a <> c").select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("c")).distinct(), "edges")
+    rounds: list[DataFrame] = []
     while True:
-        near = both.join(labels.select(F.col("id").alias("c"), "comp"), "c").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
-        hooked = ws.save(labels.join(near, "id").select("id", F.least("comp", "near").alias("comp"), F.col("comp").alias("was")), "hooked")
-        above = hooked.select(F.col("id").alias("comp"), F.col("comp").alias("up"))
-        new = ws.save(hooked.join(above, "comp").select("id", F.least("comp", "up").alias("comp"), "was"), "labels")
-        ws.drop(labels)
-        ws.drop(hooked)
-        labels = new
-        if not labels.where("comp <> was").limit(1).count():
-            ws.drop(both)
-            return labels.select("id", "comp")
+        by_hash = len(rounds) % 3 == 2
+        place = lambda v: F.struct(F.xxhash64(v, F.lit(len(rounds))).alias("h") if by_hash else F.lit(0).alias("h"), F.col(v).alias("v"))  # noqa: B023, E731
+        both = open_.union(open_.select("c", "a"))
+        led = both.groupBy("a").agg(F.min(place("c")).alias("least")).select(F.col("a").alias("id"), F.least("least", place("a"))["v"].alias("comp"))
+        rounds.append(ws.save(led, "labels"))
+        ends = [rounds[-1].select(F.col("id").alias(v), F.col("comp").alias(f"of_{v}")) for v in "ac"]
+        left = open_.join(ends[0], "a").join(ends[1], "c").where("of_a <> of_c")
+        left = ws.save(left.select(F.least("of_a", "of_c").alias("a"), F.greatest("of_a", "of_c").alias("c")).distinct(), "edges")
+        ws.drop(open_)
+        open_ = left
+        if not open_.limit(1).count():
+            break
+    hashed, told = len(rounds) > 2, rounds.pop()
+    while rounds:
+        above = told.select(F.col("id").alias("comp"), F.col("comp").alias("up"))
+        told = ws.save(rounds.pop().join(above, "comp", "left").select("id", F.coalesce("up", "comp").alias("comp")), "labels")
+    if hashed:  # who is followed by all then needn't be the smallest
+        told = ws.save(told.join(told.groupBy("comp").agg(F.min("id").alias("least")), "comp").select("id", F.col("least").alias("comp")), "labels")
+    return told
 
 
 class Forest:

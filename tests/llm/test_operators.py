@@ -119,6 +119,24 @@ def test_near_copies_are_compared_with_one_centre(spark, monkeypatch):
     assert sum(asked) < 3 * len(rows)  # a pair for each node and smallest node of a bucket: 275 of them
 
 
+def test_components_go_on_with_open_edges_only(spark, monkeypatch):
+    """Stars, a path in order of ids, a path in any order and random edges: the smallest ids, and edges that are done aren't read again."""
+    rng, saved = random.Random(5), []
+    order = rng.sample(range(300, 400), 100)
+    edges = [(7, i) for i in range(8, 60)] + [(99, i) for i in range(60, 99)] + [(i, i + 1) for i in range(100, 160)]
+    edges += [*zip(order, order[1:]), *((rng.randrange(500, 560), rng.randrange(500, 560)) for _ in range(50)), (8, 7)]
+    edges = [(a, c) for a, c in edges if a != c]
+    forest = minhash.Forest()
+    for a, c in edges:
+        forest.join(a, c)
+    ws = Workspace(spark, "t")
+    save = ws.save
+    monkeypatch.setattr(ws, "save", lambda df, name: (out := save(df, name), saved.append(out.count()) if name == "edges" else None)[0])
+    got = minhash.components(ws, spark.createDataFrame(edges, "a long, c long").repartition(3)).collect()
+    assert sorted((r.id, r.comp) for r in got) == sorted((x, forest.find(x)) for x in {v for e in edges for v in e})
+    assert saved[0] == len({(min(e), max(e)) for e in edges}) and saved[-1] == 0 and all(a > b for a, b in zip(saved, saved[1:])) and sum(saved) < 3 * saved[0]
+
+
 def test_near_groups_of_ids_that_repeat(spark):
     """Rows of one id are one document: (1, A), (5, A), (2, B), (5, B) are all component 1."""
     a, b, c = ("alpha beta gamma delta epsilon", "one two three four five six", "red green blue white black")
