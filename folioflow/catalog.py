@@ -592,13 +592,13 @@ def entries(spark, d):
 
 for _i, (_id, _name) in enumerate({"m1_label": "label", "m2_hash_path": "hash+path", "m3_hash": "hash", "m4_path_type": "path+type", "m5_container": "container-hash"}.items()):
     query(_id, passes_sql(f"SELECT doc_key, old_id, new_id FROM m{_i}"))(
-        lambda spark, d, name=_name: match.match_entries(*builds(spark, d), until=name)[0].where(F.col("matched_by") == name).select("doc_key", F.col("old_node_id").alias("old_id"), F.col("new_node_id").alias("new_id"))
+        lambda spark, d, name=_name: match.match_entries(*builds(spark, d), until=name, keep=["node_id"])[0].where(F.col("matched_by") == name).select("doc_key", F.col("old_node_id").alias("old_id"), F.col("new_node_id").alias("new_id"))
     )
 
 
 @query("match_entries", passes_sql("SELECT doc_key, matched_by, old_id, new_id FROM pairs"))
 def match_entries(spark, d):
-    return match.match_entries(*builds(spark, d))[0].select("doc_key", "matched_by", F.col("old_node_id").alias("old_id"), F.col("new_node_id").alias("new_id"))
+    return match.match_entries(*builds(spark, d), keep=["node_id"])[0].select("doc_key", "matched_by", F.col("old_node_id").alias("old_id"), F.col("new_node_id").alias("new_id"))
 
 
 QUERIES["match_tiebreak"], ORACLE_SQL["match_tiebreak"] = QUERIES["match_entries"], ORACLE_SQL["match_entries"]

@@ -19,11 +19,15 @@ ENTRY = ["doc_key", "node_id", "label", "type", "path", "hash", "walk_order", "s
 
 
 def match_path(nodes: DataFrame, footnotes: DataFrame) -> DataFrame:
-    """Adds match_path: the path with a footnote's pool index replaced by its label."""
-    notes = footnotes.select("doc_key", (F.col("pool_index") + 1).alias("scope"), F.col("label").alias("note_label"))
+    """Adds match_path: the path with a footnote's pool index replaced by its label.
+
+    Labels come as one map a document, merged on the document alone: notes grow
+    with the corpus, so they are not for the driver, and what follows is dealt out alike.
+    """
+    notes = footnotes.groupBy("doc_key").agg(F.map_from_entries(F.collect_list(F.struct(F.col("pool_index") + 1, "label"))).alias("_notes"))
     rest = F.array_join(F.slice(F.split("path", "/"), 3, F.greatest(F.size(F.split("path", "/")) - 2, F.lit(0))), "/")
-    path = F.when(F.col("scope") > 0, F.concat_ws("/", F.lit("footnotes"), "note_label", rest)).otherwise(F.col("path"))
-    return nodes.join(notes, ["doc_key", "scope"], "left").withColumn("match_path", path).drop("note_label")
+    path = F.when(F.col("scope") > 0, F.concat_ws("/", F.lit("footnotes"), F.col("_notes")[F.col("scope")], rest)).otherwise(F.col("path"))
+    return nodes.join(notes.hint("merge"), "doc_key", "left").withColumn("match_path", path).drop("_notes")
 
 
 def subtree_digests(nodes: DataFrame) -> DataFrame:
@@ -81,42 +85,46 @@ def pass_keys() -> dict[str, Column]:
     ]))
 
 
-def match_entries(old: DataFrame, new: DataFrame, until: str = MATCH_PASSES[-1]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pairs, old left over, new left over) after the passes up to ``until``.
+def match_entries(old: DataFrame, new: DataFrame, until: str = MATCH_PASSES[-1], keep: list[str] = ENTRY) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs, old left over, new left over) after the passes up to ``until``, with the columns of ENTRY named by ``keep``.
 
     Both builds are dealt by document once. A pass counts what is left of either
     side under each key: the nth of one pairs with the nth of the other. A pair
     is told by its pass, the first old entry under its key and n, all numbers,
     and brought together at the end; nothing is joined, sent to the driver or
-    read again between passes. The result is written, since three tables read it.
+    read again between passes. Each pass is one window, sorted by a hash of its
+    key before the key itself. The result is written, since three tables read it.
     """
     sides = [side.select(*ENTRY).withColumn("_old", F.lit(is_old)) for side, is_old in ((old, True), (new, False))]
     left, none = sides[0].unionByName(sides[1]).repartition("doc_key"), F.lit(None)
-    left = left.withColumns({"matched_by": none.cast("string"), "_head": none.cast("int"), "_n": none.cast("int")})
+    left = left.withColumns({"matched_by": none.cast("string"), "_head": none.cast("int"), "_n": none.cast("long")})
+    is_old = F.col("_old")
     for name, key in pass_keys().items():
-        group = Window.partitionBy("doc_key", "_k")
-        told = left.withColumn("_k", F.when(F.col("matched_by").isNull(), key)).withColumns({
-            "_rank": F.row_number().over(Window.partitionBy("doc_key", "_k", "_old").orderBy("walk_order")), "_first": F.min(F.when(F.col("_old"), F.col("walk_order"))).over(group),
-            "_most": F.least(F.count_if("_old").over(group), F.count_if(~F.col("_old")).over(group)),
+        group = Window.partitionBy("_h", "doc_key", "_k").orderBy("walk_order")
+        so_far, all_ = (group.rowsBetween(Window.unboundedPreceding, end) for end in (Window.currentRow, Window.unboundedFollowing))
+        told = left.withColumn("_k", F.when(F.col("matched_by").isNull(), key)).withColumn("_h", F.xxhash64("doc_key", "_k")).withColumns({
+            "_rank": F.when(is_old, F.count_if(is_old).over(so_far)).otherwise(F.count_if(~is_old).over(so_far)), "_first": F.min(F.when(is_old, F.col("walk_order"))).over(all_),
+            "_most": F.least(F.count_if(is_old).over(all_), F.count_if(~is_old).over(all_)),
         })
         hit = F.col("_k").isNotNull() & (F.col("_rank") <= F.col("_most"))
         told = told.withColumns({"matched_by": F.when(hit, F.lit(name)).otherwise(F.col("matched_by")), "_head": F.when(hit, F.col("_first")).otherwise(F.col("_head")), "_n": F.when(hit, F.col("_rank")).otherwise(F.col("_n"))})
-        left = told.drop("_k", "_rank", "_first", "_most")
+        left = told.drop("_k", "_h", "_rank", "_first", "_most")
         if name == until:
             break
-    # what is left over stands alone, under its own place in its own build
-    alone = F.col("matched_by").isNull()
-    place = {"_head": F.when(alone, F.col("walk_order")).otherwise(F.col("_head")), "_n": F.when(alone, F.when(F.col("_old"), 0).otherwise(-1)).otherwise(F.col("_n"))}
-    entry = F.struct(*[c for c in ENTRY if c != "doc_key"])
-    whole = cut(left.withColumns(place).groupBy("doc_key", "matched_by", "_head", "_n").agg(F.max(F.when(F.col("_old"), entry)).alias("o"), F.max(F.when(~F.col("_old"), entry)).alias("n")))
-    pairs = whole.where("matched_by is not null").select("doc_key", "matched_by", *[F.col(f"{side[0]}.{c}").alias(f"{side}_{c}") for side in ("old", "new") for c in ENTRY if c != "doc_key"])
+    # the old entry of a pair stands before the new one and takes it along; what is left over stands alone
+    keep = [c for c in ENTRY if c != "doc_key" and c in keep]
+    entry, alone = F.struct(*keep), F.col("matched_by").isNull()
+    pair = Window.partitionBy("_h", "doc_key", "matched_by", "_head", "_n").orderBy(is_old.desc())
+    mate = left.withColumn("_h", F.xxhash64("doc_key", "matched_by", "_head", "_n")).withColumn("_mate", F.lead(entry).over(pair))
+    whole = cut(mate.where(is_old | alone).select("doc_key", "matched_by", F.when(is_old, entry).alias("o"), F.when(~is_old, entry).when(~alone, F.col("_mate")).alias("n")))
+    pairs = whole.where("matched_by is not null").select("doc_key", "matched_by", *[F.col(f"{side[0]}.{c}").alias(f"{side}_{c}") for side in ("old", "new") for c in keep])
     gone, come = (whole.where(f"matched_by is null and {side} is not null").select("doc_key", f"{side}.*") for side in "on")
     return pairs, gone, come
 
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """(doc_key, status, matched_by, old_id, new_id, old_order, new_order, seq): new order first, then what was removed."""
-    pairs, gone, come = match_entries(old, new)
+    pairs, gone, come = match_entries(old, new, keep=["node_id", "path", "hash", "walk_order"])
     status = F.when(F.col("old_hash") != F.col("new_hash"), "changed").when(F.col("old_path") != F.col("new_path"), "moved").otherwise("unchanged")
     out = pairs.select("doc_key", status.alias("status"), "matched_by", F.col("old_node_id").alias("old_id"), F.col("new_node_id").alias("new_id"), F.col("old_walk_order").alias("old_order"), F.col("new_walk_order").alias("new_order"))
     none_s, none_i = F.lit(None).cast("string"), F.lit(None).cast("int")

@@ -14,6 +14,7 @@ from folioflow.functions import scalars as S
 from folioflow.functions.blocks import MarkdownDocument, label_text
 from folioflow.functions.html import HtmlDocument
 from folioflow.operators import grids, links, match, traversal, validate
+from folioflow.plans import adapters
 from folioflow.sources import declarations, documents
 
 HEAD = {"cnd_version": "0.5.0", "built_at": "2024-01-02T03:04:05+00:00", "doc": {"title": "T"}}
@@ -182,6 +183,17 @@ def test_matching_sends_nothing_to_the_driver(spark, monkeypatch):
     assert not [p for p in plans if "Broadcast" in p] and len(plans) == 4
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are absent")
+def test_builds_send_no_table_to_the_driver(spark):
+    d = "/root/testdata/sf0.001"
+    notes = spark.createDataFrame([(0, 0, "a"), (0, 2, "c"), (1, 1, None)], "doc_key int, pool_index int, label string")
+    for df in (adapters.nodes(spark, d), adapters.nodes(spark, d, new=True), match.match_path(adapters.nodes(spark, d), notes)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    nodes = spark.createDataFrame([(0, 0, "nodes/0"), (0, 1, "footnotes/0/children/0"), (0, 3, "footnotes/2/children/1/children/0"), (1, 2, "footnotes/1/children/0"), (2, 0, "nodes/1")], "doc_key int, scope int, path string")
+    got = {r.path: r.match_path for r in match.match_path(nodes, notes).collect()}
+    assert got == {"nodes/0": "nodes/0", "footnotes/0/children/0": "footnotes/a/children/0", "footnotes/2/children/1/children/0": "footnotes/c/children/1/children/0", "footnotes/1/children/0": "footnotes/children/0", "nodes/1": "nodes/1"}
+
+
 def test_digest_of_an_empty_slot(spark):
     nodes = spark.createDataFrame([(1, 0, [0], None, None, 0, "a", 1), (1, 0, [1], None, None, 0, "b", 2), (1, 0, [2], None, None, 0, "c", 0)], "doc_key int, scope int, ord array<int>, parent_ord array<int>, slot_index int, depth int, node_hash string, slots int")
     got = {r.ord[0]: r.subtree for r in match.subtree_digests(nodes).collect()}
