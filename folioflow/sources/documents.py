@@ -8,6 +8,7 @@ can't be read becomes a row of ``errors`` and stops no other.
 from __future__ import annotations
 
 import gc
+import itertools
 import json
 import re
 import uuid
@@ -63,7 +64,6 @@ def _typed(value: Any, kind: type, where: str) -> Any:
 
 
 _UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}")
-_LONG_NUMBER = re.compile(r"[0-9]{16}")
 #: Documents that become one Arrow batch.
 AT_ONCE = 100
 
@@ -88,9 +88,13 @@ def _listed(node: dict, key: str, where: str) -> list:
 
 
 def load(raw: str | None, doubles: list | None = None) -> dict:
-    """The JSON object of a document, or Refused: the version is looked at before the shape. ``doubles`` gets its numbers that aren't integers."""
+    """The JSON object of a document, or Refused: the version is looked at before the shape. ``doubles`` gets its numbers that aren't integers of at most 15 digits."""
+
+    def noted(kind):
+        return lambda x: doubles.append(y := kind(x)) or y
+
     try:
-        doc = json.loads(raw or "", **{} if doubles is None else {"parse_float": lambda x: doubles.append(y := float(x)) or y, "parse_constant": lambda x: doubles.append(y := float(x)) or y})
+        doc = json.loads(raw or "", **{} if doubles is None else {"parse_float": noted(float), "parse_constant": noted(float), "parse_int": lambda x: int(x) if len(x) < 16 else noted(int)(x)})
     except ValueError as e:
         raise Refused(f"not JSON: {e}") from None
     _want(isinstance(doc, dict), "an object expected")
@@ -172,6 +176,7 @@ def node_hash(node: dict, plain: bool = False) -> str:
     """Hash of a node's own content: no id, place or number, nothing nested, no field at its default."""
     kind = node["type"]
     out: dict[str, Any] = {"type": kind}
+    needed = M.REQUIRED.get(kind, ())
     for key in _COVERED[kind]:
         if key not in node:
             continue
@@ -185,21 +190,25 @@ def node_hash(node: dict, plain: bool = False) -> str:
                 value.append(without_defaults(own, _ENTRY_DEFAULTS))
         elif (kind, key) in _RICH and value is not None:
             value = bare_text(value)
-        required = key in M.REQUIRED.get(kind, ())
-        default = None if key == "kind" else _NODE_DEFAULTS.get(key)
-        if required or not _same(value, default):
+        if key in needed or not _same(value, None if key == "kind" else _NODE_DEFAULTS.get(key)):
             out[key] = value
     return digest(out, plain)
 
 
-def pool_hash(entry: dict, note: bool) -> str:
+def pool_hash(entry: dict, note: bool, plain: bool = False) -> str:
     """Hash of a pool entry without its id (and, for a note, its content)."""
     if note:
-        return digest({"label": entry["label"]})
+        return digest({"label": entry["label"]}, plain)
     own = {k: entry[k] for k in ("label", *_BIB_DEFAULTS) if k in entry}
     if own.get("formatted") is not None:
         own["formatted"] = bare_text(own["formatted"])
-    return digest(without_defaults(own, _BIB_DEFAULTS))
+    return digest(without_defaults(own, _BIB_DEFAULTS), plain)
+
+
+def hashable(node: dict) -> bool:
+    """Whether no field that only a hash reads can refuse a node without doubles whose other fields were checked: no list in the place of one, or a null term."""
+    items = node.get("items", [])
+    return isinstance(items, list) and isinstance(node.get("cells", []), list) and not (node["type"] == "terms" and any(x.get("term", x) is None for x in items))
 
 
 def bare_doc(doc: dict) -> dict:
@@ -245,52 +254,79 @@ def own_texts(node: dict) -> list[dict]:
     return [text_row(rich(t, role), role, i) for i, (role, t) in enumerate((r, t) for r, t in found if t is not None)]
 
 
-def flatten(doc: dict, plain: bool = False) -> dict:
-    """A document as arrays of rows. A stack holds the way down, so depth has no limit. ``plain`` as in ``digest``."""
+_REST = ("heading_path", "number", "number_name", "lang", "title", "kind", "image_path", "alt", "ordered")
+
+
+def flatten(doc: dict, plain: bool = False, needed: set[str] | None = None) -> dict:
+    """A document as arrays of rows. A stack holds the way down, so depth has no limit. ``plain`` as in ``digest``.
+
+    ``needed`` names the columns and fields that are told (``field`` or
+    ``field.inner``; None: all), of a document with nothing in it that only a
+    hash could refuse, such as half a surrogate pair; what they don't name is
+    checked, but not made.
+    """
     nodes, entries = [], []
+    told = lambda *names: needed is None or not needed.isdisjoint(names)
+    hashes, texts, rest, all_entries = told("nodes.node_hash"), told("nodes.texts"), told(*[f"nodes.{c}" for c in _REST]), told("entries")
+    lean = plain and not hashes
 
     def walk(roots: list, scope: int, prefix: str) -> None:
-        stack = [(node, (i,), f"{prefix}/{i}", 0, None, prefix.split("/")[-1], None, []) for i, node in reversed(list(enumerate(roots)))]
+        stack = [(node, [i], f"{prefix}/{i}", 0, None, prefix.split("/")[-1], None, []) for i, node in reversed(list(enumerate(roots)))]
         while stack:
             node, order, path, depth, parent, slot, at, above = stack.pop()
-            _typed(node, dict, path)
+            if not isinstance(node, dict):
+                _typed(node, dict, path)
             kind = node.get("type")
             if kind not in M.NODE_TYPES:
                 raise Refused(f"{path}: unknown type")
             for key in M.REQUIRED.get(kind, ()):
                 if node.get(key) is None:
                     raise Refused(f"{path}.{key}: missing")
-            location, numbering = _maybe(node, "location", dict, path), _maybe(node, "numbering", dict, path)
+            location, numbering, label, id_ = node.get("location"), node.get("numbering"), node.get("label"), node.get("id")
+            if not (location is None and numbering is None and label is None):
+                location, numbering, label = _maybe(node, "location", dict, path), _maybe(node, "numbering", dict, path), _maybe(node, "label", str, path)
             source = node.get("text") if kind in ("code", "math") else None
             inner = list(slots_of(node))
-            nodes.append({
-                "scope": scope, "ord": list(order), "path": path, "node_id": _identifier(node.get("id"), path), "type": kind,
-                "label": _maybe(node, "label", str, path), "depth": depth, "parent_ord": parent, "slot": slot, "slot_index": at,
+            row = {
+                "scope": scope, "ord": order, "path": path, "node_id": id_ if isinstance(id_, str) and _UUID.fullmatch(id_) else _identifier(id_, path), "type": kind,
+                "label": label, "depth": depth, "parent_ord": parent, "slot": slot, "slot_index": at,
                 "page": location and _typed(location.get("page"), int, path), "ctx_heading_path": above,
-                "heading_path": node.get("heading_path") if kind == "heading" else None,
                 "level": _typed(node["level"], int, path) if kind == "heading" else None,
-                "number": numbering and numbering.get("value"), "number_name": numbering and numbering.get("name"),
-                "plain": None if source is None else _typed(source, str, path), "lang": node.get("lang"),
-                "title": node.get("title") if kind == "code" else None, "kind": node.get("kind"), "image_path": node.get("path"), "alt": node.get("alt"),
-                "ordered": bool(node.get("ordered", False)) if kind == "list" else None, "slots": len(inner),
-                "node_hash": node_hash(node, plain), "texts": own_texts(node),
-            })
+                "plain": None if source is None else _typed(source, str, path), "slots": len(inner),
+            }
+            if rest:
+                row |= {
+                    "heading_path": node.get("heading_path") if kind == "heading" else None, "number": numbering and numbering.get("value"), "number_name": numbering and numbering.get("name"),
+                    "lang": node.get("lang"), "title": node.get("title") if kind == "code" else None, "kind": node.get("kind"), "image_path": node.get("path"), "alt": node.get("alt"),
+                    "ordered": bool(node.get("ordered", False)) if kind == "list" else None,
+                }
+            if not lean or not hashable(node):
+                row["node_hash"] = node_hash(node, plain)
+            if texts or kind == "terms":
+                row["texts"] = own_texts(node)
+            else:
+                for role in M.OWN_TEXTS.get(kind, ()):
+                    t = node.get(role)
+                    if t is not None and not (isinstance(t, dict) and len(t) == 1 and isinstance(t.get("value"), str)):
+                        text_row(rich(t, role), role, 0)
+            nodes.append(row)
             for field in ("items", "cells"):
                 for i, entry in enumerate(node.get(field) or []):
                     _typed(entry, dict, path)
-                    entries.append({"scope": scope, "ord": list(order), "entry": i} | {k: entry.get(k, d) for k, d in (("number", None), ("checked", None), ("row", None), ("col", None), ("rowspan", 1), ("colspan", 1), ("is_header", False))})
+                    if all_entries:
+                        entries.append({"scope": scope, "ord": order, "entry": i} | {k: entry.get(k, d) for k, d in (("number", None), ("checked", None), ("row", None), ("col", None), ("rowspan", 1), ("colspan", 1), ("is_header", False))})
             below = node["heading_path"] if kind == "heading" else above
             for field, i, children in reversed(inner):
                 where = f"{path}/{field}" + ("" if i is None else f"/{i}/children")
                 for j, child in reversed(list(enumerate(children))):
-                    mid = (j,) if i is None else (i, j)
-                    stack.append((child, (*order, *mid), f"{where}/{j}", depth + 1, list(order), field, i, below))
+                    stack.append((child, [*order, j] if i is None else [*order, i, j], f"{where}/{j}", depth + 1, order, field, i, below))
 
     walk(doc["nodes"], 0, "nodes")
+    note_hashes, bib_hashes = (not plain or told(f"{pool}.hash") for pool in ("footnotes", "bibliography"))
     notes = []
     for i, note in enumerate(_listed(doc, "footnotes", "document")):
         _typed(note, dict, "footnotes")
-        notes.append({"pool_index": i, "id": _identifier(note.get("id"), "footnotes"), "label": _typed(note.get("label"), str, "footnotes"), "hash": pool_hash(note, True)})
+        notes.append({"pool_index": i, "id": _identifier(note.get("id"), "footnotes"), "label": _typed(note.get("label"), str, "footnotes"), "hash": pool_hash(note, True, plain) if note_hashes else None})
         walk(_listed(note, "children", "footnotes"), 1 + i, f"footnotes/{i}/children")
     bibs = []
     for i, bib in enumerate(_listed(doc, "bibliography", "document")):
@@ -299,12 +335,12 @@ def flatten(doc: dict, plain: bool = False) -> dict:
         bibs.append({
             "pool_index": i, "id": _identifier(bib.get("id"), "bibliography"), "label": _typed(bib.get("label"), str, "bibliography"),
             "has_fields": any(bool(bib.get(k)) for k in M.BIB_FIELDS), "formatted": None if shown is None else text_row(rich(shown, "formatted"), "formatted", 0),
-            "shown": None, "hash": pool_hash(bib, False),
+            "shown": None, "hash": pool_hash(bib, False, plain) if bib_hashes else None,
         })
-    extra = _typed(doc["doc"].get("extra") or {}, dict, "doc.extra")
+    extra, bare = _typed(doc["doc"].get("extra") or {}, dict, "doc.extra"), bare_doc(doc["doc"])
     return {
         "id": doc.get("id"), "version": doc[M.FORMAT_VERSION_KEY], "built_at": doc["built_at"], "title": doc["doc"]["title"],
-        "doc_json": json.dumps(doc["doc"], ensure_ascii=False), "extra_keys": list(extra), "doc_fields_json": json.dumps(bare_doc(doc["doc"]), ensure_ascii=False),
+        "doc_json": json.dumps(doc["doc"], ensure_ascii=False) if told("doc_json") else None, "extra_keys": list(extra), "doc_fields_json": json.dumps(bare, ensure_ascii=False) if told("doc_fields_json") else None,
         "nodes": nodes, "entries": entries, "bibliography": bibs, "footnotes": notes,
     }
 
@@ -321,16 +357,32 @@ def narrowed(kind: DataType, paths: list[str]) -> DataType:
     return StructType(fields)
 
 
+def as_column(values: list, kind: pa.DataType) -> pa.Array:
+    """Rows as an Arrow array, field by field: far quicker than struct by struct."""
+    if pa.types.is_list(kind) and pa.types.is_struct(kind.value_type):
+        ends = [0, *itertools.accumulate(len(v or ()) for v in values)]
+        inner = as_column([x for v in values if v for x in v], kind.value_type)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner, type=kind, mask=pa.array([v is None for v in values], pa.bool_()))
+    if pa.types.is_struct(kind):
+        fields = [as_column([None if v is None else v.get(f.name) for v in values], f.type) for f in kind]
+        return pa.StructArray.from_arrays(fields, fields=list(kind), mask=pa.array([v is None for v in values], pa.bool_()))
+    return pa.array(values, kind)
+
+
 def parse(files: DataFrame, only: str | None = None) -> DataFrame:
     """From (doc_key, raw): the flattened document, or ``reason`` why it isn't one.
 
     ``only`` names the columns and fields that are told, as in ``narrowed``;
-    documents are read, hashed and checked in whole all the same.
+    documents are read and checked in whole all the same.
     """
     schema = StructType.fromDDL(M.PARSED + ", reason string")
     if only is not None:
         schema = narrowed(schema, ["doc_key", "reason", *only.split()])
     arrow = to_arrow_schema(schema)
+    needed = None
+    if only is not None:
+        inner = lambda t: inner(t.elementType) if isinstance(t, ArrayType) else t.names if isinstance(t, StructType) else []
+        needed = {f.name for f in schema} | {f"{f.name}.{c}" for f in schema for c in inner(f.dataType)}
 
     def run(batches):
         for batch in batches:
@@ -342,11 +394,13 @@ def parse(files: DataFrame, only: str | None = None) -> DataFrame:
                         row, doubles = dict.fromkeys(arrow.names) | {"doc_key": key, "raw": raw}, []
                         try:
                             doc = load(raw, doubles)
-                            row |= flatten(doc, not doubles and not _LONG_NUMBER.search(raw))
+                            # half a surrogate pair is refused where it is hashed, so such a document is hashed in whole
+                            plain = not doubles
+                            row |= flatten(doc, plain, None if not plain or "\\ud" in raw or "\\uD" in raw else needed)
                         except (Refused, ValueError, TypeError, KeyError, AttributeError) as e:
                             row["reason"] = str(e) or type(e).__name__
                         rows.append(row)
-                    told = pa.RecordBatch.from_pylist(rows, schema=arrow)
+                    told = pa.RecordBatch.from_arrays([as_column([r[f.name] for r in rows], f.type) for f in arrow], schema=arrow)
                 finally:
                     gc.enable()
                 yield told

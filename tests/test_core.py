@@ -183,6 +183,20 @@ def test_matching_sends_nothing_to_the_driver(spark, monkeypatch):
     assert not [p for p in plans if "Broadcast" in p] and len(plans) == 4
 
 
+def test_only_what_is_needed_is_made_and_all_is_checked(spark):
+    whole, lean = documents.flatten(sample(), True), documents.flatten(sample(), True, {"nodes", "nodes.path"})
+    assert [n["path"] for n in lean["nodes"]] == [n["path"] for n in whole["nodes"]] and not any("node_hash" in n for n in lean["nodes"])
+    bad = [sample() for _ in range(6)]
+    bad[1]["nodes"][0]["children"][1]["items"] = 0
+    bad[2]["nodes"][0]["children"][0]["text"]["marks"][0]["start"] = "0"
+    bad[3]["nodes"][0]["children"].append({"id": uid(70), "type": "terms", "items": [{"term": None}]})
+    bad[4]["nodes"][0]["state_metadata"] = {"a": "\ud800"}
+    bad[5]["nodes"][0]["state_metadata"] = {"a": 12345678901234567890}
+    files = spark.createDataFrame([(str(i), json.dumps(d)) for i, d in enumerate(bad)], "doc_key string, raw string")
+    refused = [{r.doc_key for r in documents.errors(documents.parse(files, only)).collect()} for only in (None, "nodes.path")]
+    assert refused == [{"1", "2", "3", "4", "5"}] * 2
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are absent")
 def test_builds_send_no_table_to_the_driver(spark):
     d = "/root/testdata/sf0.001"
